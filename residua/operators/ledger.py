@@ -194,3 +194,81 @@ def status_by_row_precedence(files: DataFrame, ledger: DataFrame, expected: Data
         .otherwise("missing")
     )
     return out.select(*expected.columns, F.coalesce("files", F.lit(0)).alias("files"), status.alias("status"))
+
+
+def reconcile_files(ledger: DataFrame, files: DataFrame, key: str, now: Column) -> DataFrame:
+    """Files of proven size promote their lane to done; rows already done stay as they are.
+
+    Ledger: key, status, device, finished_at, proof_bytes. Files: key, size (any number per key).
+    """
+    proof = files.filter(F.col("size") >= MIN_PROOF_BYTES).groupBy(key).agg(F.max("size").alias("_size"))
+    out = ledger.join(proof, key, "full_outer")
+    promote = F.col("_size").isNotNull() & ~F.coalesce(normal_status("status") == "done", F.lit(False))
+    return out.select(
+        key,
+        F.when(promote, "done").otherwise(F.col("status")).alias("status"),
+        F.when(promote, F.coalesce("device", F.lit("folder-reconcile"))).otherwise(F.col("device")).alias("device"),
+        F.when(promote, now.cast("double")).otherwise(F.col("finished_at")).alias("finished_at"),
+        F.when(promote, F.col("_size")).otherwise(F.col("proof_bytes")).alias("proof_bytes"),
+        promote.alias("promoted"),
+    )
+
+
+def reconcile_remote(ledger: DataFrame, reports: DataFrame, key: str, now: Column, lease_seconds: float, proven: DataFrame | None = None) -> DataFrame:
+    """Fold remote done/active reports into the ledger, devices in their given order.
+
+    Ledger: key, status, device, lease_until, finished_at. Reports: key, device, pos, kind
+    (done | active); ``pos`` orders the devices. Per lane: final rows win; a foreign live claim
+    is a conflict; done marks the lane done; active makes it running with the longer of the old
+    and the new lease. Lanes with a proven file go to done first. The fold runs over the
+    devices that report one lane, a handful of entries inside the row.
+    """
+    t = now.cast("double")
+    once = reports.groupBy(key, "device", "pos").agg(F.max((F.col("kind") == "done").cast("int")).alias("is_done"))
+    per_lane = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "device", "is_done"))).alias("_reports"))
+    out = ledger.select(key, "status", "device", "lease_until", "finished_at").join(per_lane, key, "full_outer")
+    if proven is not None:
+        out = out.join(proven.select(key).distinct().withColumn("_proof", F.lit(True)), key, "left")
+    else:
+        out = out.withColumn("_proof", F.lit(None).cast("boolean"))
+    done_by_file = F.col("_proof") & F.exists("_reports", lambda r: r["is_done"] == 1) & ~normal_status("status").isin(*FINAL)
+    done_by_file = F.coalesce(done_by_file, F.lit(False))
+    start = F.struct(
+        F.when(done_by_file, "done").otherwise(normal_status("status")).alias("status"),
+        F.when(done_by_file, F.coalesce("device", F.lit("folder-reconcile"))).otherwise(F.col("device")).alias("device"),
+        F.coalesce("lease_until", F.lit(0.0)).cast("double").alias("lease"),
+        F.when(done_by_file, t).otherwise(F.col("finished_at")).cast("double").alias("finished"),
+        F.lit(0).alias("conflicts"), F.lit(0).alias("done_in"), F.lit(0).alias("active_in"),
+    )
+
+    def fold(acc, r):
+        final = acc["status"].isin(*FINAL)
+        foreign = acc["status"].isin(*ACTIVE) & acc["device"].isNotNull() & (acc["device"] != r["device"]) & (acc["lease"] > t)
+        take_done = ~final & ~foreign & (r["is_done"] == 1)
+        take_active = ~final & ~foreign & (r["is_done"] == 0)
+        taken = take_done | take_active
+        return F.struct(
+            F.when(take_done, "done").when(take_active, "running").otherwise(acc["status"]).alias("status"),
+            F.when(taken, r["device"]).otherwise(acc["device"]).alias("device"),
+            F.when(take_active, F.greatest(acc["lease"], t + lease_seconds)).otherwise(acc["lease"]).alias("lease"),
+            F.when(take_done, F.coalesce(acc["finished"], t)).otherwise(acc["finished"]).alias("finished"),
+            (acc["conflicts"] + (~final & foreign).cast("int")).alias("conflicts"),
+            (acc["done_in"] + take_done.cast("int")).alias("done_in"),
+            (acc["active_in"] + take_active.cast("int")).alias("active_in"),
+        )
+
+    state = F.aggregate(F.coalesce("_reports", F.expr("array()").cast("array<struct<pos:bigint,device:string,is_done:int>>")), start, fold)
+    return out.select(key, state.alias("_s")).select(
+        key, F.col("_s.status").alias("status"), F.col("_s.device").alias("device"), F.col("_s.lease").alias("lease_until"),
+        F.col("_s.finished").alias("finished_at"), F.col("_s.conflicts").alias("conflicts"),
+        F.col("_s.done_in").alias("done_imported"), F.col("_s.active_in").alias("active_imported"),
+    )
+
+
+def release_inactive(ledger: DataFrame, reports: DataFrame, key: str) -> DataFrame:
+    """Claims of a reporting device on lanes it no longer reports become released."""
+    devices = reports.select("device").distinct().withColumn("_reporting", F.lit(True))
+    live = reports.select(key, "device").distinct().withColumn("_live", F.lit(True))
+    out = ledger.join(devices, "device", "left").join(live, [key, "device"], "left")
+    drop = normal_status("status").isin(*ACTIVE) & F.col("_reporting") & F.col("_live").isNull()
+    return out.withColumn("status", F.when(F.coalesce(drop, F.lit(False)), "released").otherwise(F.col("status"))).select(*ledger.columns)

@@ -20,6 +20,19 @@ def rate_by_feature(df: DataFrame, feature: Column, hits: str, cells: str, name:
     )
 
 
+def rates_by_features(df: DataFrame, features: dict[str, Column], hits: str, cells: str) -> DataFrame:
+    """Rates for several features in one pass: one grouping set per feature."""
+    names = list(features)
+    rows = df.select(*[F.coalesce(c.cast("bigint"), F.lit(-1)).alias(n) for n, c in features.items()], hits, cells)
+    agg = rows.groupingSets([[n] for n in names], *names).agg(
+        F.sum(hits).alias("hits"), F.sum(cells).alias("cells"), *[F.grouping(n).alias(f"_g_{n}") for n in names]
+    )
+    feature = F.coalesce(*[F.when(F.col(f"_g_{n}") == 0, n) for n in names])
+    value = F.coalesce(*[F.when(F.col(f"_g_{n}") == 0, F.col(n)) for n in names])
+    out = agg.select(feature.alias("feature"), value.alias("value"), "hits", "cells")
+    return out.withColumn("rate", percent("hits", "cells"))
+
+
 def key_features(upper: str) -> dict[str, Column]:
     """The features rates are broken down by: decile of the 16-bit domain, high nibble, trailing zeros, mod 24."""
     u = F.col(upper).cast("bigint")
