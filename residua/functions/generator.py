@@ -63,23 +63,26 @@ def lcg_jump(state, n: int) -> Column:
     return _affine(_state(state), a, c)
 
 
+def _jump_table(level: int) -> tuple[Column, Column]:
+    """Literal arrays of multipliers and increments for byte ``level`` of a step count."""
+    pairs = [jump_constants(i << (8 * level)) for i in range(256)]
+    listed = lambda k: F.expr("array(" + ",".join(f"{p[k]}L" for p in pairs) + ")")
+    return listed(0), listed(1)
+
+
 def lcg_at(state, n, bits: int = 32) -> Column:
-    """State after ``n`` steps, ``n`` a column below ``2**bits``."""
+    """State after ``n`` steps, ``n`` a column (its low ``bits`` bits count, 32 at most).
+
+    One table-driven multiply-add per byte of the step count; plain generated code.
+    """
     if isinstance(n, int):
         return lcg_jump(state, n)
-    jumps = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(a).cast("bigint").alias("a"), F.lit(c).cast("bigint").alias("c"))
-            for i, (a, c) in enumerate(_BIT_JUMPS[:bits])
-        ]
-    )
-    steps = _c(n).cast("bigint").bitwiseAND(U32)
-    taken = F.filter(jumps, lambda j: F.expr("1L").bitwiseAND(_shift_by(steps, j["i"])) == 1)
-    return F.aggregate(taken, _state(state), lambda acc, j: _affine(acc, j["a"], j["c"]))
-
-
-def _shift_by(value: Column, amount: Column) -> Column:
-    return F.call_function("shiftrightunsigned", value, amount)
+    out, steps = _state(state), _state(n)
+    for level in range((bits + 7) // 8):
+        index = F.shiftrightunsigned(steps, 8 * level).bitwiseAND(255).cast("int")
+        a, c = _jump_table(level)
+        out = _affine(out, F.get(a, index), F.get(c, index))
+    return out
 
 
 def lcg_output(state) -> Column:
@@ -90,26 +93,17 @@ def lcg_output(state) -> Column:
 def lcg_distance(start, end) -> Column:
     """Steps from ``start`` forward to ``end``, in 0..2^32-1.
 
-    The low k bits of the generator have period 2^k, so the step count is found bit by
-    bit: where bit k differs, 2^k more steps are needed. 32 operations, no search.
+    The low k bits of the generator have period 2^k, so a state's position is found bit by
+    bit: where bit k differs, 2^k more steps are needed. 32 vector operations, no search.
     """
-    jumps = F.array(
-        *[
-            F.struct(F.lit(1 << i).cast("bigint").alias("w"), F.lit(a).cast("bigint").alias("a"), F.lit(c).cast("bigint").alias("c"))
-            for i, (a, c) in enumerate(_BIT_JUMPS)
-        ]
-    )
-    target = _state(end)
-    zero = F.struct(_state(start).alias("s"), F.lit(0).cast("bigint").alias("d"))
 
-    def step(acc, j):
-        hit = acc["s"].bitwiseXOR(target).bitwiseAND(j["w"]) != 0
-        return F.struct(
-            F.when(hit, _affine(acc["s"], j["a"], j["c"])).otherwise(acc["s"]).alias("s"),
-            F.when(hit, acc["d"].bitwiseOR(j["w"])).otherwise(acc["d"]).alias("d"),
-        )
+    @F.pandas_udf("bigint")
+    def steps(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = a.notna() & b.notna()
+        at = lambda v: _np_position(v.fillna(0).to_numpy().astype(np.uint64) & np.uint64(U32)).astype(np.int64)
+        return pd.Series((at(b) - at(a)) % (1 << 32), dtype="Int64").where(known.to_numpy(), pd.NA)
 
-    return F.aggregate(jumps, zero, step, lambda acc: acc["d"])
+    return steps(_state(start), _state(end))
 
 
 def signed_distance(expected, observed, max_steps: int) -> Column:

@@ -136,7 +136,7 @@ def trailing_zeros16(col) -> Column:
 def bit_test(bitmap, index) -> Column:
     """Little-endian bit test on a BINARY bitmap; ``index`` counts bits from byte 0."""
     byte = F.conv(F.hex(F.substring(_c(bitmap), F.shiftright(_c(index).cast("int"), 3) + 1, F.lit(1))), 16, 10)
-    bit = F.shiftleft(F.lit(1), _c(index).cast("int").bitwiseAND(7))
+    bit = F.call_function("shiftleft", F.lit(1), _c(index).cast("int").bitwiseAND(7))
     return byte.cast("int").bitwiseAND(bit) != 0
 
 

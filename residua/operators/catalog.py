@@ -112,18 +112,16 @@ def guesses(text: str, width: int | None) -> list[tuple[int, int, int]]:
 
 def guess_scan(df: DataFrame, op: str, text: str, width: int | None = None, addr: str = "addr", value: str = "value", limit: int | None = None) -> DataFrame:
     """All readings of ``text`` in one scan: each row is tested against the list of guesses."""
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    (F.col("width") == w) & (F.col(addr) % w == 0) & compare(op, F.col(value), v),
-                    F.struct(F.lit(i).alias("guess"), F.lit(d).alias("divisor")),
-                )
-                for i, (v, w, d) in enumerate(guesses(text, width))
-            ]
-        )
+    hits = F.array(
+        *[
+            F.when(
+                (F.col("width") == w) & (F.col(addr) % w == 0) & compare(op, F.col(value), v),
+                F.struct(F.lit(i).alias("guess"), F.lit(d).alias("divisor")),
+            )
+            for i, (v, w, d) in enumerate(guesses(text, width))
+        ]
     )
-    out = df.select(addr, "width", F.col(value).alias("old_value"), F.explode(hits).alias("_h"))
+    out = df.select(addr, "width", F.col(value).alias("old_value"), F.explode(hits).alias("_h")).filter(F.col("_h").isNotNull())
     out = out.select(addr, "width", "old_value", "_h.divisor", "_h.guess")
     return out if limit is None else out.orderBy("guess", addr).limit(limit)
 

@@ -151,6 +151,8 @@ class OrderedFrame:
         carry = totals.select(
             *self.parts, *[again[f](f"_t_{n}").over(before).alias(f"_k_{n}") for n, (f, _) in cols.items()]
         )
+        # the first block of a key carries nothing in, so only cut keys have rows here
+        carry = carry.filter(" OR ".join(f"_k_{n} IS NOT NULL" for n in cols))
         joined = join_on(local, carry, self.parts)
         out = {}
         for n, (f, _) in cols.items():
@@ -172,17 +174,18 @@ class OrderedFrame:
         totals = self.df.groupBy(*self.parts).agg(F.count(F.lit(1)).alias("_t"))
         before = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(*self.keys)
+        local = local.withColumn("_here", F.count(F.lit(1)).over(Window.partitionBy(*self.parts)))
         if self.blocked:
             carry = totals.select(
                 *self.parts,
                 F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_k"),
                 F.sum("_t").over(whole).alias("_all"),
-            )
+                F.count(F.lit(1)).over(whole).alias("_blocks"),
+            ).filter("_blocks > 1").drop("_blocks")
             local = join_on(local, carry, self.parts)
-            share = (F.col("_le") + F.col("_k")) / F.col("_all")
-            return self._with(local.withColumn(name, share).drop("_le", "_k", "_all"))
-        local = local.withColumn(name, F.col("_le") / F.count(F.lit(1)).over(whole))
-        return self._with(local.drop("_le"))
+            share = (F.col("_le") + F.coalesce("_k", F.lit(0))) / F.coalesce("_all", "_here")
+            return self._with(local.withColumn(name, share).drop("_le", "_k", "_all", "_here"))
+        return self._with(local.withColumn(name, F.col("_le") / F.col("_here")).drop("_le", "_here"))
 
     def neighbour(self, columns: Mapping[str, str], step: int) -> "OrderedFrame":
         """Previous (step -1) or next (step 1) row's values as new columns: new name -> source."""
@@ -198,6 +201,7 @@ class OrderedFrame:
         packed = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
         ends = self.df.groupBy(*self.parts).agg(pick(packed, F.struct(*self.order)).alias("_end"))
         ends = ends.withColumn("_end", fn("_end").over(Window.partitionBy(*self.keys).orderBy(BLOCK)))
+        ends = ends.filter(F.col("_end").isNotNull())
         joined = join_on(local, ends, self.parts)
         out = {n: F.when(F.col("_edge"), F.col("_end")[n]).otherwise(F.col(n)) for n in columns}
         return self._with(joined.withColumns(out).drop("_edge", "_end"))

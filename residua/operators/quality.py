@@ -23,10 +23,8 @@ def validate_record(df: DataFrame, rules: Sequence[tuple[str, Column]], out: str
 
 def rule_findings(df: DataFrame, rules: Sequence[tuple[str, str, Column]], keep: Sequence[str]) -> DataFrame:
     """One row per finding; rules are (severity, code, holds) and several may fire per row."""
-    hits = F.array_compact(
-        F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(k).alias("code"))) for s, k, c in rules])
-    )
-    return df.select(*keep, F.explode(hits).alias("_f")).select(*keep, "_f.*")
+    hits = F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(k).alias("code"))) for s, k, c in rules])
+    return df.select(*keep, F.explode(hits).alias("_f")).filter(F.col("_f").isNotNull()).select(*keep, "_f.*")
 
 
 def severity_rank(col) -> Column:

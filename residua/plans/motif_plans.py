@@ -80,7 +80,7 @@ def strength_summary(t: Tables):
     f"""WITH h AS (SELECT event_id, event_id * 37 % 1013 / 1000e0 AS s, greatest(0, user_id - 20.0) AS st, value AS en, user_id FROM events),
     c AS (SELECT event_id, s, st, CASE WHEN event_id % 9 = 0 THEN st ELSE greatest(st, en) END AS en, user_id FROM h)
     SELECT event_id, round(st, 3) AS start_seconds, round(en, 3) AS end_seconds, CASE WHEN event_id % 4 = 0 THEN 100 ELSE CAST({BAND_SQL} AS INTEGER) END AS confidence, {STRENGTH_SQL} AS strength,
-    printf('%02d:%05.2f', CAST(st // 60 AS INTEGER), st - 60 * (st // 60)) AS start, CASE WHEN event_id % 5 = 0 THEN '(unknown)' ELSE 'u' || user_id || '.mp3' END AS name FROM c""",
+    printf('%02d:%05.2f', CAST(floor(st / 60) AS INTEGER), st - 60 * floor(st / 60)) AS start, CASE WHEN event_id % 5 = 0 THEN '(unknown)' ELSE 'u' || user_id || '.mp3' END AS name FROM c""",
 )
 def sanitize_hits(t: Tables):
     k = F.col("event_id")

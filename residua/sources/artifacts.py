@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import bit_test, lower_half, upper_half
+from ..functions.keys import lower_half, upper_half
 from ..operators.ordered import join_on
 from ..operators.sets import complement_keys
 
@@ -100,9 +100,16 @@ def refresh_library(known: DataFrame, present: DataFrame, path: str = "path", ro
 
 def explode_fixed_width(df: DataFrame, key: str, block: str, bitmap: str | None, record: int, domain: int) -> DataFrame:
     """Binary block to (key, upper, record); only positions the bitmap marks present."""
-    rows = df.select(key, block, *([bitmap] if bitmap else []), F.explode(F.sequence(F.lit(0), F.lit(domain - 1))).alias("upper"))
-    if bitmap:
-        rows = rows.filter(bit_test(bitmap, "upper"))
+    if bitmap is None:
+        rows = df.select(key, block, F.explode(F.sequence(F.lit(0), F.lit(domain - 1))).alias("upper"))
+    else:
+        # bytes first: a byte without bits costs one test, and the block is never copied per row
+        byte = F.conv(F.hex(F.substring(F.col(bitmap), F.col("_i") + 1, F.lit(1))), 16, 10).cast("int")
+        rows = df.select(key, block, bitmap, F.explode(F.sequence(F.lit(0), F.lit((domain + 7) // 8 - 1))).alias("_i"))
+        rows = rows.select(key, block, "_i", byte.alias("_byte")).filter("_byte <> 0")
+        rows = rows.select(key, block, "_i", "_byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_bit"))
+        rows = rows.filter("shiftright(_byte, _bit) & 1 = 1").select(key, block, (F.col("_i") * 8 + F.col("_bit")).alias("upper"))
+        rows = rows.filter(F.col("upper") < domain)
     return rows.select(key, "upper", F.substring(F.col(block), F.col("upper") * record + 1, F.lit(record)).alias("record"))
 
 
