@@ -75,5 +75,5 @@ def lookahead_value(df: DataFrame, state: str, n: int, table: DataFrame, slot: s
     """Table value selected by the state k steps ahead, for k = 1..n."""
     ahead = F.explode(F.sequence(F.lit(1), F.lit(n)))
     rows = df.select("*", ahead.alias("k"))
-    rows = rows.withColumn(slot, lcg_output(lcg_at(state, "k", 16)) % slots)
+    rows = rows.withColumn(slot, lcg_output(lcg_at(state, "k")) % slots)
     return rows.join(table, slot)

@@ -63,26 +63,28 @@ def lcg_jump(state, n: int) -> Column:
     return _affine(_state(state), a, c)
 
 
-def _jump_table(level: int) -> tuple[Column, Column]:
-    """Literal arrays of multipliers and increments for byte ``level`` of a step count."""
-    pairs = [jump_constants(i << (8 * level)) for i in range(256)]
-    listed = lambda k: F.expr("array(" + ",".join(f"{p[k]}L" for p in pairs) + ")")
-    return listed(0), listed(1)
+def lcg_at(state, n) -> Column:
+    """State after ``n`` steps, ``n`` an integer or a column (taken modulo the period 2^32).
 
-
-def lcg_at(state, n, bits: int = 32) -> Column:
-    """State after ``n`` steps, ``n`` a column (its low ``bits`` bits count, 32 at most).
-
-    One table-driven multiply-add per byte of the step count; plain generated code.
+    A constant step count is one multiply-add in generated code. A column of step counts goes
+    through one Arrow batch function: four table-driven multiply-adds on uint64 vectors.
     """
     if isinstance(n, int):
         return lcg_jump(state, n)
-    out, steps = _state(state), _state(n)
-    for level in range((bits + 7) // 8):
-        index = F.shiftrightunsigned(steps, 8 * level).bitwiseAND(255).cast("int")
-        a, c = _jump_table(level)
-        out = _affine(out, F.get(a, index), F.get(c, index))
-    return out
+    tables = [np.array([jump_constants(i << (8 * level)) for i in range(256)], dtype=np.uint64) for level in range(4)]
+
+    @F.pandas_udf("bigint")
+    def jump(states: pd.Series, steps: pd.Series) -> pd.Series:
+        known = (states.notna() & steps.notna()).to_numpy()
+        mask = np.uint64(U32)
+        s = states.fillna(0).to_numpy().astype(np.int64).astype(np.uint64) & mask
+        k = steps.fillna(0).to_numpy().astype(np.int64).astype(np.uint64)
+        for level, table in enumerate(tables):
+            row = table[(k >> np.uint64(8 * level)) & np.uint64(255)]
+            s = (s * row[:, 0] + row[:, 1]) & mask
+        return pd.Series(s.astype(np.int64), dtype="Int64").where(known, pd.NA)
+
+    return jump(_state(state), _c(n).cast("bigint"))
 
 
 def lcg_output(state) -> Column:
@@ -119,14 +121,16 @@ def calibrate_offset(
 
     The search window is per row, at most ``2 * radius + 1`` positions, and stays inside the row.
     """
-    first = F.greatest(F.lit(0), F.lit(expected - radius))
-    candidates = F.sequence(first, F.lit(expected + radius))
-    hits = F.filter(
-        candidates,
-        lambda o: lcg_output(lcg_at(F.col(state), F.col(base).cast("bigint") + o)) == F.col(observed).cast("bigint"),
-    )
-    best = F.array_min(F.transform(hits, lambda o: F.struct(F.abs(o - expected).alias("gap"), o.alias("off"))))
-    return df.withColumn(out, best["off"])
+    low = max(0, expected - radius)
+    start = df.withColumn("_from", lcg_at(F.col(state), F.col(base).cast("bigint") + low))
+    hits = [
+        F.when(
+            lcg_output(lcg_jump("_from", k)) == F.col(observed).cast("bigint"),
+            F.struct(F.lit(abs(low + k - expected)).alias("gap"), F.lit(low + k).alias("off")),
+        )
+        for k in range(expected + radius - low + 1)
+    ]
+    return start.withColumn(out, F.array_min(F.array(*hits))["off"]).drop("_from")
 
 
 def _np_position(states: np.ndarray) -> np.ndarray:

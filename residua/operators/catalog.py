@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +81,23 @@ def value_scan(df: DataFrame, op: str, match: int, width: int, addr: str = "addr
 
 
 def text_scan(df: DataFrame, needle: str, addr: str = "addr", text: str = "text", limit: int | None = None) -> DataFrame:
-    """Every occurrence of a byte string inside each row's text, as absolute addresses."""
-    n = len(needle)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)),
-        lambda i: F.substr(F.col(text), i, F.lit(n)) == needle,
-    )
-    out = df.select(addr, F.explode(starts).alias("_i"))
-    out = out.select((F.col(addr) + F.col("_i") - 1).alias(addr))
+    """Every occurrence (overlapping ones too) of a string inside each row's text, as absolute addresses."""
+    if not needle:
+        raise ValueError("an empty string occurs everywhere")
+
+    @F.pandas_udf("array<int>")
+    def offsets(texts: pd.Series) -> pd.Series:
+        def find(body):
+            found, at = [], -1 if body is None else body.find(needle)
+            while at >= 0:
+                found.append(at)
+                at = body.find(needle, at + 1)
+            return found
+
+        return texts.map(find)
+
+    holding = df.filter(F.contains(F.col(text), F.lit(needle)))
+    out = holding.select(addr, F.explode(offsets(F.col(text))).alias("_i")).select((F.col(addr) + F.col("_i")).alias(addr))
     return out if limit is None else out.orderBy(addr).limit(limit)
 
 

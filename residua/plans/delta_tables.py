@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import delta as D
-from .base import BEST_SQL, CAND_SQL, CELLS_SQL, MODEL_SQL, Tables, query, r4
+from .base import BEST_SQL, CAND_SQL, CELLS_SQL, MODEL_SQL, Tables, packed_part, query, r4
 
-MODEL_PART_SQL = MODEL_SQL + " , m AS (SELECT * FROM model WHERE upper % 50 <> 7)"
+MODEL_PART_SQL = MODEL_SQL + " , m AS (SELECT model.* FROM model JOIN part ON upper = p_partkey WHERE p_size <> 7)"
 
 
 def partial_model(t: Tables):
-    """The model without some column keys, so that cells without a prediction occur."""
-    return t.model.filter("upper % 50 <> 7")
+    """The model without the parts of one size, so that cells without a prediction occur."""
+    return t.part.filter("p_size <> 7").select(F.col("p_partkey").alias("upper"), packed_part(0, 0).alias("predicted"))
 
 
 @query("encode_exceptions", f"WITH {CELLS_SQL}, {MODEL_PART_SQL} SELECT lane, upper, xor(actual, coalesce(predicted, 0)) AS xor FROM cells LEFT JOIN m USING (upper) WHERE actual IS DISTINCT FROM predicted")

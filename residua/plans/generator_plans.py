@@ -20,7 +20,7 @@ M, INC, INV = G.MULTIPLIER, G.INCREMENT, G.MULTIPLIER_INVERSE
     CAST(s >> 16 AS BIGINT) AS output, event_id AS distance FROM {lcg_sql('events', str(SEED), 'event_id', 24)}""",
 )
 def generator_stream(t: Tables):
-    rows = t.events.select("event_id", G.lcg_at(F.lit(SEED), "event_id", 24).alias("state"))
+    rows = t.events.select("event_id", G.lcg_at(F.lit(SEED), "event_id").alias("state"))
     return rows.select(
         "event_id", "state", G.lcg_next("state").alias("next"), G.lcg_previous("state").alias("previous"), G.lcg_output("state").alias("output"),
         G.lcg_distance(F.lit(SEED), "state").alias("distance"),
@@ -29,7 +29,7 @@ def generator_stream(t: Tables):
 
 @query("first_occurrence", f"SELECT CAST(s >> 16 AS BIGINT) % 512 AS upper, min(event_id) AS step FROM {lcg_sql('events', str(SEED), 'event_id', 24)} GROUP BY 1")
 def first_occurrence(t: Tables):
-    stream = t.events.select(F.col("event_id").alias("step"), (G.lcg_output(G.lcg_at(F.lit(SEED), "event_id", 24)) % 512).alias("upper"))
+    stream = t.events.select(F.col("event_id").alias("step"), (G.lcg_output(G.lcg_at(F.lit(SEED), "event_id")) % 512).alias("upper"))
     return W.first_occurrence(stream, ["upper"], ["step"], [])
 
 
@@ -74,7 +74,7 @@ def calibrate_offset(t: Tables):
 )
 def lookahead(t: Tables):
     """Table value at each of the next three states of a row's generator."""
-    rows = t.events.select("event_id", G.lcg_at(F.lit(SEED), "event_id", 24).alias("state"))
+    rows = t.events.select("event_id", G.lcg_at(F.lit(SEED), "event_id").alias("state"))
     table = t.part.select(F.col("p_partkey").alias("slot"), F.col("p_size").alias("value"))
     return C.lookahead_value(rows, "state", 3, table, "slot", 2000).select("event_id", "k", "value")
 
@@ -99,6 +99,6 @@ def schedule_frames(t: Tables):
 @query("candidate_table")
 def candidate_table(t: Tables):
     """Candidate packed values of every part key under the inheritance rule."""
-    states = t.part.select(F.col("p_partkey").alias("upper"), G.lcg_at(F.lit(SEED), "p_partkey", 24).alias("state"))
+    states = t.part.select(F.col("p_partkey").alias("upper"), G.lcg_at(F.lit(SEED), "p_partkey").alias("state"))
     classes = C.shifted_classes([1, 2, 4, 5, 6, 7, 8, 9], [("iv", 0), ("inherit", 2)], 2)
     return C.candidate_values(states, "upper", "state", classes, [31, 30, 29, 28, 27, 26], [1, 2, 3, 4, 5, 6], [0, 1, 2, 5, 3, 4])

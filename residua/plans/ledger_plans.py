@@ -16,8 +16,8 @@ NOW = 1706000000.0
 
 LEDGER_SQL = f"""ev AS (SELECT event_id, user_id AS lane, {STATUS_SQL} AS status, 'd' || (event_id % 7) AS device, CAST(round(value * 100) AS BIGINT) AS proof_bytes, epoch_us(ts) / 1000000.0 AS t FROM events),
  led AS (SELECT lane, status, device, proof_bytes, CASE WHEN status = 'verified' THEN t END AS verified_at, CASE WHEN status IN ('done', 'verified') THEN t - 60 END AS finished_at,
-   CASE WHEN status = 'claimed' THEN t END AS claimed_at, t + 21600 AS lease_until, event_id FROM ev),
- latest AS (SELECT *, event_id % 2 AS side FROM led QUALIFY row_number() OVER (PARTITION BY lane, event_id % 2 ORDER BY event_id DESC) = 1)"""
+   CASE WHEN status = 'claimed' THEN t END AS claimed_at, t + 21600 AS lease_until, event_id, CASE WHEN proof_bytes < 6000 THEN 1 ELSE 0 END AS side FROM ev),
+ latest AS (SELECT * FROM led QUALIFY row_number() OVER (PARTITION BY lane, side ORDER BY event_id DESC) = 1)"""
 
 
 def ledger_rows(t: Tables):
@@ -30,7 +30,8 @@ def ledger_rows(t: Tables):
 
 
 def latest_side(t: Tables, side: int):
-    rows = ledger_rows(t).filter(F.col("event_id") % 2 == side)
+    """Latest row per lane of one source: small proofs (side 1) come from one, large from the other."""
+    rows = ledger_rows(t).filter(F.col("proof_bytes") < 6000 if side else F.col("proof_bytes") >= 6000)
     fields = ["status", "device", "proof_bytes", "verified_at", "finished_at", "claimed_at", "lease_until"]
     rows = rows.withColumn("_k", F.col("event_id"))
     return W.latest_per_key(rows, ["lane"], "_k", "event_id", fields).select("lane", *fields)
@@ -38,7 +39,7 @@ def latest_side(t: Tables, side: int):
 
 RANK_SQL = "CASE {0}.status WHEN 'verified' THEN 70 WHEN 'done' THEN 60 WHEN 'failed' THEN 30 WHEN 'released' THEN 20 ELSE 10 END"
 SCORE_SQL = "(" + RANK_SQL + " * 10 + CASE WHEN {0}.proof_bytes >= 1024 THEN 1 ELSE 0 END), coalesce({0}.verified_at, {0}.finished_at, {0}.claimed_at, 0), CAST({0}.verified_at IS NOT NULL AS INT) + CAST({0}.finished_at IS NOT NULL AS INT) + CAST({0}.claimed_at IS NOT NULL AS INT)"
-MERGE_SQL = f"""WITH {LEDGER_SQL}, s AS (SELECT * FROM latest WHERE side = 1), d AS (SELECT * FROM latest WHERE side = 0 AND lane % 10 <> 3),
+MERGE_SQL = f"""WITH {LEDGER_SQL}, s AS (SELECT * FROM latest WHERE side = 1), d AS (SELECT * FROM latest WHERE side = 0 AND status <> 'failed'),
  j AS (SELECT coalesce(s.lane, d.lane) AS lane, s.status AS st, d.status AS dt, s.device AS sd, d.device AS dd, row({SCORE_SQL.format('s')}) AS ss, row({SCORE_SQL.format('d')}) AS ds, s.lane IS NULL AS no_s, d.lane IS NULL AS no_d FROM s FULL JOIN d ON s.lane = d.lane),
  a AS (SELECT *, CASE WHEN no_s THEN 'untouched' WHEN st = 'claimed' THEN 'skipped_active' WHEN no_d THEN 'added' WHEN ss > ds THEN 'replaced' ELSE 'kept' END AS action FROM j)
  SELECT lane, action, coalesce(action IN ('replaced', 'kept') AND st <> dt, false) AS conflict, coalesce(CASE WHEN action IN ('added', 'replaced') THEN st ELSE dt END, '') AS status,
@@ -47,13 +48,13 @@ MERGE_SQL = f"""WITH {LEDGER_SQL}, s AS (SELECT * FROM latest WHERE side = 1), d
 
 @query("merge_best", MERGE_SQL)
 def merge_best(t: Tables):
-    out = L.merge_best(latest_side(t, 1), latest_side(t, 0).filter("lane % 10 <> 3"), "lane")
+    out = L.merge_best(latest_side(t, 1), latest_side(t, 0).filter("status <> 'failed'"), "lane")
     return out.select("lane", "action", "conflict", F.coalesce("status", F.lit("")).alias("status"), F.coalesce("device", F.lit("")).alias("device"))
 
 
 @query("merge_counts", f"WITH r AS ({MERGE_SQL}) SELECT action, count(*) AS n, count(*) FILTER (conflict) AS conflicts FROM r GROUP BY action")
 def merge_counts(t: Tables):
-    return L.merge_counts(L.merge_best(latest_side(t, 1), latest_side(t, 0).filter("lane % 10 <> 3"), "lane"))
+    return L.merge_counts(L.merge_best(latest_side(t, 1), latest_side(t, 0).filter("status <> 'failed'"), "lane"))
 
 
 ORDER_LEDGER_SQL = """ol AS (SELECT o_orderkey AS lane, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'claimed' END AS status,
@@ -116,14 +117,14 @@ def row_status(t: Tables):
 
 
 TRUST_SQL = """WITH d AS (SELECT DISTINCT event_type AS device, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS pos, user_id AS lane FROM events WHERE value > 40),
- seen AS (SELECT lane, min(pos) AS first FROM (SELECT lane, pos FROM d UNION ALL SELECT DISTINCT user_id, -1 FROM events WHERE user_id % 10 = 0) GROUP BY lane)"""
+ seen AS (SELECT lane, min(pos) AS first FROM (SELECT lane, pos FROM d UNION ALL SELECT DISTINCT user_id, -1 FROM events WHERE value > 200) GROUP BY lane)"""
 
 
 def device_lanes(t: Tables):
     names = ["click", "error", "purchase", "signup", "view"]
     pos = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("event_type")) - 1
     rows = t.events.filter("value > 40").select(F.col("event_type").alias("device"), pos.alias("pos"), F.col("user_id").alias("lane"))
-    return rows, t.events.filter("user_id % 10 = 0").select(F.col("user_id").alias("lane")).distinct()
+    return rows, t.events.filter("value > 200").select(F.col("user_id").alias("lane")).distinct()
 
 
 @query("trusted_union", TRUST_SQL + " SELECT device, pos, count(*) AS lanes, count(*) FILTER (first = pos) AS unique_lanes, count(*) FILTER (first < pos) AS duplicate_lanes FROM d JOIN seen USING (lane) GROUP BY device, pos")
@@ -142,14 +143,14 @@ def grand_total(t: Tables):
     "ownership",
     f"""WITH {LEDGER_SQL}, l AS (SELECT lane, status, device FROM latest WHERE side = 0),
     e AS (SELECT event_id, user_id AS lane, CASE event_type WHEN 'click' THEN 'heartbeat' WHEN 'view' THEN 'release' WHEN 'purchase' THEN 'finish' ELSE 'fail' END AS event, 'd' || (event_id % 3) AS owner,
-      CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(round(value * 100) AS BIGINT) END AS proof_bytes, CASE WHEN event_id % 4 = 0 THEN 65535 ELSE 65536 END AS item_count FROM events WHERE event_id % 2 = 1)
+      CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(round(value * 100) AS BIGINT) END AS proof_bytes, CASE WHEN event_id % 4 = 0 THEN 65535 ELSE 65536 END AS item_count FROM events)
     SELECT event_id, coalesce(CASE WHEN event IN ('heartbeat', 'release') AND device IS DISTINCT FROM owner THEN 'not-owner' WHEN event IN ('heartbeat', 'release') AND coalesce(status, '') <> 'claimed' THEN 'not-active'
       WHEN event IN ('finish', 'fail') AND device IS NOT NULL AND device <> owner THEN 'not-owner' WHEN event = 'finish' AND proof_bytes IS NULL THEN 'no-proof'
       WHEN event = 'finish' AND proof_bytes < 1024 THEN 'proof-too-small' WHEN event = 'finish' AND item_count <> 65536 THEN 'wrong-count' END, '') AS reject FROM e LEFT JOIN l USING (lane)""",
 )
 def ownership(t: Tables):
     kind = F.when(F.col("event_type") == "click", "heartbeat").when(F.col("event_type") == "view", "release").when(F.col("event_type") == "purchase", "finish").otherwise("fail")
-    ev = t.events.filter("event_id % 2 = 1").select(
+    ev = t.events.select(
         "event_id", F.col("user_id").alias("lane"), kind.alias("event"), F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string")).alias("owner"),
         F.when(F.col("event_id") % 5 != 0, cents("value")).alias("proof_bytes"), F.when(F.col("event_id") % 4 == 0, 65535).otherwise(65536).alias("item_count"),
     )
@@ -158,16 +159,16 @@ def ownership(t: Tables):
 
 @query(
     "slot_rows",
-    """WITH r AS (SELECT user_id AS slot, arg_max(event_id, event_id) AS cur, arg_max(event_type, event_id) AS cur_status, arg_max(value, event_id) AS secs FROM events WHERE event_type IN ('view', 'signup') AND user_id % 3 <> 0 GROUP BY 1),
-    d AS (SELECT user_id AS slot, max(event_id) AS last, arg_max(CASE WHEN value > 10 THEN value ELSE value * 2 END, event_id) AS last_seconds FROM events WHERE event_type = 'click' AND user_id % 4 <> 0 GROUP BY 1)
+    """WITH r AS (SELECT user_id AS slot, arg_max(event_id, event_id) AS cur, arg_max(event_type, event_id) AS cur_status, arg_max(value, event_id) AS secs FROM events WHERE event_type IN ('view', 'signup') AND value > 120 GROUP BY 1),
+    d AS (SELECT user_id AS slot, max(event_id) AS last, arg_max(CASE WHEN value > 10 THEN value ELSE value * 2 END, event_id) AS last_seconds FROM events WHERE event_type = 'click' AND value < 30 GROUP BY 1)
     SELECT coalesce(r.slot, d.slot) AS slot, coalesce(cur, -1) AS current_item, coalesce(cur_status, '') AS current_status, round(coalesce(secs, -1), 4) AS current_seconds, coalesce(last, -1) AS last_item, round(coalesce(last_seconds, -1), 4) AS last_seconds FROM r FULL JOIN d ON r.slot = d.slot""",
 )
 def slot_rows(t: Tables):
     ev = t.events.withColumnRenamed("user_id", "slot")
-    run = W.latest_per_key(ev.filter("event_type IN ('view', 'signup') AND slot % 3 <> 0").withColumn("_k", F.col("event_id")), ["slot"], "_k", "event_id", ["event_type", "value"])
+    run = W.latest_per_key(ev.filter("event_type IN ('view', 'signup') AND value > 120").withColumn("_k", F.col("event_id")), ["slot"], "_k", "event_id", ["event_type", "value"])
     none = F.lit(None).cast("double")
     run = run.select("slot", F.col("event_id").alias("item"), F.col("event_type").alias("status"), none.alias("active_elapsed"), F.lit(0.0).alias("elapsed"), F.col("value").alias("outer_elapsed"), none.alias("bundle_elapsed"))
-    done = ev.filter("event_type = 'click' AND slot % 4 <> 0").select(
+    done = ev.filter("event_type = 'click' AND value < 30").select(
         "slot", F.col("event_id").alias("seq"), F.col("event_id").alias("item"), F.col("event_type").alias("status"),
         F.when(F.col("value") > 10, F.col("value")).otherwise(F.lit(0.0)).alias("outer_elapsed"), (F.col("value") * 2).alias("elapsed"), F.lit(1).alias("complete_items"),
     )
@@ -222,20 +223,21 @@ A18, C18 = jump_constants(18)
 def labelled_schedule(t: Tables):
     k = F.col("o_orderkey")
     state = (k * 7919).bitwiseAND(U32)
-    moved = F.when(k % 10 == 5, lcg_jump(state, 19)).otherwise(lcg_jump(state, 18))
+    kind = F.col("o_orderpriority")
+    moved = F.when(kind == "4-NOT SPECIFIED", lcg_jump(state, 19)).otherwise(lcg_jump(state, 18))
     frame = k % 1000
     first = t.orders.select(k.alias("target"), F.lit("t-18").alias("label"), (F.col("o_custkey")).alias("seed"), frame.alias("frame"), state.alias("state"))
-    last = t.orders.filter(k % 10 != 7).select(
-        k.alias("target"), F.lit("t-0").alias("label"), (F.col("o_custkey") + F.when(k % 10 == 1, 1).otherwise(0)).alias("seed"),
-        (frame + F.when(k % 10 == 3, 17).otherwise(18)).alias("frame"), moved.alias("state"),
+    last = t.orders.filter("o_orderpriority <> '1-URGENT'").select(
+        k.alias("target"), F.lit("t-0").alias("label"), (F.col("o_custkey") + F.when(kind == "2-HIGH", 1).otherwise(0)).alias("seed"),
+        (frame + F.when(kind == "3-MEDIUM", 17).otherwise(18)).alias("frame"), moved.alias("state"),
     )
     return first.unionByName(last)
 
 
 @query(
     "pair_events",
-    f"""SELECT o_orderkey AS target, o_custkey AS seed, CASE o_orderkey % 10 WHEN 7 THEN 'missing-row' WHEN 1 THEN 'shared-keys-differ' WHEN 3 THEN 'delay-differs' WHEN 5 THEN 'state-does-not-bridge' ELSE '' END AS problem,
-    CASE WHEN o_orderkey % 10 IN (7, 5) THEN -1 ELSE CAST((CAST((o_orderkey * 7919) & 4294967295 AS HUGEINT) * {A18} + {C18}) % 4294967296 AS BIGINT) END AS last_state FROM orders""",
+    f"""SELECT o_orderkey AS target, o_custkey AS seed, CASE o_orderpriority WHEN '1-URGENT' THEN 'missing-row' WHEN '2-HIGH' THEN 'shared-keys-differ' WHEN '3-MEDIUM' THEN 'delay-differs' WHEN '4-NOT SPECIFIED' THEN 'state-does-not-bridge' ELSE '' END AS problem,
+    CASE WHEN o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') THEN -1 ELSE CAST((CAST((o_orderkey * 7919) & 4294967295 AS HUGEINT) * {A18} + {C18}) % 4294967296 AS BIGINT) END AS last_state FROM orders""",
 )
 def pair_events(t: Tables):
     out = D.pair_events(labelled_schedule(t), "target", "label", "t-18", "t-0", ["seed"], "frame", "state", delay=18, strict=False)
@@ -245,7 +247,7 @@ def pair_events(t: Tables):
 
 @query(
     "resume_scan",
-    """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'missing-save' WHEN doc_id % 13 = 0 THEN 'missing-state' WHEN l.doc_id IS NULL THEN 'missing-manifest' WHEN doc_id % 17 = 0 THEN 'unreadable-manifest'
+    """SELECT doc_id, CASE WHEN n_chars < 600 THEN 'missing-save' WHEN n_chars > 9000 THEN 'missing-state' WHEN l.doc_id IS NULL THEN 'missing-manifest' WHEN lang = 'es' THEN 'unreadable-manifest'
     WHEN toxic = 1 THEN 'manifest-schema-mismatch' WHEN quality = 0 THEN 'manifest-seed-mismatch' WHEN doc_id % 7 = 3 THEN 'manifest-save-path-mismatch' WHEN doc_id % 7 = 4 THEN 'save-digest-mismatch' ELSE 'complete' END AS reason
     FROM documents LEFT JOIN labels l USING (doc_id)""",
 )
@@ -254,11 +256,11 @@ def resume_scan(t: Tables):
     path = lambda kind: F.concat(F.lit(f"{kind}/"), k.cast("string"))
     targets = t.documents.select("doc_id", F.lit(1).alias("seed"), path("save").alias("save_path"), path("state").alias("state_path"))
     digest = F.md5("text")
-    art = t.documents.filter(k % 11 != 0).select("doc_id", F.lit("save").alias("kind"), digest.alias("digest")).unionByName(
-        t.documents.filter(k % 13 != 0).select("doc_id", F.lit("state").alias("kind"), digest.alias("digest"))
+    art = t.documents.filter("n_chars >= 600").select("doc_id", F.lit("save").alias("kind"), digest.alias("digest")).unionByName(
+        t.documents.filter("n_chars <= 9000").select("doc_id", F.lit("state").alias("kind"), digest.alias("digest"))
     )
-    man = t.labels.join(t.documents.select("doc_id", digest.alias("d")), "doc_id").select(
-        "doc_id", (k % 17 != 0).alias("readable"), F.lit(True).alias("is_object"), F.when(F.col("toxic") == 1, 2).otherwise(1).alias("schema_version"),
+    man = t.labels.join(t.documents.select("doc_id", "lang", digest.alias("d")), "doc_id").select(
+        "doc_id", (F.col("lang") != "es").alias("readable"), F.lit(True).alias("is_object"), F.when(F.col("toxic") == 1, 2).otherwise(1).alias("schema_version"),
         F.col("quality").alias("seed"), F.when(k % 7 == 3, "elsewhere").otherwise(path("save")).alias("save_path"), path("state").alias("state_path"),
         F.when(k % 7 == 4, "stale").otherwise(F.col("d")).alias("save_digest"), F.col("d").alias("state_digest"),
     )
@@ -267,13 +269,13 @@ def resume_scan(t: Tables):
 
 @query(
     "match_nonmatch",
-    """WITH b AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0), lo AS (SELECT min(k) AS a FROM b), hi AS (SELECT min(k) AS b2 FROM b, lo WHERE k > a)
+    """WITH b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 1000), lo AS (SELECT min(k) AS a FROM b), hi AS (SELECT min(k) AS b2 FROM b, lo WHERE k > a)
     SELECT o_orderkey, coalesce(m.k, -1) AS match, coalesce(n.k, CASE WHEN a <> v THEN a ELSE b2 END) AS nonmatch, CASE WHEN m.k IS NULL THEN 'missing_matching_row' ELSE '' END AS issue
     FROM (SELECT o_orderkey, o_orderkey & 8191 AS v FROM orders) LEFT JOIN b m ON m.k = v LEFT JOIN b n ON n.k = (v + 1) % 8192, lo, hi""",
 )
 def match_nonmatch(t: Tables):
     rows = t.orders.select("o_orderkey", F.col("o_orderkey").bitwiseAND(8191).alias("v"))
-    bank = t.customer.filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k"), "c_name")
+    bank = t.customer.filter("c_acctbal > 1000").select(F.col("c_custkey").alias("k"), "c_name")
     out = D.assign_match_and_nonmatch(rows, bank, "v", "k", ["c_name"])
     return out.select("o_orderkey", F.coalesce("match.k", F.lit(-1)).alias("match"), F.col("nonmatch.k").alias("nonmatch"), F.coalesce("issue", F.lit("")).alias("issue"))
 

@@ -73,10 +73,10 @@ def collect_media(t: Tables):
     return A.collect_media(rows.unionAll(rows), [".HTML", ".php"])
 
 
-@query("refresh_library", "SELECT coalesce(a.url, b.url) AS path, CASE WHEN b.url IS NULL THEN 'delete' WHEN a.url IS NULL THEN 'add' ELSE 'reread' END AS action FROM (SELECT DISTINCT url FROM pages WHERE page_id % 3 <> 0) a FULL JOIN (SELECT DISTINCT url FROM pages WHERE page_id % 4 <> 0) b ON a.url = b.url")
+@query("refresh_library", "SELECT coalesce(a.url, b.url) AS path, CASE WHEN b.url IS NULL THEN 'delete' WHEN a.url IS NULL THEN 'add' ELSE 'reread' END AS action FROM (SELECT DISTINCT url FROM pages WHERE url LIKE 'https:%') a FULL JOIN (SELECT DISTINCT url FROM pages WHERE url NOT LIKE '%#top') b ON a.url = b.url")
 def refresh_library(t: Tables):
-    side = lambda m: t.pages.filter(F.col("page_id") % m != 0).select(F.col("url").alias("path")).distinct()
-    return A.refresh_library(side(3), side(4))
+    urls = t.pages.select(F.col("url").alias("path")).distinct()
+    return A.refresh_library(urls.filter(F.col("path").startswith("https:")), urls.filter(~F.col("path").endswith("#top")))
 
 
 @query("parse_schedule", "SELECT o_orderkey AS target_half_16bit, o_custkey AS rng_seed, o_orderkey % 7 AS sweep_index FROM orders WHERE o_orderkey % 3 = 0")
