@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import changed_mask, percent, residual_key
-from .residual import classify_first_match, residual_vs_model
+from .residual import first_match, candidate_vectors, residual_vs_model
 
 
 def encode_exceptions(fact: DataFrame, model: DataFrame, lane: str, key: str, actual: str = "actual") -> DataFrame:
@@ -29,11 +29,36 @@ def decode_exceptions(cells: DataFrame, exceptions: DataFrame, model: DataFrame,
 
 @dataclass
 class TwoStage:
-    """The three tables of a two-stage encoding. ``shift``: class rows; ``explicit``: the rest."""
+    """The three tables of a two-stage encoding. ``shift``: class rows; ``explicit``: the rest.
+
+    ``rows``, where known, holds all three as one frame with a ``kind`` column.
+    """
 
     shift: DataFrame
     explicit: DataFrame
     misses: DataFrame
+    rows: DataFrame | None = None
+
+
+def _tables_of(rows: DataFrame, lane: str, key: str) -> TwoStage:
+    return TwoStage(
+        rows.filter("kind = 'shift'").select(lane, key, "class_id"),
+        rows.filter("kind = 'explicit'").select(lane, key, "mask", "residual", "raw"),
+        rows.select(lane, key),
+        rows,
+    )
+
+
+def stored(tables: TwoStage, path: str, lane: str = "lane", key: str = "upper") -> TwoStage:
+    """Write the encoded rows once, one folder per kind, and read the tables from there."""
+    tables.rows.write.mode("overwrite").partitionBy("kind").parquet(path)
+    return _tables_of(tables.rows.sparkSession.read.schema(tables.rows.schema).parquet(path), lane, key)
+
+
+def _dimension(model: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Prediction, default second-stage value and candidate vectors of each key, in one table."""
+    rows = model.select(key, "predicted").join(candidate_vectors(candidates, key), key, "full_outer")
+    return rows.withColumn("base", F.when(F.get("ids", F.lit(0)) == 0, F.get("values", F.lit(0))))
 
 
 def encode_two_stage(fact: DataFrame, model: DataFrame, candidates: DataFrame, lane: str, key: str, actual: str = "actual") -> TwoStage:
@@ -43,20 +68,22 @@ def encode_two_stage(fact: DataFrame, model: DataFrame, candidates: DataFrame, l
     miss mark. Higher classes store their class, unmatched cells store the changed fields
     against class 0 (or the raw value where a high bit differs or class 0 is absent).
     """
-    misses = residual_vs_model(fact.select(lane, key, actual), model, key, actual).filter("miss").drop("miss", "predicted")
-    base = candidates.filter("class_id = 0").select(key, F.col("value").alias("base"))
-    staged = classify_first_match(misses, candidates, key, actual, [lane, key]).join(base, key, "left")
-    shift = staged.filter("class_id > 0").select(lane, key, "class_id")
-    rest = staged.filter("class_id < 0")
+    vectors = _dimension(model, candidates, key)
+    scored = fact.select(lane, key, actual).join(vectors, key, "left").filter(~F.col(actual).eqNullSafe(F.col("predicted")))
+    staged = first_match(scored, actual)
     fits = F.col("base").isNotNull() & (F.shiftrightunsigned(F.col(actual).bitwiseXOR(F.col("base")), 30) == 0)
-    explicit = rest.select(
+    kind = F.when(F.col("class_id") > 0, "shift").when(F.col("class_id") < 0, "explicit").otherwise("default")
+    left = F.col("class_id") < 0
+    rows = staged.select(
         lane,
         key,
-        F.when(fits, changed_mask(actual, "base")).alias("mask"),
-        F.when(fits, residual_key(actual, "base")).alias("residual"),
-        F.when(~fits, F.col(actual)).alias("raw"),
+        F.when(F.col("class_id") > 0, F.col("class_id")).cast("int").alias("class_id"),
+        F.when(left & fits, changed_mask(actual, "base")).alias("mask"),
+        F.when(left & fits, residual_key(actual, "base")).alias("residual"),
+        F.when(left & ~fits, F.col(actual)).alias("raw"),
+        kind.alias("kind"),
     )
-    return TwoStage(shift, explicit, staged.select(lane, key))
+    return _tables_of(rows, lane, key)
 
 
 def decode_two_stage(cells: DataFrame, tables: TwoStage, model: DataFrame, candidates: DataFrame, lane: str, key: str) -> DataFrame:
@@ -76,22 +103,16 @@ def decode_two_stage(cells: DataFrame, tables: TwoStage, model: DataFrame, candi
             F.max((F.col("_kind") == 1).cast("int")).alias("_s"), F.max((F.col("_kind") == 2).cast("int")).alias("_e"),
         )
     )
-    base = candidates.filter("class_id = 0").select(key, F.col("value").alias("base"))
-    shifted = candidates.select(key, F.col("class_id").cast("int").alias("class_id"), F.col("value").alias("shifted"))
-    out = (
-        cells.select(lane, key)
-        .join(model.select(key, "predicted"), key, "left")
-        .join(marks, [lane, key], "left")
-        .join(base, key, "left")
-        .join(shifted, [key, "class_id"], "left")
-    )
-    rebuilt = F.col("base")
+    out = cells.select(lane, key).join(_dimension(model, candidates, key), key, "left").join(marks, [lane, key], "left")
+    out = out.withColumn("shifted", F.get("values", F.array_position("ids", F.col("class_id")).cast("int") - 1))
+    zero = F.lit(0).cast("bigint")
+    cleared, filled = zero, zero
     for i, shift in enumerate(FIELD_SHIFTS):
+        changed = F.col("mask").bitwiseAND(1 << i) != 0
         new = F.shiftrightunsigned(F.col("residual"), 6 + 5 * i).bitwiseAND(FIELD_MASK)
-        hole = ((1 << 32) - 1) & ~(FIELD_MASK << shift)
-        rebuilt = F.when(
-            F.col("mask").bitwiseAND(1 << i) != 0, rebuilt.bitwiseAND(hole).bitwiseOR(F.shiftleft(new, shift))
-        ).otherwise(rebuilt)
+        cleared = cleared.bitwiseOR(F.when(changed, F.lit(FIELD_MASK << shift).cast("bigint")).otherwise(zero))
+        filled = filled.bitwiseOR(F.when(changed, F.shiftleft(new, shift)).otherwise(zero))
+    rebuilt = F.col("base").bitwiseAND(F.bitwise_not(cleared)).bitwiseOR(filled)
     conflict = (F.col("_s") == 1) & (F.col("_e") == 1)
     value = (
         F.when(conflict, F.raise_error(F.lit("cell stored both as shift and as explicit")).cast("bigint"))

@@ -84,20 +84,22 @@ class OrderedFrame:
 
     @classmethod
     def of(
-        cls, df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None
+        cls, df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None, bound: DataFrame | None = None
     ) -> "OrderedFrame":
         """Decide from counts whether any group is too large for one window task.
 
         ``order`` must be total (end it with a unique tie column) and start with a numeric,
-        date or timestamp column.
+        date or timestamp column. ``bound`` is a cheaper frame with the same key columns and
+        at least as many rows per key; where it is given, the counting runs on it instead.
         """
         size = rows_per_block(df, rows)
         keys, order = tuple(keys), tuple(order)
         x = numeric_order(df, order[0])
-        total = df.count()
+        counted = df if bound is None else bound
+        total = counted.count()
         hot = None
         if total > size and keys:
-            hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
+            hot = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
             if hot.isEmpty():
                 return cls(df, keys, order, False, size)
         if total <= size:

@@ -49,26 +49,46 @@ def band_split_totals(df: DataFrame, row: str, col: str) -> DataFrame:
     )
 
 
-def classify_first_match(fact: DataFrame, candidates: DataFrame, key: str, actual: str, ids: Sequence[str]) -> DataFrame:
+def candidate_vectors(candidates: DataFrame, key: str) -> DataFrame:
+    """One row per key: its class ids in order and the values beside them.
+
+    A key has one candidate per class, so an entry is as long as the class list.
+    """
+    packed = F.sort_array(F.collect_list(F.struct(F.col("class_id"), F.col("value"))))
+    rows = candidates.groupBy(key).agg(packed.alias("_p"))
+    return rows.select(key, F.col("_p.class_id").alias("ids"), F.col("_p.value").alias("values"))
+
+
+def classify_first_match(fact: DataFrame, candidates: DataFrame, key: str, actual: str) -> DataFrame:
     """Smallest class whose value for the key equals the actual; -1 when none does.
 
-    Candidates are reduced to one class per (key, value) first, so the join never multiplies
-    fact rows.
+    The candidates become one vector per key, so this is a single lookup join on the key and
+    a position search inside the row; fact rows are never multiplied.
     """
-    best = candidates.groupBy(F.col(key), F.col("value").alias(actual)).agg(F.min("class_id").alias("class_id"))
-    out = fact.join(best, [key, actual], "left")
-    return out.withColumn("class_id", F.coalesce("class_id", F.lit(-1)))
+    out = fact.join(candidate_vectors(candidates, key), key, "left")
+    return first_match(out, actual).drop("ids", "values")
+
+
+def first_match(rows: DataFrame, actual: str) -> DataFrame:
+    at = F.array_position("values", F.col(actual)).cast("int")
+    found = F.when(at > 0, F.get("ids", at - 1))
+    return rows.withColumn("class_id", F.coalesce(found, F.lit(-1)))
 
 
 def class_report(classified: DataFrame, group: str, total_cells: DataFrame | None = None) -> DataFrame:
-    """Count and percent per class, for each group and overall (group null)."""
+    """Count and percent per class, for each group and overall (group null).
+
+    Rows are counted once per (group, class); every total is a sum over those counts.
+    """
+    base = classified.groupBy(group, "class_id").agg(F.count(F.lit(1)).alias("_c"))
     counts = (
-        classified.groupingSets([[group, "class_id"], ["class_id"]], group, "class_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid"))
+        base.groupingSets([[group, "class_id"], ["class_id"]], group, "class_id")
+        .agg(F.sum("_c").alias("n"), F.grouping_id().alias("_gid"))
     )
+    matched = F.sum(F.when(F.col("class_id") >= 0, F.col("_c")).otherwise(F.lit(0)))
     totals = (
-        classified.groupingSets([[group], []], group)
-        .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("class_id") >= 0).alias("matched"), F.grouping_id().alias("_tid"))
+        base.groupingSets([[group], []], group)
+        .agg(F.sum("_c").alias("total"), matched.alias("matched"), F.grouping_id().alias("_tid"))
         .withColumn("_gid", F.when(F.col("_tid") == 1, 2).otherwise(0))
         .drop("_tid")
     )
@@ -105,24 +125,34 @@ def offset_coverage(classified: DataFrame, max_offset: int = 15) -> DataFrame:
     )
 
 
-def nearest_candidate(fact: DataFrame, candidates: DataFrame, key: str, actual: str, ids: Sequence[str], model_id: int, model: DataFrame | None = None) -> DataFrame:
+def nearest_candidate(fact: DataFrame, candidates: DataFrame, key: str, actual: str, model_id: int, model: DataFrame | None = None) -> DataFrame:
     """Candidate with the fewest differing fields; the lower class wins ties, the model comes last.
 
-    Equal (key, actual) pairs have equal answers, so the search runs once per distinct pair
-    and its result is joined back: the candidate fan-out is pairs x classes, not rows x classes.
+    Rows with equal (key, actual) share their answer, so the search runs once per distinct
+    pair. Distance and class are packed into one number, whose minimum is a plain hash
+    aggregate over the pair's candidates.
     """
+    kind = candidates.schema["class_id"].dataType
     options = candidates.select(key, "class_id", "value")
     if model is not None:
         options = options.unionByName(
-            model.select(key, F.lit(model_id).cast(candidates.schema["class_id"].dataType).alias("class_id"), F.col("predicted").alias("value"))
+            model.select(key, F.lit(model_id).cast(kind).alias("class_id"), F.col("predicted").alias("value"))
         )
-    pairs = fact.select(key, actual).distinct()
-    scored = pairs.join(options, key).withColumn("distance", changed_count(actual, "value"))
-    best = scored.groupBy(key, actual).agg(F.min(F.struct("distance", "class_id", "value")).alias("_b"))
-    best = best.select(key, actual, F.col("_b.class_id").alias("class_id"), F.col("_b.value").alias("value"), F.col("_b.distance").alias("distance"))
+    pairs = fact.select(key, actual).distinct().join(candidate_vectors(options, key), key)
+    tried = pairs.select(key, actual, F.explode(F.arrays_zip("ids", "values")).alias("_o"))
+    score = F.shiftleft(changed_count(F.col(actual), F.col("_o.values")).cast("bigint"), 32) + F.col("_o.ids")
+    best = tried.groupBy(key, actual).agg(F.min(score).alias("_b"))
+    best = best.select(
+        key, actual, F.col("_b").bitwiseAND(0xFFFFFFFF).cast(kind).alias("class_id"), F.shiftright("_b", 32).cast("int").alias("distance")
+    )
     return fact.join(best, [key, actual], "left")
 
 
+def candidate_value(df: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """The value of each row's ``class_id``."""
+    return df.join(candidates.select(key, "class_id", "value"), [key, "class_id"], "left")
+
+
 def select_baseline(df: DataFrame, actual: str, first: str, second: str) -> DataFrame:
     """Use ``second`` as baseline only where it changes strictly fewer fields than ``first``."""
     a, b = changed_count(actual, first), changed_count(actual, second)
@@ -199,8 +229,7 @@ def best_layout(df: DataFrame, group: str, item: str, domain: int) -> DataFrame:
     """
     from .sets import compact_ranges
 
-    ids = df.select(group, item).distinct()
-    runs = compact_ranges(ids, item, [group]).groupBy(group).agg(
+    runs = compact_ranges(df, item, [group]).groupBy(group).agg(
         F.count(F.lit(1)).alias("runs"), F.sum("n").alias("present")
     )
     sizes = [

@@ -94,11 +94,9 @@ def missing_samples(df: DataFrame, groups: DataFrame, group: str, item: str, lo:
     present = df.select(group, F.col(item).cast("bigint").alias(item)).filter(
         (F.col(item) >= lo) & (F.col(item) < hi)
     )
-    fences = groups.select(group).distinct().select(group, F.lit(lo - 1).cast("bigint").alias(item)).unionByName(
-        groups.select(group).distinct().select(group, F.lit(hi).cast("bigint").alias(item))
-    )
+    fences = groups.select(group).distinct().select(group, F.explode(F.array(F.lit(lo - 1).cast("bigint"), F.lit(hi).cast("bigint"))).alias(item))
     items = present.unionByName(fences).distinct()
-    gaps = OrderedFrame.of(items, [group], [item]).neighbour({"_next": item}, 1).done()
+    gaps = OrderedFrame.of(items, [group], [item], bound=df).neighbour({"_next": item}, 1).done()
     gaps = gaps.filter(F.col("_next") - F.col(item) > 1)
     last = F.least(F.col("_next") - 1, F.col(item) + n)
     out = gaps.select(group, F.explode(F.sequence(F.col(item) + 1, last)).alias(item))
@@ -108,7 +106,7 @@ def missing_samples(df: DataFrame, groups: DataFrame, group: str, item: str, lo:
 def compact_ranges(df: DataFrame, key: str, group: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Maximal runs of consecutive ids: lo, hi, n and the text form."""
     ids = df.select(*group, F.col(key).cast("bigint").alias(key)).filter(F.col(key).isNotNull()).distinct()
-    placed = OrderedFrame.of(ids, group, [key], rows).row_number("_rn").done()
+    placed = OrderedFrame.of(ids, group, [key], rows, bound=df).row_number("_rn").done()
     runs = placed.groupBy(*group, (F.col(key) - F.col("_rn")).alias("_run")).agg(
         F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")
     )

@@ -78,7 +78,7 @@ def ecdf(df: DataFrame, value: str, out: str = "ecdf", rows: int | None = None)
     Counting per value first makes the ordered scan run over distinct values only.
     """
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    run = OrderedFrame.of(counts, [], [value], rows).running({"_le": ("sum", "n")}).done()
+    run = OrderedFrame.of(counts, [], [value], rows, bound=df).running({"_le": ("sum", "n")}).done()
     return run.withColumn(out, F.col("_le") / df.agg(F.count(F.lit(1))).scalar()).drop("_le")
 
 
@@ -91,7 +91,7 @@ def rank_curve(df: DataFrame, value: str, tie: str, rows: int | None = None) ->
 def concentration(df: DataFrame, value: str, tie: str, ks: Sequence[int], rows: int | None = None) -> DataFrame:
     """Share of the total held by the k largest rows, for each k (bounded top-k, then one sum)."""
     top = df.orderBy(F.col(value).desc(), F.col(tie)).limit(max(ks))
-    placed = OrderedFrame.of(top.withColumn("_neg", -F.col(value)), [], ["_neg", tie], rows).row_number("_rn").done()
+    placed = OrderedFrame.of(top.withColumn("_neg", -F.col(value)), [], ["_neg", tie], rows, bound=df).row_number("_rn").done()
     total = df.agg(F.sum(value)).scalar()
     sums = placed.agg(*[F.sum(F.when(F.col("_rn") <= k, F.col(value))).alias(f"k{k}") for k in ks])
     return sums.select(
@@ -135,13 +135,10 @@ def quantile_profile(df: DataFrame, value: str, keys: Sequence[str] = (), exact:
 def _exact_profile(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Exact linear-interpolation quantiles by position: count per value, running count, pick."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    of = OrderedFrame.of(counts, keys, [value]).running({"_le": ("sum", "_n")})
+    of = OrderedFrame.of(counts, keys, [value], bound=df).running({"_le": ("sum", "_n")})
     placed = of.done()
-    totals = counts.groupBy(*keys).agg(
-        F.sum("_n").alias("_all"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
+    totals = df.groupBy(*keys).agg(
+        F.count(value).alias("_all"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean")
     )
     if keys:
         placed = join_on(placed, totals, keys)

@@ -93,7 +93,7 @@ def order_and_group(
     if mode != "seed":
         raise ValueError(f"unsupported order: {mode!r}")
     ids = df.select(group).distinct()
-    ids = OrderedFrame.of(ids, [], [group]).row_number("group_no").done()
+    ids = OrderedFrame.of(ids, [], [group], bound=df).row_number("group_no").done()
     out = df.join(ids, group)
     if groups is not None:
         out = out.filter(F.col("group_no") <= groups)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import delta as D
+from ..session import shared_dir
 from .base import BEST_SQL, CAND_SQL, CELLS_SQL, MODEL_SQL, Tables, packed_part, query, r4
 
 MODEL_PART_SQL = MODEL_SQL + " , m AS (SELECT model.* FROM model JOIN part ON upper = p_partkey WHERE p_size <> 7)"
@@ -28,7 +29,9 @@ def decode(t: Tables):
 
 @query("roundtrip", f"WITH {CELLS_SQL} SELECT lane, count(*) AS cells, CAST(0 AS BIGINT) AS mismatches FROM cells GROUP BY lane")
 def roundtrip(t: Tables):
+    """Encode, store, read back, rebuild, compare."""
     tables = D.encode_two_stage(t.cells, t.model, t.candidates, "lane", "upper")
+    tables = D.stored(tables, shared_dir(t.spark, "encoded"))
     back = D.decode_two_stage(t.cells, tables, t.model, t.candidates, "lane", "upper")
     return D.verify_roundtrip(t.cells, back, "lane", "upper").select("lane", "cells", "mismatches")
 
@@ -41,9 +44,7 @@ def roundtrip(t: Tables):
 )
 def two_stage(t: Tables):
     tables = D.encode_two_stage(t.cells, t.model, t.candidates, "lane", "upper")
-    kinds = tables.shift.select("lane", "upper", F.lit("shift").alias("kind")).unionByName(tables.explicit.select("lane", "upper", F.lit("explicit").alias("kind")))
-    every = tables.misses.join(kinds, ["lane", "upper"], "left").withColumn("kind", F.coalesce("kind", F.lit("default")))
-    return every.groupBy("lane", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return tables.rows.groupBy("lane", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

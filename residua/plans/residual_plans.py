@@ -19,7 +19,7 @@ def scored(t: Tables):
 
 
 def classified(t: Tables):
-    return R.classify_first_match(t.fact, t.candidates, "upper", "actual", ["lane", "upper"])
+    return R.classify_first_match(t.fact, t.candidates, "upper", "actual")
 
 
 @query(
@@ -77,7 +77,7 @@ def offset_coverage(t: Tables):
     SELECT lane, class_id, distance, count(*) AS n FROM fact JOIN (SELECT * FROM d WHERE rn = 1) b USING (lane, upper, actual) GROUP BY lane, class_id, distance""",
 )
 def nearest_candidate(t: Tables):
-    near = R.nearest_candidate(t.fact, t.candidates, "upper", "actual", ["lane", "upper"], 16, t.model)
+    near = R.nearest_candidate(t.fact, t.candidates, "upper", "actual", 16, t.model)
     return near.groupBy("lane", "class_id", "distance").agg(F.count(F.lit(1)).alias("n"))
 
 
