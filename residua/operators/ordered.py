@@ -99,13 +99,13 @@ class OrderedFrame:
         total = counted.count()
         hot = None
         if total > size and keys:
-            hot = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
+            hot = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_rows")).filter(F.col("_group_rows") > size)
             if hot.isEmpty():
                 return cls(df, keys, order, False, size)
         if total <= size:
             return cls(df, keys, order, False, size)
         base = df if hot is None else join_on(df, hot, keys, "left")
-        probe = base if hot is None else base.filter(F.col("_n").isNotNull())
+        probe = base if hot is None else base.filter(F.col("_group_rows").isNotNull())
         probs = [i / LEAVES for i in range(1, LEAVES)]
         stats = probe.agg(
             F.min(x).alias("lo"),
@@ -120,8 +120,8 @@ class OrderedFrame:
         block = _linear_tree(x, edges, max(1, math.ceil(want / (len(edges) - 1))))
         block = F.when(x.isNull(), F.lit(-1)).otherwise(block)
         if hot is not None:
-            block = F.when(F.col("_n").isNotNull(), block).otherwise(F.lit(0))
-        return cls(base.withColumn(BLOCK, block).drop("_n"), keys, order, True, size)
+            block = F.when(F.col("_group_rows").isNotNull(), block).otherwise(F.lit(0))
+        return cls(base.withColumn(BLOCK, block).drop("_group_rows"), keys, order, True, size)
 
     @property
     def parts(self) -> list[str]:
