@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.ledger import CELLS_PER_LANE, MIN_PROOF_BYTES
 
 LEDGER_OUT = "lane bigint, ts double, event string, accepted boolean, status string, device string, lease_until double, attempts int"
-LEDGER_STATE = "status string, device string, lease_until double, attempts int"
+LEDGER_STATE = "status string, device string, lease_until double, attempts int, noticed double"
 
 
 def lease_step(state: tuple, event: dict) -> tuple[tuple, bool]:
@@ -57,26 +57,35 @@ def ledger_state(events: DataFrame, watermark: str = "0 seconds", expire: bool =
 
     Events: lane, event_time (timestamp), ts (its seconds), event, device, lease_seconds,
     proof_bytes, item_count, retryable. Works on a stream and, for backfills, on a batch frame.
-    A lapsed lease changes only what may be claimed, so the timer emits a row and leaves the
-    state alone: the next claim sees the old lease is over.
+    A lapsed lease changes only what may be claimed, so noticing it (by the event-time timer
+    or by a later event of the lane) emits one row and leaves the status alone.
     """
     fields = ["lane", "event_time", "ts", "event", "device", "lease_seconds", "proof_bytes", "item_count", "retryable"]
 
+    columns = [c.split()[0] for c in LEDGER_OUT.split(", ")]
+
+    def lapsed(lane, now: tuple) -> tuple:
+        return (lane, now[2], "expire", True, "expired_claims", now[1], now[2], now[3])
+
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("", None, 0.0, 0)
+        *now, noticed = state.get if state.exists else ("", None, 0.0, 0, -1.0)
+        now = tuple(now)
+        rows = []
         if state.hasTimedOut:
-            state.update(now)
-            row = (key[0], now[2], "expire", True, "expired_claims", now[1], now[2], now[3])
-            yield pd.DataFrame([row], columns=[c.split()[0] for c in LEDGER_OUT.split(", ")])
+            rows.append(lapsed(key[0], now))
+            state.update((*now, now[2]))
+            yield pd.DataFrame(rows, columns=columns)
             return
-        rows = []
         for event in pd.concat(list(batches)).sort_values(["ts", "event"], kind="stable").to_dict("records"):
+            if expire and now[0] in ("claimed", "running") and now[2] <= event["ts"] and now[2] != noticed:
+                rows.append(lapsed(key[0], now))
+                noticed = now[2]
             now, ok = lease_step(now, event)
             rows.append((key[0], event["ts"], event["event"], ok, now[0], now[1], now[2], now[3]))
-        state.update(now)
-        if expire and now[0] in ("claimed", "running"):
+        state.update((*now, noticed))
+        if expire and now[0] in ("claimed", "running") and now[2] != noticed:
             state.setTimeoutTimestamp(max(int(now[2] * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEDGER_OUT.split(", ")])
+        yield pd.DataFrame(rows, columns=columns)
 
     source = events.select(*fields)
     if events.isStreaming:
