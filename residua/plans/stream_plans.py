@@ -41,10 +41,33 @@ def lease_events(df):
     )
 
 
-@query("stream_lease")
+LEASE_SQL = """WITH RECURSIVE e AS (SELECT user_id AS lane, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn, event_id, epoch_us(ts) / 1e6 AS secs, 'd' || (event_id % 3) AS dev, round(value * 100) AS size,
+  CASE event_type WHEN 'signup' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail' ELSE 'release' END AS event FROM events),
+ s AS (SELECT DISTINCT user_id AS lane, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS ts, '' AS event, false AS accepted, '' AS status, CAST(NULL AS VARCHAR) AS device, CAST(0 AS DOUBLE) AS lease, CAST(0 AS INTEGER) AS attempts FROM events
+  UNION ALL SELECT lane, rn, secs, event, ok, CASE WHEN NOT ok THEN os WHEN event = 'claim' THEN 'claimed' WHEN event = 'heartbeat' THEN 'running' WHEN event = 'release' THEN 'released' WHEN event = 'finish' THEN 'done' WHEN event_id % 2 = 0 THEN 'failed' ELSE 'quarantined' END,
+   CASE WHEN ok AND event IN ('claim', 'finish', 'fail') THEN dev ELSE od END, CASE WHEN ok AND event IN ('claim', 'heartbeat') THEN secs + 21600 ELSE ol END, CAST(oa + CASE WHEN ok AND event = 'claim' THEN 1 ELSE 0 END AS INTEGER)
+  FROM (SELECT e.*, s.status AS os, s.device AS od, s.lease AS ol, s.attempts AS oa, coalesce(CASE WHEN e.event = 'claim' THEN NOT (s.status IN ('done', 'verified', 'quarantined') OR (s.status IN ('claimed', 'running') AND s.lease > secs))
+     WHEN e.event IN ('heartbeat', 'release') THEN s.device = dev AND s.status IN ('claimed', 'running') WHEN e.event = 'finish' THEN coalesce(s.device, dev) = dev AND size >= 1024 ELSE coalesce(s.device, dev) = dev END, false) AS ok
+    FROM s JOIN e ON e.lane = s.lane AND e.rn = s.rn + 1))"""
+
+
+@query("stream_lease", LEASE_SQL + " SELECT lane, round(ts, 6) AS ts, event, accepted, status, coalesce(device, '') AS device, attempts FROM s WHERE rn > 0")
 def stream_lease(t: Tables):
     """Lease ledger transitions per lane."""
-    return K.run_to_table(S.ledger_state(lease_events(event_stream(t))))
+    out = K.run_to_table(S.ledger_state(lease_events(event_stream(t)))).filter("event <> 'expire'")
+    return out.select("lane", r4("ts", "ts", 6), "event", "accepted", "status", F.coalesce("device", F.lit("")).alias("device"), "attempts")
+
+
+@query(
+    "stream_expired",
+    LEASE_SQL
+    + """, n AS (SELECT *, lead(ts) OVER (PARTITION BY lane ORDER BY rn) AS next_ts, lead(lease) OVER (PARTITION BY lane ORDER BY rn) AS next_lease FROM s WHERE rn > 0)
+    SELECT lane, round(lease, 6) AS lease_until FROM n WHERE status IN ('claimed', 'running') AND lease <= coalesce(next_ts, (SELECT max(epoch_us(ts)) / 1e6 FROM events)) GROUP BY lane, lease""",
+)
+def stream_expired(t: Tables):
+    """Leases that ran out before the lane's next event or the end of the stream."""
+    out = K.run_to_table(S.ledger_state(lease_events(event_stream(t)))).filter("event = 'expire'")
+    return out.select("lane", r4("lease_until", "lease_until", 6))
 
 
 @query("stream_dedupe", "SELECT DISTINCT lower(event_type) || '-' || user_id AS arrival_key FROM events")
