@@ -46,13 +46,13 @@ def sample_keys(
 ) -> DataFrame:
     """``first`` n rows, or n evenly spaced positions (repeats dropped).
 
-    Rows named by ``explicit`` come on top of ``first`` mode's n.
+    Rows named by ``explicit`` come first and are topped up to n; a positive n adds at least one.
     """
     if mode == "first":
         if explicit is None:
             return df.orderBy(*order).limit(n)
         named = df.join(explicit, explicit.columns, "left_semi")
-        rest = df.join(explicit, explicit.columns, "left_anti").orderBy(*order).limit(max(0, n - named.count()))
+        rest = df.join(explicit, explicit.columns, "left_anti").orderBy(*order).limit(max(1, n - named.count()) if n > 0 else 0)
         return named.unionByName(rest)
     if mode != "stride":
         raise ValueError(f"unknown sample mode: {mode!r}")

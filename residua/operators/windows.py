@@ -13,6 +13,8 @@ from .ordered import OrderedFrame, first_n_per_group, join_on
 
 def first_occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Earliest row per key: an aggregate with map-side combine, not a window."""
+    if len(order) == 1 and not values:
+        return df.groupBy(*keys).agg(F.min(order[0]).alias(order[0]))
     best = F.min(F.struct(*order, *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)]))
     out = df.groupBy(*keys).agg(best.alias("_best"))
     return out.select(

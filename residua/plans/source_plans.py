@@ -222,10 +222,10 @@ def export_partitions(t: Tables):
 
 @query("split_write", "SELECT o_orderkey, o_totalprice > 200000 AS hit FROM orders")
 def split_write(t: Tables):
-    path = shared_dir(t.spark, "split")
-    K.split_write(t.orders.select("o_orderkey", "o_totalprice"), f"{path}/a", f"{path}/b", F.col("o_totalprice") > 200000)
-    a = t.spark.read.parquet(f"{path}/a").select("o_orderkey", F.lit(True).alias("hit"))
-    return a.unionByName(t.spark.read.parquet(f"{path}/b").select("o_orderkey", F.lit(False).alias("hit")))
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    match, rest = K.split_write(rows, shared_dir(t.spark, "split"), F.col("o_totalprice") > 200000)
+    a = t.spark.read.schema(rows.schema).parquet(match).select("o_orderkey", F.lit(True).alias("hit"))
+    return a.unionByName(t.spark.read.schema(rows.schema).parquet(rest).select("o_orderkey", F.lit(False).alias("hit")))
 
 
 @query("write_report", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer")

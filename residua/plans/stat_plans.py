@@ -171,7 +171,7 @@ def sample_stride(t: Tables):
     return K.sample_keys(t.part.select("p_partkey"), ["p_partkey"], 37, "stride")
 
 
-@query("sample_first", "SELECT p_partkey FROM part WHERE p_size = 7 UNION ALL (SELECT p_partkey FROM part WHERE p_size <> 7 ORDER BY p_partkey LIMIT (SELECT greatest(0, 100 - count(*)) FROM part WHERE p_size = 7))")
+@query("sample_first", "SELECT p_partkey FROM part WHERE p_size = 7 UNION ALL (SELECT p_partkey FROM part WHERE p_size <> 7 ORDER BY p_partkey LIMIT (SELECT greatest(1, 100 - count(*)) FROM part WHERE p_size = 7))")
 def sample_first(t: Tables):
     named = t.part.filter("p_size = 7").select("p_partkey")
     return K.sample_keys(t.part.select("p_partkey"), ["p_partkey"], 100, "first", named)

@@ -43,7 +43,8 @@ def classify_artifacts(
     key = F.when(hexkey != "", F.conv(hexkey, 16, 10).cast("bigint"))
     rows = files.withColumn("key", key)
     scoped = (F.col("key") >= lo) & (F.col("key") < hi)
-    related = F.lower("name").contains(suffix.lower())
+    lower = F.lower("name")
+    related = lower.endswith(suffix.lower()) | lower.contains(suffix.lower() + ".")
     age = F.lit(now) - F.col("mtime") if now is not None else F.lit(0.0)
     first = (
         F.when(F.col("key").isNotNull() & ~scoped, "out-of-scope")

@@ -33,9 +33,12 @@ def write_current(df: DataFrame, path: str) -> None:
 
 
 def export_partitions(df: DataFrame, path: str, lane: str, only: Column | None = None) -> None:
-    """One folder per lane; ``only`` narrows to a record, a lane or a range."""
+    """One folder per lane; ``only`` narrows to a record, a lane or a range.
+
+    The rebalance hint gathers a lane into few files and still splits a lane too large for one.
+    """
     rows = df if only is None else df.filter(only)
-    rows.repartition(lane).write.mode("overwrite").partitionBy(lane).parquet(path)
+    rows.hint("rebalance", F.col(lane)).write.mode("overwrite").partitionBy(lane).parquet(path)
 
 
 def shard_of(lane: str, lo: int, lanes_per_shard: int) -> Column:
@@ -81,11 +84,11 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def split_write(df: DataFrame, path_a: str, path_b: str, condition: Column) -> None:
-    """Matching rows to one output, the others to a second."""
-    kept = df.withColumn("_hit", F.coalesce(condition, F.lit(False))).persist()
-    try:
-        kept.filter("_hit").drop("_hit").write.mode("overwrite").parquet(path_a)
-        kept.filter(~F.col("_hit")).drop("_hit").write.mode("overwrite").parquet(path_b)
-    finally:
-        kept.unpersist()
+def split_write(df: DataFrame, path: str, condition: Column) -> tuple[str, str]:
+    """Matching rows to one output, the others to a second, in a single pass over the input.
+
+    Returns the two folders; each is a table of its own.
+    """
+    side = F.when(F.coalesce(condition, F.lit(False)), "match").otherwise("rest")
+    df.withColumn("side", side).write.mode("overwrite").partitionBy("side").parquet(path)
+    return f"{path}/side=match", f"{path}/side=rest"
