@@ -176,6 +176,19 @@ def grand_total(device_lanes: DataFrame, local: DataFrame, lane: str, target: in
     )
 
 
+def count_only_devices(devices: DataFrame, target: int) -> DataFrame:
+    """Devices that report a count but no lane ranges: shown capped at the target, never added up.
+
+    Devices: device, has_ranges, done_count, progress_count. A count cannot be checked for
+    overlap with other devices, so it stays a diagnostic.
+    """
+    count = F.coalesce(F.col("done_count"), F.col("progress_count"), F.lit(0)).cast("bigint")
+    source = F.when(F.col("done_count").isNotNull(), "ledger_count").otherwise("progress_count")
+    return devices.filter(~F.coalesce("has_ranges", F.lit(False))).select(
+        "device", F.greatest(F.lit(0), F.least(count, F.lit(target))).alias("lanes"), source.alias("source")
+    )
+
+
 def status_by_row_precedence(files: DataFrame, ledger: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Per expected key: duplicate > done > ledger-missing > error > missing.
 

@@ -139,6 +139,19 @@ def grand_total(t: Tables):
     return L.grand_total(rows, local, "lane", 120)
 
 
+@query(
+    "count_only_devices",
+    """SELECT c_custkey AS device, CAST(greatest(0, least(CASE WHEN c_acctbal > 5000 THEN CAST(floor(c_acctbal) AS BIGINT) ELSE c_nationkey END, 6000)) AS BIGINT) AS lanes,
+    CASE WHEN c_acctbal > 5000 THEN 'ledger_count' ELSE 'progress_count' END AS source FROM customer WHERE c_mktsegment <> 'BUILDING'""",
+)
+def count_only_devices(t: Tables):
+    rows = t.customer.select(
+        F.col("c_custkey").alias("device"), (F.col("c_mktsegment") == "BUILDING").alias("has_ranges"),
+        F.when(F.col("c_acctbal") > 5000, F.floor("c_acctbal")).alias("done_count"), F.col("c_nationkey").alias("progress_count"),
+    )
+    return L.count_only_devices(rows, 6000)
+
+
 @query(
     "ownership",
     f"""WITH {LEDGER_SQL}, l AS (SELECT lane, status, device FROM latest WHERE side = 0),

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import parse_hex, parse_int_text
 
+# Columns of the schedule file.
 SCHEDULE_COLUMNS = [
     "initial_seed_16bit", "compatibility_percent", "target_half_16bit", "sweep_index",
     "frame_from_initial_seed", "t_minus", "rng_seed",
@@ -45,6 +46,7 @@ def read_schedule_csv(spark: SparkSession, path: str, event: str | None = "t-0",
     return rows
 
 
+# Fields of a lane record in the ledger file.
 LEDGER_FIELDS = T.StructType(
     [
         T.StructField(n, t)
@@ -92,6 +94,7 @@ def read_ledger_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return parse_ledgers(texts, "value")
 
 
+# Fields of an entry in the array ledger file.
 ENTRY_FIELDS = (
     "shiny_value int, done boolean, tid int, sid int, save_path string, save_sha1 string, wait_frames int, "
     "rng_advance bigint, note string, error string"

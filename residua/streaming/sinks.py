@@ -83,6 +83,17 @@ class VersionedTable:
     def update(self, batch_id: int, change: Callable[[DataFrame], DataFrame]) -> None:
         new = change(self.read(batch_id))
         new.select(*[f.name for f in self.schema]).write.mode("overwrite").parquet(self._dir(batch_id))
+        self._forget(batch_id - 1)
+
+    def _forget(self, before: int) -> None:
+        """Drop versions no restart can ask for: a batch may be repeated, the ones before it not."""
+        jvm = self.spark._jvm
+        base = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(base):
+            name = status.getPath().getName()
+            if name.startswith("v") and int(name[1:]) - 1 < before:
+                fs.delete(status.getPath(), True)
 
 
 def fold_into(stream: DataFrame, table: VersionedTable, change: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:

@@ -52,11 +52,18 @@ def lease_step(state: tuple, event: dict) -> tuple[tuple, bool]:
     return state, False
 
 
+def _streaming(df: DataFrame) -> DataFrame:
+    if not df.isStreaming:
+        raise ValueError("replay batch data as a file stream; a batch frame would put a whole key into one task")
+    return df
+
+
 def ledger_state(events: DataFrame, watermark: str = "0 seconds", expire: bool = True) -> DataFrame:
     """Every event with the lane state after it; a lapsed lease adds an ``expire`` row.
 
     Events: lane, event_time (timestamp), ts (its seconds), event, device, lease_seconds,
-    proof_bytes, item_count, retryable. Works on a stream and, for backfills, on a batch frame.
+    proof_bytes, item_count, retryable. A backfill is replayed as a stream too: micro-batches
+    bound what one lane hands to a task.
     A lapsed lease changes only what may be claimed, so noticing it (by the event-time timer
     or by a later event of the lane) emits one row and leaves the status alone.
     """
@@ -87,9 +94,7 @@ def ledger_state(events: DataFrame, watermark: str = "0 seconds", expire: bool =
             state.setTimeoutTimestamp(max(int(now[2] * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=columns)
 
-    source = events.select(*fields)
-    if events.isStreaming:
-        source = source.withWatermark("event_time", watermark)
+    source = _streaming(events).select(*fields).withWatermark("event_time", watermark)
     return source.groupBy("lane").applyInPandasWithState(
         advance, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout
     )
@@ -108,7 +113,7 @@ def emit_on_change(df: DataFrame, key: str, stamp: str, status: str, signature:
         state.update((pdf[signature].iloc[-1],))
         yield pdf.loc[keep, [key, stamp, status, signature]]
 
-    return df.select(key, stamp, status, signature).groupBy(key).applyInPandasWithState(
+    return _streaming(df).select(key, stamp, status, signature).groupBy(key).applyInPandasWithState(
         changed, schema, "signature string", "append", GroupStateTimeout.NoTimeout
     )
 
