@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import sets as S
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources import artifacts as A
 from ..sources import sinks as K
 from ..sources import tables as B
@@ -159,7 +159,7 @@ def flatten_reports(t: Tables):
         F.lit('{"samples":[{"lane_count":'), s(k), F.lit(',"archive_bytes":9,"levels":[{"level":1,"size_bytes":'), s(c), F.lit(',"unpack_ms":'), s(k % 9 + 1), F.lit('}],"codecs":[{"codec":"z'), s(k % 3),
         F.lit('","codec_level":3,"level":2,"size_bytes":'), s(c * 2), F.lit('}],"typed":[],"offload":{"status":"'), F.when(k % 4 == 1, "ok").otherwise("not_run"), F.lit('","output_bytes":'), s(c * 3), F.lit(',"kernel_ms":2.0}}]}'),
     )
-    out = B.flatten_reports(t.orders.select(text.alias("text")), "text")
+    out = B.flatten_reports(spread(t.orders).select(text.alias("text")), "text")
     return out.select("lane_count", "kind", "codec", "level", "size_bytes", r4("mib_s", "mib_s", 6))
 
 

@@ -39,6 +39,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when its files give fewer tasks than there are cores.
+
+    A table of one small row group is one task however many cores wait. Real tables have more
+    splits than cores and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage (survives the loss of executors)."""
     spark = df.sparkSession

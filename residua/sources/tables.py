@@ -154,30 +154,37 @@ REPORT_SCHEMA = (
 
 
 def flatten_reports(texts: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Nested benchmark reports to uniform rows of four kinds: level, codec, typed, offload."""
+    """Nested benchmark reports to uniform rows of four kinds: level, codec, typed, offload.
+
+    The four arrays of a sample become one array of uniform entries, so a report is parsed once.
+    """
     doc = F.from_json(F.col(text), REPORT_SCHEMA)
-    s = texts.select(*keep, F.explode(doc["samples"]).alias("s"))
-    base = [*keep, F.col("s.lane_count").alias("lane_count"), F.col("s.archive_bytes").alias("archive_bytes")]
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-
-    def rows(kind, array, codec, codec_level, level):
-        e = s.select(*base, F.explode(F.col(f"s.{array}")).alias("e"))
-        return e.select(
-            *keep, "lane_count", "archive_bytes", F.lit(kind).alias("kind"), codec.alias("codec"), codec_level.alias("codec_level"), level.alias("level"),
-            F.coalesce(F.col("e.size_bytes"), F.lit(0)).alias("size_bytes"), zero(F.col("e.unpack_ms")).alias("unpack_ms"),
+    samples = texts.select(*keep, F.explode(doc["samples"]).alias("s"))
+    none = F.lit(None).cast("int")
+
+    def entry(kind, codec, codec_level, level, size, ms):
+        return F.struct(
+            F.lit(kind).alias("kind"), codec.alias("codec"), codec_level.cast("int").alias("codec_level"), level.cast("int").alias("level"),
+            F.coalesce(size, F.lit(0)).cast("bigint").alias("size_bytes"), F.coalesce(ms, F.lit(0.0)).alias("unpack_ms"),
         )
 
-    none = F.lit(None).cast("int")
-    levels = rows("level", "levels", F.lit("default"), none, F.col("e.level"))
-    codecs = rows("codec", "codecs", F.col("e.codec"), F.col("e.codec_level"), F.col("e.level"))
-    typed = rows("typed", "typed", F.col("e.policy"), none, F.lit(3))
-    ran = F.col("s.offload.status").isNotNull() & ~F.col("s.offload.status").isin("not_run", "not_requested")
-    offload = s.filter(ran).select(
-        *base, F.lit("offload").alias("kind"), F.coalesce("s.offload.backend", F.lit("default")).alias("codec"), none.alias("codec_level"),
-        F.lit(3).alias("level"), F.coalesce("s.offload.output_bytes", F.lit(0)).alias("size_bytes"), zero(F.col("s.offload.kernel_ms")).alias("unpack_ms"),
+    def each(name, make):
+        return F.coalesce(F.transform(F.col(f"s.{name}"), make), F.array())
+
+    off = F.col("s.offload")
+    ran = off["status"].isNotNull() & ~off["status"].isin("not_run", "not_requested")
+    offload = entry("offload", F.coalesce(off["backend"], F.lit("default")), none, F.lit(3), off["output_bytes"], off["kernel_ms"])
+    entries = F.concat(
+        each("levels", lambda e: entry("level", F.lit("default"), none, e["level"], e["size_bytes"], e["unpack_ms"])),
+        each("codecs", lambda e: entry("codec", e["codec"], e["codec_level"], e["level"], e["size_bytes"], e["unpack_ms"])),
+        each("typed", lambda e: entry("typed", e["policy"], none, F.lit(3), e["size_bytes"], e["unpack_ms"])),
+        F.when(ran, F.array(offload)).otherwise(F.array()),
     )
+    rows = samples.select(
+        *keep, F.col("s.lane_count").alias("lane_count"), F.col("s.archive_bytes").alias("archive_bytes"), F.explode(entries).alias("e")
+    ).select(*keep, "lane_count", "archive_bytes", "e.*")
     mib = F.when(F.col("unpack_ms") > 0, F.col("size_bytes") / 1048576.0 / (F.col("unpack_ms") / 1000.0)).otherwise(0.0)
-    return levels.unionByName(codecs).unionByName(typed).unionByName(offload).withColumn("mib_s", mib)
+    return rows.withColumn("mib_s", mib)
 
 
 def parse_dat(texts: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
