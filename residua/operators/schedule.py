@@ -120,6 +120,7 @@ def assign_match_and_nonmatch(records: DataFrame, bank: DataFrame, value: str, k
     The fallback needs only the two smallest bank keys.
     """
     rows = bank.select(F.col(key).cast("bigint").alias("_k"), F.struct(F.col(key).cast("bigint").alias(key), *payload).alias("_p"))
+    rows = rows.filter((F.col("_k") >= 0) & (F.col("_k") < domain))
     match = rows.select(F.col("_k").alias(value), F.col("_p").alias("match"))
     nxt = rows.select(((F.col("_k") - 1 + domain) % domain).alias(value), F.col("_p").alias("_next"))
     low = rows.orderBy("_k").limit(2).agg(F.array_sort(F.collect_list("_p")).alias("two"))

@@ -53,10 +53,16 @@ def nearest_seed(t: Tables):
     return rows.withColumn("_n", G.nearest_small_state("state", 200000)).select("event_id", "state", "_n.seed", "_n.steps")
 
 
-@query(
-    "calibrate_offset",
-    "SELECT event_id, user_id % 9 + 16 AS offset FROM events",
-)
+def _calibrate_sql() -> str:
+    moved = lambda k: "CAST(s * {} + {} AS HUGEINT) % 4294967296 >> 16".format(*G.jump_constants(k))
+    hits = ", ".join(f"CASE WHEN ({moved(k)}) = observed THEN {abs(14 + k - 20) * 100 + 14 + k} END" for k in range(13))
+    base = "(SELECT event_id, user_id, (event_id * 7919) % 4294967296 AS st, user_id * 2 + 14 AS lo, user_id % 9 + 2 AS extra FROM events)"
+    true_at = " ".join(f"WHEN {k} THEN ({moved(k)})" for k in range(2, 11))
+    seen = f"(SELECT *, CASE extra {true_at} END AS observed FROM {lcg_sql(base, 'st', 'lo', 16)})"
+    return f"SELECT event_id, CAST(least({hits}) % 100 AS INTEGER) AS offset FROM {seen}"
+
+
+@query("calibrate_offset", _calibrate_sql())
 def calibrate_offset(t: Tables):
     """Recover the commit offset of each stream from one observed output."""
     rows = t.events.select("event_id", "user_id", (F.col("event_id") * 7919 % 4294967296).alias("state"), (F.col("user_id") * 2).alias("base"))
