@@ -31,3 +31,18 @@ def test_plan(spark, con, name):
     assert len(rows)
     if name in ORACLES:
         assert differences(rows, con.execute(ORACLES[name]).df()) is None
+
+
+SMALL_BLOCKS = ["rle_all", "merge_intervals", "quantiles", "missing_samples", "sliding_vectors", "cume_dist_by_key", "ordered_digest", "lorenz"]
+
+
+@pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="test tables not present")
+@pytest.mark.parametrize("name", SMALL_BLOCKS)
+def test_plan_with_small_blocks(spark, con, name):
+    """The same rows when nearly every group is cut into blocks."""
+    spark.conf.set("spark.residua.rowsPerBlock", "60")
+    try:
+        rows = QUERIES[name](spark, MEDIUM).toPandas()
+    finally:
+        spark.conf.unset("spark.residua.rowsPerBlock")
+    assert differences(rows, con.execute(ORACLES[name]).df()) is None
