@@ -29,7 +29,11 @@ def rule_findings(df: DataFrame, rules: Sequence[tuple[str, str, Column]], keep:
 
 def severity_rank(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.when(c == "critical", 2).when(c == "warning", 1).otherwise(0)
+    out = F.lit(0)
+    for name, rank in SEVERITY_RANK.items():
+        if rank:
+            out = F.when(c == name, rank).otherwise(out)
+    return out
 
 
 def worst_severity(df: DataFrame, keys: Sequence[str], severity: str = "severity") -> DataFrame:

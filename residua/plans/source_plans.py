@@ -8,7 +8,6 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import sets as S
 from ..session import shared_dir, spread
 from ..sources import artifacts as A
 from ..sources import sinks as K
