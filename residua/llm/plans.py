@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixture
+from . import exact, lines, mixture, pieces, search, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,44 @@ def mixture_plan(spark: SparkSession, folder: str) -> DataFrame:
     sizes = table(spark, folder, "documents").select("doc_id", "source", mixture.words().alias("size"))
     plan = mixture.draw(sizes)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"), "copies", "shards")
+
+
+@query("op1_pieces")
+def piece_digests(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.token_digests(table(spark, folder, "documents"), pieces.model_bytes(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query(
+    "op3_top_k",
+    """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM p q JOIN p r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+)
+def nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_k(table(spark, folder, "embeddings"))
+
+
+#: Fixed by the contract of the query.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query("op8_url_filter")
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages"), URL_RULES)
+
+
+@query(
+    "op9_line_dedup",
+    r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+    k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+    m AS (SELECT k.*, f.last IS NOT NULL AND f.last <> k.doc_id AS gone FROM k LEFT JOIN f USING (key))
+    SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = lines.drop_repeated_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
