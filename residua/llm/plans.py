@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, mixture, near, pieces, search, urls
+from . import exact, language, lines, mixture, near, pieces, search, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_near_dedup")
 def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.predicted(docs, language.fitted(docs))
