@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, lines, mixture, near, pieces, search, urls
+from . import exact, language, lines, mixture, near, pieces, recompress, search, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,18 @@ def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language.predicted(docs, language.fitted(docs))
+
+
+@query(
+    "op6_substring_dedup",
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 18), lambda p: {'p': p, 'k': array_to_string(ws[p:p + 19], ' ')})) AS x FROM w),
+    f AS (SELECT doc_id, x.p AS p, row_number() OVER (PARTITION BY x.k ORDER BY doc_id, x.p) > 1 AS again FROM s),
+    g AS (SELECT DISTINCT doc_id, p + unnest(range(0, 20)) AS i FROM f WHERE again),
+    x AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM w),
+    k AS (SELECT x.doc_id, count(g.i) AS gone, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE g.i IS NULL) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
+    SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+)
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = recompress.without_repeated_words(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
