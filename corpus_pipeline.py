@@ -1,3 +1,68 @@
-STAGES = []
+"""A training corpus from ``documents``: language, exact and near duplicates, mixture, tokens.
+
+Every stage takes all that its predecessor kept. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from residua.llm import exact, language, mixture, near, pieces
+from residua.llm.common import shared_table, table
+
+PIECES = "piece_bpe_32k.model"
+
+
+def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows whose id has a kept decision; an id is decided once, a null id is its own."""
+    ids = decisions.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a word of any language: null texts and texts without a letter."""
+    return language.filtered(docs, language.fitted(docs))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal without white space, one stays: the longest, then the smallest id."""
+    return _kept(docs, exact.exact_duplicates(docs))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at a similarity of 0.8 over shingles of five words, the smallest id stays."""
+    return _kept(docs, near.near_duplicates(docs, percent=80, words=5))
+
+
+def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources weigh 3, 1, 2, repeating; 150 % of the words, no source above twice its size; one row per copy taken."""
+    return mixture.mixed(docs)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digests of ids and decoded text."""
+    return pieces.token_digests(docs, pieces.model_bytes(public_tokenizers.path(PIECES)))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mixture", mixture_stage),
+    ("pieces", pieces_stage),
+]
+
+#: The fitted language model, the sketches and the draws are not expressible in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next one."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ import posixpath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, shared_dir
 
 #: White space of all contracts here: blank and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -23,6 +23,13 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the cluster's shared folder, and read again."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scalar(df: DataFrame):
     """The single value of a one-row, one-column aggregate."""
     return df.first()[0]
@@ -33,4 +40,4 @@ def small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-__all__ = ["BLANKS", "WORD", "checkpointed", "scalar", "small", "table", "text_of"]
+__all__ = ["BLANKS", "WORD", "checkpointed", "scalar", "shared_table", "small", "table", "text_of"]

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -312,6 +313,26 @@ def predicted(docs: DataFrame, field: Field | None, doc_id: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def filtered(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have a language, in all their columns and where they stand: no shuffle.
+
+    Null texts and texts without a letter go; where nothing could be learned the letters alone decide. Only
+    the text is sent to the tagger.
+    """
+    if field is None:
+        return docs.filter(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    sent = _sent(docs, field)
+
+    @F.pandas_udf("string")
+    def predict(texts: pd.Series) -> pd.Series:
+        tagger = tagger_of(sent)
+        plain = [t or "" for t in texts]
+        found = tagger.posteriors(plain)
+        return pd.Series([tagger.field.languages[int(p.mean(axis=0).argmax())] if len(p) else UNKNOWN for p in found])
+
+    return docs.filter(predict(F.col(text)) != UNKNOWN)
+
+
 def labelled_words(docs: DataFrame, field: Field | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``words`` and their ``labels``, for texts that switch languages."""
     sent = _sent(docs, field)
