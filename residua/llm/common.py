@@ -26,7 +26,7 @@ def text_of(column: str = "text") -> Column:
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the cluster's shared folder, and read again."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import shared_table
 from .repeats import chunks, merged_spans, spans_batch, with_spans
 from .shingles import BASE, INVERSE, M1, M2, mix, powers, word_hashes
 
@@ -295,7 +295,7 @@ def repeated_words(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id",
     buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     filed = rows.mapInArrow(_file(size, buckets), SCHEMA)
     settled = filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(size), SCHEMA)
-    settled = checkpointed(settled.select("kind", "doc", "start", "other"))
+    settled = shared_table(settled.select("kind", "doc", "start", "other"), "repeated-words")
     spans = settled.filter("kind = 1").select("doc", "start", F.col("other").alias("end"))
     windows = settled.filter("kind = 2").select("doc", "start", F.col("other").alias("window"))
     first = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("first")).filter("n > 1")

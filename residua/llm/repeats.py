@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 NO_ID = np.iinfo(np.int64).max  # rows without an id come after all others
 
 
