@@ -134,7 +134,7 @@ def draw(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     extra = F.col("rank") < F.col("edge_rank")
     deeper = (F.col("inner") < F.col("edge_inner")) | ((F.col("inner") == F.col("edge_inner")) & (F.col("h") <= F.col("edge_h")))
     extra = F.coalesce(extra | ((F.col("rank") == F.col("edge_rank")) & deeper), F.lit(False))
-    copies = F.col("passes") + extra.cast("int")
+    copies = F.col("passes") + (extra & (F.col("passes") < cap)).cast("int")
     draw_no = lambda k: (k * BLOCKS + F.col("rank")).cast("long")
     shard = lambda k: F.element_at(F.filter("leaves", lambda x: x["end"] > draw_no(k)), 1)["node"]
     found = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), shard)).otherwise(F.array().cast("array<int>"))
