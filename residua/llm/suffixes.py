@@ -250,6 +250,8 @@ def _fetch(size: int) -> Callable:
                 data = (text.as_py() or "").encode()
                 for e in entries.as_py():
                     start, count = e["place"] >> 20, (e["place"] >> 10) & 1023
+                    if start + count + size - 1 > len(data):
+                        continue  # another text under the same id
                     if e["kind"] == OPEN:
                         out.append((e["lead"], e["h"], doc, e["place"], e["n"], data[start : start + count + size - 1]))
                         continue
