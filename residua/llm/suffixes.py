@@ -367,6 +367,7 @@ def repeated_bytes(docs: DataFrame, size: int = WINDOW, lead: int = LEAD, doc_id
 
 def _cut(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int, int, bytes]:
     kept, at, removed = [], 0, 0
+    start, end = start[start < len(text)], end[start < len(text)]
     for a, b in zip(start.tolist(), np.minimum(end, len(text)).tolist(), strict=True):
         kept.append(text[at:a])
         removed += b - a
