@@ -13,7 +13,9 @@ import corpus_pipeline
 from residua.llm import graph, language, mixture, plans, search, urls
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [200_000, 60])
+def test_components(spark, per_task, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", per_task)
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + k, 1001 + k) for k in range(40)]
     up = {}
