@@ -361,7 +361,8 @@ def repeated_bytes(docs: DataFrame, size: int = WINDOW, lead: int = LEAD, doc_id
     compared = bucketed.select("lead", "h", "doc", "place", "n", "bytes").mapInArrow(_compare(size), "doc long, start long, end long")
     digests = settled.filter(F.col("kind") == DIGEST).select("lead", "h", "doc", "place", "n").unionByName(fetched.filter(F.col("kind") == DIGEST).select("lead", "h", "doc", "place", "n"))
     often = digests.groupBy("lead", "h").agg(F.sum("n").alias("all")).filter(F.col("all") > 1)
-    counted = digests.join(often, ["lead", "h"]).select("doc", F.col("place").alias("start"), (F.col("place") + size).alias("end"))
+    # a digest with a count of its own comes from windows whose spans are known already
+    counted = digests.filter("n = 1").join(often, ["lead", "h"]).select("doc", F.col("place").alias("start"), (F.col("place") + size).alias("end"))
     return spans.unionByName(compared).unionByName(counted)
 
 
