@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
+import sys
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,16 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def worker_slot(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one model with its memory, dropped when another one is asked for."""
+    kept = sys.__dict__.setdefault("_corpus_worker_slot", {})
+    if key not in kept:
+        kept.clear()
+        gc.collect()
+        kept[key] = make()
+    return kept[key]
+
+
 def scalar(df: DataFrame):
     """The single value of a one-row, one-column aggregate."""
     return df.first()[0]
@@ -40,4 +54,4 @@ def small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-__all__ = ["BLANKS", "WORD", "checkpointed", "scalar", "shared_table", "small", "table", "text_of"]
+__all__ = ["BLANKS", "WORD", "checkpointed", "scalar", "shared_table", "small", "table", "text_of", "worker_slot"]

@@ -12,7 +12,6 @@ change inside a sequence. Prediction reads every word of every text where it sta
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -24,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_slot
 from .shingles import M1, M2, mix
 
 WORD = re.compile(r"[^\W\d_]+")
 FITTED_CHARS = 150_000
 SLOTS = 1 << 16
-REMEMBERED = 1_500_000
+REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
 LEXICON = 2_000
-CELLS = 1_500_000
+CELLS = 600_000
 UNKNOWN = "und"
 
 
@@ -252,12 +252,7 @@ class Tagger:
 
 def tagger_of(sent) -> Tagger | None:
     """The worker's tagger of a broadcast model; a worker serves many tasks."""
-    kept = sys.__dict__.setdefault("_language_taggers", {})
-    if sent.id not in kept:
-        kept.clear()
-        field = sent.value
-        kept[sent.id] = None if field is None else Tagger(field)
-    return kept[sent.id]
+    return worker_slot(("language", sent.id), lambda: None if sent.value is None else Tagger(sent.value))
 
 
 class Sent:
@@ -299,8 +294,8 @@ def predicted(docs: DataFrame, field: Field | None, doc_id: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = tagger_of(sent)
         for batch in batches:
-            for at in range(0, len(batch), 4000):
-                part = batch.slice(at, 4000)
+            for at in range(0, len(batch), 2000):
+                part = batch.slice(at, 2000)
                 texts = [t or "" for t in part.column(2).to_pylist()]
                 names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 for i, p in enumerate(tagger.posteriors(texts) if tagger else []):
@@ -327,7 +322,7 @@ def filtered(docs: DataFrame, field: Field | None, text: str = "text") -> DataFr
     def predict(texts: pd.Series) -> pd.Series:
         tagger = tagger_of(sent)
         plain = [t or "" for t in texts]
-        found = tagger.posteriors(plain)
+        found = [p for at in range(0, len(plain), 2000) for p in tagger.posteriors(plain[at : at + 2000])]
         return pd.Series([tagger.field.languages[int(p.mean(axis=0).argmax())] if len(p) else UNKNOWN for p in found])
 
     return docs.filter(predict(F.col(text)) != UNKNOWN)

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -27,9 +26,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_slot
+
 MARK = "▁"
 END = (1 << 60, "")
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
 
 
@@ -185,11 +186,7 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 def coder_of(model: bytes) -> PieceCoder:
     """The worker's coder of this model: a worker serves many tasks and keeps what it has learned."""
-    kept = sys.__dict__.setdefault("_piece_coders", {})
-    if model not in kept:
-        kept.clear()
-        kept[model] = PieceCoder(model)
-    return kept[model]
+    return worker_slot(("pieces", model), lambda: PieceCoder(model))
 
 
 def model_bytes(path: str) -> bytes:
