@@ -20,7 +20,7 @@ HEADLINE = [
     "rank_curve", "variance_explained", "transitions", "frequent_keys", "unique_outcomes", "coverage", "pair_completeness", "missing_samples",
     "compact_ranges", "duplicates", "rle", "merge_intervals", "suppress_overlaps", "moving_average_repeat", "sliding_vectors", "progress_rate",
     "stall_flags", "merge_best", "ledger_summary", "row_status", "trusted_union", "ownership", "pair_events", "resume_scan", "match_nonmatch",
-    "traits", "top_k_scores", "generator_stream", "first_occurrence", "lookahead", "template_match", "verify_digest", "ordered_digest", "text_scan",
+    "traits", "top_k_scores", "generator_stream", "first_occurrence", "lookahead", "template_match", "verify_digest", "ordered_digest", "digest_tree", "text_scan",
     "compare_sequences", "classify_artifacts", "parse_ledgers", "flatten_reports", "stream_progress", "stream_change", "stream_lease", "stream_dedupe",
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .generator import lcg_at, lcg_jump, lcg_output
+from .generator import lcg_jump, lcg_output
 from .keys import pack_fields
 
 
@@ -73,7 +73,6 @@ def candidate_values(
 
 def lookahead_value(df: DataFrame, state: str, n: int, table: DataFrame, slot: str, slots: int) -> DataFrame:
     """Table value selected by the state k steps ahead, for k = 1..n."""
-    ahead = F.explode(F.sequence(F.lit(1), F.lit(n)))
-    rows = df.select("*", ahead.alias("k"))
-    rows = rows.withColumn(slot, lcg_output(lcg_at(state, "k")) % slots)
+    ahead = [F.struct(F.lit(k).alias("k"), (lcg_output(lcg_jump(state, k)) % slots).alias(slot)) for k in range(1, n + 1)]
+    rows = df.select("*", F.inline(F.array(*ahead)))
     return rows.join(table, slot)

@@ -20,16 +20,12 @@ MULTIPLIER_INVERSE = pow(MULTIPLIER, -1, 1 << 32)
 
 
 def jump_constants(n: int) -> tuple[int, int]:
-    """(a, c) with state_n = a * state + c; negative ``n`` steps backwards."""
-    a, c = 1, 0
-    m, k = MULTIPLIER, INCREMENT
-    n %= 1 << 32
-    while n:
-        if n & 1:
-            a, c = a * m & U32, (c * m + k) & U32
-        m, k = m * m & U32, k * (m + 1) & U32
-        n >>= 1
-    return a, c
+    """(a, c) with state_n = a * state + c; negative ``n`` steps backwards.
+
+    a is M**n, and c the increment times the geometric sum (M**n - 1) / (M - 1).
+    """
+    power = pow(MULTIPLIER, n % (1 << 32), (MULTIPLIER - 1) << 32)
+    return power & U32, (power - 1) // (MULTIPLIER - 1) * INCREMENT & U32
 
 
 _BIT_JUMPS = [jump_constants(1 << i) for i in range(32)]
@@ -66,25 +62,18 @@ def lcg_jump(state, n: int) -> Column:
 def lcg_at(state, n) -> Column:
     """State after ``n`` steps, ``n`` an integer or a column (taken modulo the period 2^32).
 
-    A constant step count is one multiply-add in generated code. A column of step counts goes
-    through one Arrow batch function: four table-driven multiply-adds on uint64 vectors.
+    A constant step count is one multiply-add in generated code; a column of counts takes four, one
+    for each byte of the count, with factors from constant tables of 256 entries.
     """
     if isinstance(n, int):
         return lcg_jump(state, n)
-    tables = [np.array([jump_constants(i << (8 * level)) for i in range(256)], dtype=np.uint64) for level in range(4)]
-
-    @F.pandas_udf("bigint")
-    def jump(states: pd.Series, steps: pd.Series) -> pd.Series:
-        known = (states.notna() & steps.notna()).to_numpy()
-        mask = np.uint64(U32)
-        s = states.fillna(0).to_numpy().astype(np.int64).astype(np.uint64) & mask
-        k = steps.fillna(0).to_numpy().astype(np.int64).astype(np.uint64)
-        for level, table in enumerate(tables):
-            row = table[(k >> np.uint64(8 * level)) & np.uint64(255)]
-            s = (s * row[:, 0] + row[:, 1]) & mask
-        return pd.Series(s.astype(np.int64), dtype="Int64").where(known, pd.NA)
-
-    return jump(_state(state), _c(n).cast("bigint"))
+    out, steps = _state(state), _state(n)
+    for level in range(4):
+        jumps = [jump_constants(i << (8 * level)) for i in range(256)]
+        at = F.shiftrightunsigned(steps, 8 * level).bitwiseAND(F.lit(255)).cast("int") + 1
+        a, c = (F.element_at(F.lit(column), at) for column in map(list, zip(*jumps, strict=True)))
+        out = _affine(out, a, c)
+    return out
 
 
 def lcg_output(state) -> Column:

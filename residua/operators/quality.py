@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,24 +65,68 @@ def content_digest(df: DataFrame, content: str) -> DataFrame:
     return df.withColumns({"sha1": F.sha1(c), "sha256": F.sha2(c, 256), "crc32": F.crc32(c)})
 
 
-def ordered_digest(df: DataFrame, keys: Sequence[str], order: Sequence[str], row_text: Column, fanout: int = 4096, rows: int | None = None) -> DataFrame:
-    """SHA-256 over a group's row texts in order.
+def ordered_digest(df: DataFrame, keys: Sequence[str], order: Sequence[str], row_text: Column) -> DataFrame:
+    """SHA-256 of ``[row,row,...]`` over a group's row texts in order, whatever the group's size.
 
-    Up to ``fanout`` rows the digest is the plain hash of ``[row,row,...]``. A larger group is
-    hashed in chunks of ``fanout`` positions, then the chunk digests in turn, until one is
-    left: no task ever holds more than ``fanout`` texts of a group.
+    A task streams its sorted rows through the hash and holds one Arrow batch, never a group. The digest of one
+    group is sequential by nature; use :func:`digest_tree` where a group is to be hashed in parallel.
+    """
+    texts = df.select(*keys, *order, row_text.alias("_text"))
+    rows = (texts.repartition(*keys) if keys else texts.repartition(1)).sortWithinPartitions(*keys, *order).select(*keys, "_text")
+    names = list(keys)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, digest, empty = None, None, True
+        for batch in batches:
+            done: list[tuple] = []
+            columns = [batch.column(i).to_pylist() for i in range(len(names))]
+            for *key, text in zip(*columns, batch.column(len(names)).to_pylist(), strict=True):
+                if digest is None or key != group:
+                    if digest is not None:
+                        digest.update(b"]")
+                        done.append((*group, digest.hexdigest()))
+                    group, digest, empty = key, hashlib.sha256(b"["), True
+                if text is not None:
+                    digest.update(text.encode() if empty else b"," + text.encode())
+                    empty = False
+            if done:
+                yield _records(done, batch.schema, names)
+            schema = batch.schema
+        if digest is not None:
+            digest.update(b"]")
+            yield _records([(*group, digest.hexdigest())], schema, names)
+
+    fields = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+    return rows.mapInArrow(hashed, f"{fields}, digest string" if names else "digest string")
+
+
+def _records(rows: list[tuple], schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(len(names))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([r[-1] for r in rows], pa.string())], [*names, "digest"])
+
+
+def digest_tree(df: DataFrame, keys: Sequence[str], order: Sequence[str], row_text: Column, fanout: int = 4096, rows: int | None = None) -> DataFrame:
+    """Hash tree over a group's row texts in order: chunks of ``fanout`` positions, then chunks of their digests, until
+    one is left. A group's levels follow its own size, so no other group changes its digest.
     """
     texts = df.select(*keys, *order, row_text.alias("_text"))
     level = OrderedFrame.of(texts, keys, order, rows).row_number("_pos").done()
-    level = level.select(*keys, (F.col("_pos") - 1).alias("_pos"), F.col("_text"))
+    level = level.select(*keys, (F.col("_pos") - 1).alias("_pos"), "_text")
     biggest = level.agg(F.max("_pos")).first()[0] or 0
+    done = None
     while True:
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_text"))), lambda r: r["_text"])
         digest = F.sha2(F.concat(F.lit("["), F.concat_ws(",", ordered), F.lit("]")), 256)
         level = level.groupBy(*keys, F.floor(F.col("_pos") / fanout).alias("_chunk")).agg(digest.alias("_text"))
         if biggest < fanout:
-            return level.select(*keys, F.col("_text").alias("digest"))
+            out = level.select(*keys, F.col("_text").alias("digest"))
+            return out if done is None else done.unionByName(out)
         level = level.withColumnRenamed("_chunk", "_pos")
+        chunks = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("_chunks"))
+        sized = join_on(level, chunks, keys) if keys else level.crossJoin(F.broadcast(chunks))
+        ready = sized.filter("_chunks = 1").select(*keys, F.col("_text").alias("digest"))
+        done = ready if done is None else done.unionByName(ready)
+        level = sized.filter("_chunks > 1").drop("_chunks")
         biggest //= fanout
 
 

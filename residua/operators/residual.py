@@ -222,20 +222,21 @@ def residual_columns(df: DataFrame, actual: str, base: str) -> DataFrame:
     return df.withColumns({"mask": changed_mask(actual, base), "residual": residual_key(actual, base)})
 
 
-def best_layout(df: DataFrame, group: str, item: str, domain: int) -> DataFrame:
+def best_layout(df: DataFrame, group: str, item: str, domain: int | Column) -> DataFrame:
     """Bytes per group as bitmap, index list, inverse list or run list; the least wins, first on ties.
 
     Sizes before compression: domain/8, 2 per present id, 1 + 2 per absent id, 4 per run.
     """
     from .sets import compact_ranges
 
+    domain = F.lit(domain) if isinstance(domain, int) else domain
     runs = compact_ranges(df, item, [group]).groupBy(group).agg(
         F.count(F.lit(1)).alias("runs"), F.sum("n").alias("present")
     )
     sizes = [
-        ("bitmap", F.lit((domain + 7) // 8).cast("bigint")),
+        ("bitmap", F.floor((domain + F.lit(7)) / 8).cast("bigint")),
         ("indices", F.col("present") * 2),
-        ("inverse", (F.lit(domain) - F.col("present")) * 2 + 1),
+        ("inverse", (domain - F.col("present")) * 2 + 1),
         ("ranges", F.col("runs") * 4),
     ]
     best = F.array_min(F.array(*[F.struct(s.alias("size"), F.lit(i).alias("rank"), F.lit(n).alias("layout")) for i, (n, s) in enumerate(sizes)]))

@@ -119,28 +119,40 @@ def compact_ranges(df: DataFrame, key: str, group: Sequence[str] = (), rows: int
 def expand_ranges(df: DataFrame, text: str, lenient: bool = False, limit: int = 1 << 16, keep: Sequence[str] = ()) -> DataFrame:
     """Ids named by texts such as ``0-3, 7 0x10..0x12``; the first occurrence of an id is kept.
 
-    Strict mode fails on bad tokens and on ranges that end before they start; lenient mode
-    drops the whole text holding one, and ids outside [0, limit).
+    Strict mode fails on bad tokens, on ranges that end before they start and on ids from ``limit`` on; lenient mode
+    leaves the whole text out for any of these. A range is cut into pieces first, so none becomes one long array.
     """
     raw = F.filter(F.split(F.trim(F.col(text)), r"[\s,]+"), lambda t: t != "")
-    tokens = df.select(*keep, F.col(text).alias("_text"), F.posexplode(raw).alias("pos", "token"))
-    ends = F.split(F.regexp_replace("token", r"^([^.\-]+)(\.\.|-)(.+)$", "$1\u0001$3"), "\u0001")
-    lo = parse_int_text(F.element_at(ends, 1))
-    hi = parse_int_text(F.element_at(ends, -1))
-    bad = lo.isNull() | hi.isNull() | (hi < lo) | (hi >= limit)
+
+    def ends(token: Column) -> tuple[Column, Column, Column]:
+        parts = F.split(F.regexp_replace(token, r"^([^.\-]+)(\.\.|-)(.+)$", "$1\u0001$3"), "\u0001")
+        lo, hi = parse_int_text(F.element_at(parts, 1)), parse_int_text(F.element_at(parts, -1))
+        return lo, hi, lo.isNull() | hi.isNull() | (hi < lo) | (hi >= limit)
+
+    rows = df.select(*keep, raw.alias("_tokens"))
     if lenient:
-        bad = lo.isNull() | hi.isNull() | (hi < lo)
-        tokens = tokens.select(*keep, "_text", "pos", "token", lo.alias("lo"), hi.alias("hi"), bad.alias("_bad"))
-        broken = tokens.filter("_bad").select("_text").distinct()
-        tokens = tokens.join(broken, "_text", "left_anti").withColumn("hi", F.least("hi", F.lit(limit - 1)))
-        tokens = tokens.filter(F.col("lo") <= F.col("hi"))
-    else:
+        rows = rows.filter(~F.exists("_tokens", lambda t: ends(t)[2]))
+    tokens = rows.select(*keep, F.posexplode("_tokens").alias("pos", "token"))
+    lo, hi, bad = ends(F.col("token"))
+    if not lenient:
         lo = F.when(bad, F.raise_error(F.concat(F.lit("bad range token: "), F.col("token")))).otherwise(lo)
-        tokens = tokens.select(*keep, "_text", "pos", "token", lo.cast("bigint").alias("lo"), hi.alias("hi"))
-    ids = tokens.select(*keep, "pos", F.explode(F.sequence("lo", "hi")).alias("id"))
+    tokens = tokens.select(*keep, "pos", lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
+    ids = exploded_range(tokens, F.col("lo"), F.col("hi"), "id").select(*keep, "pos", "id")
     return ids.groupBy(*keep, "id").agg(F.min("pos").alias("pos"))
 
 
+RANGE_PIECE = 1 << 20
+
+
+def exploded_range(df: DataFrame, lo: Column, hi: Column, name: str) -> DataFrame:
+    """A row for each number from ``lo`` to ``hi``, in two steps: pieces of about a million, dealt anew, then numbers."""
+    pieces = df.select("*", lo.cast("bigint").alias("_lo"), hi.cast("bigint").alias("_hi"))
+    pieces = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_hi") - F.col("_lo")) / RANGE_PIECE))).alias("_piece"))
+    first = F.col("_lo") + F.col("_piece") * RANGE_PIECE
+    numbers = F.sequence(first, F.least(first + (RANGE_PIECE - 1), F.col("_hi")))
+    return pieces.hint("rebalance").select("*", F.explode(numbers).alias(name)).drop("_lo", "_hi", "_piece")
+
+
 def select_keys(df: DataFrame, keys: DataFrame, key: str, order: Sequence, limit: int | None = None) -> DataFrame:
     """Rows whose key is listed, then the first ``limit`` in order."""
     out = df.join(keys.select(key).distinct(), key, "left_semi")

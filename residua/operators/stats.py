@@ -184,26 +184,26 @@ def transition_ratio(df: DataFrame, keys: Sequence[str], order: Sequence[str], b
     return agg.withColumn("expected", expected).withColumn("ratio", ratio("transitions", "expected"))
 
 
-def unique_outcomes(df: DataFrame, outcome: Sequence[str], member: str, sample: int = 8) -> DataFrame:
-    """Outcomes with their member count, whether hit once, and the ``sample`` smallest members.
+def unique_outcomes(df: DataFrame, outcome: Sequence[str], member: str) -> DataFrame:
+    """Every member of every outcome, a row each, with the outcome's member count, first member, and whether it was hit once.
 
-    The count covers every member; the listed members are a bounded preview.
+    Members stay rows: a common outcome is a long group, not a long array.
     """
-    from .ordered import first_n_per_group
-
     counts = df.groupBy(*outcome).agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("first_member"))
-    few = first_n_per_group(df.select(*outcome, member), outcome, [member], sample).groupBy(*outcome).agg(
-        F.array_sort(F.collect_list(member)).alias("members")
-    )
-    return join_on(counts.withColumn("is_unique", F.col("n") == 1), few, list(outcome))
+    return join_on(df.select(*outcome, member), counts.withColumn("is_unique", F.col("n") == 1), list(outcome))
 
 
 def job_totals(df: DataFrame, keys: Sequence[str], status: str, items: str, records: str) -> DataFrame:
-    """Completed items, failed jobs and records; a finished job without an item count counts as one."""
-    done, failed = F.col(status) == "complete", F.col(status) == "failed"
+    """Items of completed jobs, failed jobs and records.
+
+    A completed job without an item count, or with none counted, stands for one item. Every
+    status but ``complete`` is a failed job.
+    """
+    done = F.coalesce(F.col(status) == "complete", F.lit(False))
+    count = F.when(F.coalesce(F.col(items), F.lit(0)) == 0, F.lit(1)).otherwise(F.col(items))
     return df.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(done, F.coalesce(F.col(items), F.lit(1)))), F.lit(0)).cast("bigint").alias("complete_items"),
-        F.count_if(failed).alias("failed_jobs"),
+        F.coalesce(F.sum(F.when(done, count)), F.lit(0)).cast("bigint").alias("complete_items"),
+        F.count_if(~done).alias("failed_jobs"),
         F.coalesce(F.sum(F.coalesce(F.col(records), F.lit(0))), F.lit(0)).cast("bigint").alias("records"),
     )
 

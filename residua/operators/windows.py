@@ -145,7 +145,9 @@ def rle(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, ro
 
 def expand_runs(df: DataFrame, value: str, n: str, keys: Sequence[str] = ()) -> DataFrame:
     """Inverse of :func:`rle`: one row per repetition."""
-    return df.select(*keys, "run", value, F.explode(F.sequence(F.lit(1), F.col(n))).alias("step"))
+    from .sets import exploded_range
+
+    return exploded_range(df.select(*keys, "run", value, n), F.lit(1), F.col(n), "step").select(*keys, "run", value, "step")
 
 
 def frame_delta(df: DataFrame, keys: Sequence[str], label: str, first, last, value: str, partition: str) -> DataFrame:

@@ -76,13 +76,14 @@ def calibrate_offset(t: Tables):
     k AS (SELECT event_id, 1 AS k, (CAST(s AS HUGEINT) * {G.jump_constants(1)[0]} + {G.jump_constants(1)[1]}) % 4294967296 AS x FROM st
     UNION ALL SELECT event_id, 2, (CAST(s AS HUGEINT) * {G.jump_constants(2)[0]} + {G.jump_constants(2)[1]}) % 4294967296 FROM st
     UNION ALL SELECT event_id, 3, (CAST(s AS HUGEINT) * {G.jump_constants(3)[0]} + {G.jump_constants(3)[1]}) % 4294967296 FROM st)
-    SELECT event_id, k, p_size AS value FROM k JOIN part ON p_partkey = CAST(x >> 16 AS BIGINT) % 2000""",
+    SELECT event_id, k, p_size AS value FROM k JOIN part ON p_partkey = CAST(x >> 16 AS BIGINT) % (SELECT count(*) FROM part)""",
 )
 def lookahead(t: Tables):
     """Table value at each of the next three states of a row's generator."""
     rows = t.events.select("event_id", G.lcg_at(F.lit(SEED), "event_id").alias("state"))
     table = t.part.select(F.col("p_partkey").alias("slot"), F.col("p_size").alias("value"))
-    return C.lookahead_value(rows, "state", 3, table, "slot", 2000).select("event_id", "k", "value")
+    slots = t.part.agg(F.count(F.lit(1))).first()[0]
+    return C.lookahead_value(rows, "state", 3, table, "slot", slots).select("event_id", "k", "value")
 
 
 @query(

@@ -188,12 +188,12 @@ def residual_keys(t: Tables):
     "best_layout",
     """WITH i AS (SELECT DISTINCT l_suppkey AS lane, l_partkey AS upper FROM lineitem), r AS (SELECT lane, upper, upper - row_number() OVER (PARTITION BY lane ORDER BY upper) AS g FROM i),
     s AS (SELECT lane, count(DISTINCT g) AS runs, count(*) AS present FROM r GROUP BY lane),
-    z AS (SELECT lane, runs, present, CAST(250 AS BIGINT) AS bitmap_bytes, present * 2 AS indices_bytes, (2000 - present) * 2 + 1 AS inverse_bytes, runs * 4 AS ranges_bytes FROM s)
+    z AS (SELECT lane, runs, present, (d + 7) // 8 AS bitmap_bytes, present * 2 AS indices_bytes, (d - present) * 2 + 1 AS inverse_bytes, runs * 4 AS ranges_bytes FROM s, (SELECT max(p_partkey) + 1 AS d FROM part))
     SELECT *, least(bitmap_bytes, indices_bytes, inverse_bytes, ranges_bytes) AS best_bytes, CASE least(bitmap_bytes, indices_bytes, inverse_bytes, ranges_bytes)
     WHEN bitmap_bytes THEN 'bitmap' WHEN indices_bytes THEN 'indices' WHEN inverse_bytes THEN 'inverse' ELSE 'ranges' END AS layout FROM z""",
 )
 def best_layout(t: Tables):
-    return R.best_layout(t.fact, "lane", "upper", 2000)
+    return R.best_layout(t.fact, "lane", "upper", t.part.agg(F.max("p_partkey")).first()[0] + 1)
 
 
 @query(

@@ -8,7 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, spread
+from ..session import shared_dir
 from ..sources import artifacts as A
 from ..sources import sinks as K
 from ..sources import tables as B
@@ -60,12 +60,6 @@ def missing_artifacts(t: Tables):
     return A.missing_artifacts(classified(t), 0, 900)
 
 
-@query("scan_artifacts")
-def scan_artifacts(t: Tables):
-    """The given table files themselves, listed without reading their content."""
-    return A.list_files(t.spark, t.folder, "*.parquet").select("name", "size")
-
-
 @query("collect_media", "SELECT DISTINCT url AS path FROM pages WHERE lower(url) SIMILAR TO '.*\\.(html|php)'")
 def collect_media(t: Tables):
     rows = t.pages.select(F.col("url").alias("path"))
@@ -158,7 +152,7 @@ def flatten_reports(t: Tables):
         F.lit('{"samples":[{"lane_count":'), s(k), F.lit(',"archive_bytes":9,"levels":[{"level":1,"size_bytes":'), s(c), F.lit(',"unpack_ms":'), s(k % 9 + 1), F.lit('}],"codecs":[{"codec":"z'), s(k % 3),
         F.lit('","codec_level":3,"level":2,"size_bytes":'), s(c * 2), F.lit('}],"typed":[],"offload":{"status":"'), F.when(k % 4 == 1, "ok").otherwise("not_run"), F.lit('","output_bytes":'), s(c * 3), F.lit(',"kernel_ms":2.0}}]}'),
     )
-    out = B.flatten_reports(spread(t.orders).select(text.alias("text")), "text")
+    out = B.flatten_reports(t.orders.select(text.alias("text")), "text")
     return out.select("lane_count", "kind", "codec", "level", "size_bytes", r4("mib_s", "mib_s", 6))
 
 
@@ -203,19 +197,19 @@ def decode_records(t: Tables):
     return t.documents.select("doc_id", A.decode_record(record).alias("r")).select("doc_id", "r.key", "r.owner", "r.checksum_ok", "r.species", "r.packed")
 
 
-@query("shard_manifest", f"WITH {CELLS_SQL} SELECT CAST((lane - 10) // 30 AS INTEGER) AS shard, min(lane) AS \"from\", max(lane) AS \"to\", count(*) AS count FROM cells WHERE lane >= 10 AND lane < 90 GROUP BY 1")
+@query("shard_manifest", f"WITH {CELLS_SQL} SELECT CAST(lane // 30 AS INTEGER) AS shard, min(lane) AS \"from\", max(lane) AS \"to\", count(*) AS count FROM cells GROUP BY 1")
 def shard_manifest(t: Tables):
     """Shards written, read back, checked for lanes stored twice, and listed."""
     path = shared_dir(t.spark, "shards")
-    K.write_shards(t.cells, path, "lane", 10, 90, 30, ["upper"])
+    K.write_shards(t.cells, path, "lane", 0, t.fact.agg(F.max("lane")).first()[0] + 1, 30, ["upper"])
     rows = K.consolidate_shards(K.read_shards(t.spark, path), "lane", "shard")
     return K.shard_manifest(rows, "lane")
 
 
-@query("export_partitions", f"WITH {CELLS_SQL} SELECT lane, upper, actual FROM cells WHERE lane < 20")
+@query("export_partitions", f"WITH {CELLS_SQL} SELECT lane, upper, actual FROM cells")
 def export_partitions(t: Tables):
     path = shared_dir(t.spark, "export")
-    K.export_partitions(t.cells, path, "lane", F.col("lane") < 20)
+    K.export_partitions(t.cells, path, "lane", F.lit(True))
     return t.spark.read.parquet(path).select(F.col("lane").cast("bigint").alias("lane"), "upper", "actual")
 
 
@@ -232,21 +226,3 @@ def write_report(t: Tables):
     path = shared_dir(t.spark, "report")
     K.write_report(t.customer.select("c_custkey", "c_name"), path, "csv")
     return t.spark.read.option("header", "true").schema("c_custkey bigint, c_name string").csv(path)
-
-
-@query("archive_listing")
-def archive_listing(t: Tables):
-    """Page sources packed as one-entry containers by a task, then exploded into entry rows."""
-    @F.pandas_udf("binary")
-    def pack(names: pd.Series, bodies: pd.Series) -> pd.Series:
-        out = []
-        for name, body in zip(names, bodies, strict=True):
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w") as z:
-                z.writestr(zipfile.ZipInfo(name), body)
-            out.append(buffer.getvalue())
-        return pd.Series(out)
-
-    files = t.pages.select(F.col("page_id").cast("string").alias("path"), pack(F.col("url"), F.col("html")).alias("content"))
-    out = A.explode_archives(files)
-    return out.select("path", "name", "method", "size", F.sha1("bytes").alias("sha"), "error")

@@ -94,22 +94,27 @@ def stream_registry(t: Tables):
 
 @query(
     "stream_health",
-    """SELECT event_id, CASE WHEN v >= 600 OR user_id % 9 = 0 OR user_id % 5 = 0 THEN 'critical' WHEN v >= 120 OR value < 1 OR event_id % 50 = 7 THEN 'warning' ELSE 'ok' END AS status,
-    concat_ws(',', CASE WHEN event_id % 50 = 7 THEN 'bad_file_name' END, CASE WHEN user_id % 5 = 0 THEN 'disk_free_low' END, CASE WHEN user_id % 9 = 0 THEN 'no_running_workers' END, CASE WHEN v >= 120 THEN 'pool_status_stale' END, CASE WHEN value < 1 THEN 'tiny_file' END) AS codes
-    FROM (SELECT *, value * 10 AS v FROM events)""",
+    """WITH s AS (SELECT user_id, count(*) FILTER (value >= 50) AS slow FROM events WHERE event_type = 'view' GROUP BY 1),
+    x AS (SELECT e.event_id, e.user_id, value, value * 10 AS v, coalesce(slow, 0) AS slow, (SELECT count(*) FROM labels l WHERE l.doc_id = e.user_id AND l.toxic = 1) > 0 AS bad FROM events e LEFT JOIN s USING (user_id))
+    SELECT event_id, CASE WHEN v >= 600 OR user_id % 9 = 0 OR bad THEN 'critical' WHEN v >= 120 OR value < 1 OR event_id % 50 = 7 OR slow > 0 THEN 'warning' ELSE 'ok' END AS status,
+    concat_ws(',', CASE WHEN event_id % 50 = 7 THEN 'bad_name' END, CASE WHEN user_id % 9 = 0 THEN 'idle' END, CASE WHEN v >= 120 THEN 'stale' END, CASE WHEN value < 1 THEN 'tiny' END, CASE WHEN bad THEN 'toxic' END,
+      CASE WHEN slow > 0 THEN rtrim(repeat('worker_slow,', slow), ',') END) AS codes FROM x""",
 )
 def stream_health(t: Tables):
-    """Health rules over snapshots, joined with a static table of workers."""
-    static = t.events.select("user_id").distinct().withColumn("running", F.when(F.col("user_id") % 9 == 0, 0).otherwise(2))
-    k = F.col("event_id")
-    rows = join_on(event_stream(t), static, ["user_id"]).select(
-        "event_id", F.lit(False).alias("folder_error"), F.lit(True).alias("pool_present"), F.lit(False).alias("pool_error"), (F.col("value") * 10).alias("pool_age"), F.lit(False).alias("idle"),
-        F.lit(True).alias("expected_running"), F.lit(True).alias("center_enabled"), F.lit(True).alias("center_reachable"), k.alias("center_complete"), k.alias("folder_complete"),
-        F.lit(0).alias("missing_workers"), F.lit(0).alias("unreported_workers"), "running", F.lit(0).alias("os_workers"), F.lit(10.0).alias("newest_age"), F.lit(5.0).alias("oldest_running"),
-        F.lit(0).alias("zero_files"), (F.col("value") < 1).cast("int").alias("tiny_files"), (k % 50 == 7).cast("int").alias("bad_names"), F.lit(0).alias("duplicate_names"), F.lit(0).alias("stale_tmp"),
-        F.when(F.col("user_id") % 5 == 0, 10 * 1024**3).otherwise(900 * 1024**3).alias("disk_free"),
-    )
-    return K.run_to_table(M.health_checks(rows, ["event_id"]).select("event_id", "status", "codes"))
+    """Health rules over snapshots joined with static tables: flagged users, and the running slots of each."""
+    slots = t.events.filter("event_type = 'view'").groupBy("user_id").agg(F.collect_list(F.struct(F.col("value").alias("seconds"))).alias("slots"))
+    toxic = t.labels.filter("toxic = 1").select(F.col("doc_id").alias("user_id"), F.lit(True).alias("toxic")).distinct()
+    rows = join_on(join_on(event_stream(t), slots, ["user_id"]), toxic, ["user_id"])
+    k, value = F.col("event_id"), F.col("value")
+    rules = [
+        *M.graded(value * 10, 120, 600, "stale"),
+        ("warning", "tiny", value < 1),
+        ("warning", "bad_name", k % 50 == 7),
+        ("critical", "idle", F.col("user_id") % 9 == 0),
+        ("critical", "toxic", F.col("toxic")),
+    ]
+    slow = F.coalesce(M.slow_slots("slots", "seconds", 50), F.array().cast("array<struct<severity:string,code:string>>"))
+    return K.run_to_table(M.health_checks(rows, ["event_id"], rules, [slow]).select("event_id", "status", "codes"))
 
 
 @query(

@@ -30,25 +30,17 @@ def build_session(master: str | None = None, app: str = "residua", **conf: str)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's checkpoint dir.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach. Only when it is
-    unset (local tests) is a temporary folder used.
+    ``spark.checkpoint.dir`` names storage every executor can reach. It must be set on a cluster; a session that runs
+    in one process may do with a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = os.path.join(tempfile.gettempdir(), "residua-" + spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its files give fewer tasks than there are cores.
-
-    A table of one small row group is one task however many cores wait. Real tables have more
-    splits than cores and pass through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage (survives the loss of executors)."""
     spark = df.sparkSession

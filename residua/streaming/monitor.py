@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,57 +60,31 @@ def surviving_ranges(worker: DataFrame, stale: DataFrame, pool: DataFrame, done:
     return rows.filter(keep).select(device, lane)
 
 
-def health_checks(
-    snapshots: DataFrame, keep: list[str], no_output_warning: float = 3600.0, no_output_critical: float = 7200.0,
-    pool_warning: float = 120.0, pool_critical: float = 600.0, stall_warning: float = 7200.0,
-    disk_warning: int = 100 * 1024**3, disk_critical: int = 50 * 1024**3,
-) -> DataFrame:
-    """Findings per snapshot from the ordered rule list, as an array, plus the overall status.
+def graded(value: Column, warning: float, critical: float, code: str, when: Column | None = None) -> list[tuple[str, str, Column]]:
+    """Two rules of one code: critical from one limit on, else warning from the other on."""
+    gate = F.lit(True) if when is None else when
+    return [("critical", code, gate & (value >= critical)), ("warning", code, gate & (value >= warning) & (value < critical))]
+
+
+def slow_slots(slots: str, seconds: str, limit: float, code: str = "worker_slow") -> Column:
+    """A finding for each running slot (an array of structs) that has run for ``limit`` seconds or more."""
+    slow = F.filter(slots, lambda s: F.coalesce(s[seconds] >= limit, F.lit(False)))
+    return F.transform(slow, lambda s: F.struct(F.lit("warning").alias("severity"), F.lit(code).alias("code")))
+
+
+def health_checks(snapshots: DataFrame, keep: list[str], rules: Sequence[tuple[str, str, Column]], more: Sequence[Column] = ()) -> DataFrame:
+    """Findings per snapshot, overall status, and a signature that changes when they do.
 
-    Snapshot columns: folder_error, pool_present, pool_error, pool_age, idle, expected_running,
-    center_enabled, center_reachable, center_complete, folder_complete, missing_workers,
-    unreported_workers, running, os_workers, newest_age, oldest_running, zero_files, tiny_files,
-    bad_names, duplicate_names, stale_tmp, disk_free, slow_workers. All row-local expressions,
-    so it applies to a stream (joined with static limits where wanted) or a batch alike.
+    ``rules`` are (severity, code, condition) over the snapshot's columns, in the order findings are to be listed; a null
+    condition does not fire. ``more`` are columns that hold arrays of further findings. Everything is row-local, so it
+    applies to a stream (joined with static limits where wanted) or a batch alike.
     """
-    c = F.col
-    yes = lambda x: F.coalesce(x, F.lit(False))
-    some = lambda n: yes(c(n) > 0)
-    expect = yes(c("expected_running")) & ~yes(c("idle"))
-    pool_ok = yes(c("pool_present")) & ~yes(c("pool_error")) & ~yes(c("idle"))
-    ready = c("oldest_running").isNull() | (c("oldest_running") >= no_output_warning)
-    running = F.when(yes(c("idle")), F.lit(0)).otherwise(F.coalesce(c("running"), F.lit(0)))
-    graded = lambda value, warn, crit, code, gate: [
-        ("critical", code, gate & yes(value >= crit)), ("warning", code, gate & yes((value >= warn) & (value < crit))),
-    ]
-    rules = [
-        ("critical", "output_folder_error", yes(c("folder_error"))),
-        ("critical", "pool_status_missing", ~yes(c("pool_present")) & ~yes(c("idle")) & yes(c("expected_running"))),
-        ("warning", "pool_status_missing", ~yes(c("pool_present")) & ~yes(c("idle")) & ~yes(c("expected_running"))),
-        ("critical", "pool_status_unreadable", yes(c("pool_present")) & yes(c("pool_error"))),
-        ("warning", "pool_status_no_timestamp", pool_ok & c("pool_age").isNull()),
-        *graded(c("pool_age"), pool_warning, pool_critical, "pool_status_stale", pool_ok),
-        ("warning", "center_unreachable", yes(c("center_enabled")) & ~yes(c("center_reachable"))),
-        ("warning", "center_folder_mismatch", yes(c("center_reachable")) & yes(c("center_complete") != c("folder_complete"))),
-        ("critical", "reported_worker_missing", some("missing_workers") & ~yes(c("idle"))),
-        ("warning", "unreported_worker", some("unreported_workers") & expect),
-        ("critical", "no_running_workers", expect & (running <= 0) & ~some("os_workers")),
-        ("warning", "no_output_yet", expect & c("newest_age").isNull() & ready),
-        *graded(c("newest_age"), no_output_warning, no_output_critical, "output_stalled", expect & ready),
-        ("critical", "zero_size_file", some("zero_files")),
-        ("warning", "tiny_file", some("tiny_files")),
-        ("warning", "bad_file_name", some("bad_names")),
-        ("warning", "duplicate_lane_name", some("duplicate_names")),
-        ("warning", "stale_tmp_file", some("stale_tmp")),
-        ("critical", "disk_free_low", yes(c("disk_free") <= disk_critical)),
-        ("warning", "disk_free_low", yes((c("disk_free") > disk_critical) & (c("disk_free") <= disk_warning))),
-        ("warning", "worker_slow", yes(c("oldest_running") >= stall_warning)),
-    ]
-    found = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(s).alias("severity"), F.lit(k).alias("code"))) for s, k, cond in rules]))
+    finding = lambda severity, code: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"))
+    found = F.array_compact(F.array(*[F.when(condition, finding(severity, code)) for severity, code, condition in rules]))
+    out = snapshots.withColumn("checks", F.concat(found, *more) if more else found)
     worst = F.array_max(F.transform("checks", lambda x: severity_rank(x["severity"])))
     status = F.when(worst == 2, "critical").when(worst == 1, "warning").otherwise("ok")
     codes = F.concat_ws(",", F.array_sort(F.transform("checks", lambda x: x["code"])))
-    out = snapshots.withColumn("checks", found)
     return out.select(*keep, "checks", status.alias("status"), codes.alias("codes"), F.concat(status, F.lit("|"), codes).alias("signature"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from residua.operators import motif, sets, stats, topk, windows
 from residua.operators.ordered import OrderedFrame, with_row_number
-from residua.operators.quality import ordered_digest
+from residua.operators.quality import digest_tree, ordered_digest
 
 ROWS = 60
 
@@ -97,7 +97,7 @@ OPERATORS = {
     "lorenz": lambda d, r: stats.lorenz(d, "x", "id", 25, r),
     "transitions": lambda d, r: stats.transition_ratio(d, ["k"], ["t", "id"], F.col("v") > 1, r),
     "stride": lambda d, r: topk.sample_keys(d, ["t", "id"], 37, "stride", rows=r),
-    "digest": lambda d, r: ordered_digest(d.na.fill("none", ["k"]), ["k"], ["t", "id"], F.col("id").cast("string"), rows=r),
+    "digest": lambda d, r: digest_tree(d.na.fill("none", ["k"]), ["k"], ["t", "id"], F.col("id").cast("string"), rows=r),
     "suppress": lambda d, r: motif.suppress_overlaps(d.na.fill("none", ["k"]).withColumn("e", F.col("t") + F.col("v")), "k", "t", "e", "x", "id", 2.0, rows=r),
 }
 
@@ -135,18 +135,34 @@ def test_suppression_equals_quadratic_greedy(spark, max_island):
     assert len(got) == len(set(got["id"]))
 
 
-def test_digest_tree_levels(spark):
+def test_digests_follow_their_own_group(spark):
     import hashlib
 
-    df = spark.range(50).withColumn("k", F.lit("all"))
-    got = ordered_digest(df, ["k"], ["id"], F.col("id").cast("string"), fanout=8).first()["digest"]
     sha = lambda parts: hashlib.sha256(("[" + ",".join(parts) + "]").encode()).hexdigest()
-    level = [str(i) for i in range(50)]
-    while True:
-        level = [sha(level[i : i + 8]) for i in range(0, len(level), 8)]
-        if len(level) == 1:
-            break
-    assert got == level[0]
+
+    def tree(level, fanout):
+        while True:
+            level = [sha(level[i : i + fanout]) for i in range(0, len(level), fanout)]
+            if len(level) == 1:
+                return level[0]
+
+    sizes = {"a": 3, "b": 8, "c": 9, "d": 65, "e": 6000}
+    df = spark.createDataFrame([(k, i) for k, n in sizes.items() for i in range(n)] + [(None, 1)], "k string, id int").repartition(5)
+    text = F.col("id").cast("string")
+    want = {k: [str(i) for i in range(n)] for k, n in sizes.items()} | {None: ["1"]}
+    got = {r["k"]: r["digest"] for r in digest_tree(df, ["k"], ["id"], text, fanout=8).collect()}
+    assert got == {k: tree(v, 8) for k, v in want.items()}
+    plain = {r["k"]: r["digest"] for r in ordered_digest(df, ["k"], ["id"], text).collect()}
+    assert plain == {k: sha(v) for k, v in want.items()}
+
+
+def test_suppression_with_zero_length_hits(spark):
+    rows = [("a", 1.0, 1.0, 0.9, 0), ("a", 1.0, 1.0, 0.8, 1), ("a", 2.0, 3.0, 0.7, 2), ("a", 2.5, 2.5, 0.6, 3)]
+    rows += [("b", float(i), i + 1.5, i / 100, 10 + i) for i in range(8)]  # scores rise
+    df = spark.createDataFrame(rows, "f string, s double, e double, score double, id int")
+    for island in (10**9, 5):
+        got = motif.suppress_overlaps(df, "f", "s", "e", "score", "id", 0.0, island).toPandas()
+        assert set(got["id"]) == greedy(rows, 0.0)
 
 
 def test_quantiles_with_blocks(spark):

@@ -33,7 +33,7 @@ def test_plan(spark, con, name):
         assert differences(rows, con.execute(ORACLES[name]).df()) is None
 
 
-SMALL_BLOCKS = ["rle_all", "merge_intervals", "quantiles", "missing_samples", "sliding_vectors", "cume_dist_by_key", "ordered_digest", "lorenz"]
+SMALL_BLOCKS = ["rle_all", "merge_intervals", "quantiles", "missing_samples", "sliding_vectors", "cume_dist_by_key", "digest_tree", "lorenz"]
 
 
 @pytest.mark.skipif(not os.path.isdir(MEDIUM), reason="test tables not present")
