@@ -17,6 +17,15 @@ def event_stream(t: Tables):
     return raw.withColumn("event_time", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("event_time")).drop("ts")
 
 
+#: How late an event may come: longer than the table, whose files have no order.
+DELAY = "400 days"
+
+
+def replayed(t: Tables, stream, build):
+    last = t.events.agg(F.max("us")).first()[0]
+    return K.run_to_end(t.spark, stream, build, "event_time", F.timestamp_micros(F.lit(last)), DELAY)
+
+
 @query("stream_progress", "SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS window_start, count(*) AS arrived, count(*) FILTER (event_type = 'click') AS completed FROM events GROUP BY 1")
 def stream_progress(t: Tables):
     rows = event_stream(t).withColumn("done", F.col("event_type") == "click")
@@ -26,8 +35,8 @@ def stream_progress(t: Tables):
 @query("stream_change", """SELECT user_id, us, status, event_type AS signature FROM (SELECT user_id, epoch_us(ts) AS us, CASE WHEN value > 60 THEN 'warning' ELSE 'ok' END AS status, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)
  WHERE event_type IS DISTINCT FROM prev OR status <> 'ok'""")
 def stream_change(t: Tables):
-    rows = event_stream(t).select("user_id", "us", F.when(F.col("value") > 60, "warning").otherwise("ok").alias("status"), F.col("event_type").alias("signature"))
-    return K.run_to_table(S.emit_on_change(rows, "user_id", "us", "status", "signature"))
+    rows = event_stream(t).select("user_id", "us", "event_time", F.when(F.col("value") > 60, "warning").otherwise("ok").alias("status"), F.col("event_type").alias("signature"))
+    return replayed(t, rows, lambda df: S.emit_on_change(df, "user_id", "us", "status", "signature", "event_time", DELAY))
 
 
 def lease_events(df):
@@ -54,7 +63,7 @@ LEASE_SQL = """WITH RECURSIVE e AS (SELECT user_id AS lane, row_number() OVER (P
 @query("stream_lease", LEASE_SQL + " SELECT lane, round(ts, 6) AS ts, event, accepted, status, coalesce(device, '') AS device, attempts FROM s WHERE rn > 0")
 def stream_lease(t: Tables):
     """Lease ledger transitions per lane."""
-    out = K.run_to_table(S.ledger_state(lease_events(event_stream(t)))).filter("event <> 'expire'")
+    out = replayed(t, lease_events(event_stream(t)), lambda df: S.ledger_state(df, DELAY)).filter("event <> 'expire'")
     return out.select("lane", r4("ts", "ts", 6), "event", "accepted", "status", F.coalesce("device", F.lit("")).alias("device"), "attempts")
 
 
@@ -66,7 +75,7 @@ def stream_lease(t: Tables):
 )
 def stream_expired(t: Tables):
     """Leases that ran out before the lane's next event or the end of the stream."""
-    out = K.run_to_table(S.ledger_state(lease_events(event_stream(t)))).filter("event = 'expire'")
+    out = replayed(t, lease_events(event_stream(t)), lambda df: S.ledger_state(df, DELAY)).filter("event = 'expire'")
     return out.select("lane", r4("lease_until", "lease_until", 6))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,6 +42,27 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.parquet(out)
 
 
+def run_to_end(spark: SparkSession, stream: DataFrame, build: Callable[[DataFrame], DataFrame], event_time: str, end: Column, delay: str) -> DataFrame:
+    """Process a finite replay that holds rows back behind a watermark, and let the last ones go.
+
+    ``build`` turns the stream into the result. Beside ``stream`` it gets a clock: when everything has been read, one
+    row with nothing but a time, ``delay`` beyond ``end``, moves the watermark past the last row, and the same query goes on.
+    """
+    out, mark, clock = shared_dir(spark, "table"), shared_dir(spark, "offsets"), shared_dir(spark, "clock")
+    blank = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema])
+    blank.limit(0).write.parquet(clock)
+    both = stream.unionByName(spark.readStream.schema(stream.schema).parquet(clock))
+
+    def go() -> None:
+        writer = build(both).writeStream.outputMode("append").option("checkpointLocation", mark).trigger(availableNow=True)
+        finish(writer.format("parquet").option("path", out).start())
+
+    go()
+    blank.withColumn(event_time, (end + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 millisecond")).cast(stream.schema[event_time].dataType)).write.mode("append").parquet(clock)
+    go()
+    return spark.read.parquet(out)
+
+
 def finish(query: StreamingQuery) -> None:
     query.awaitTermination()
     if query.exception() is not None:

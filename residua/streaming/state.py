@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.ledger import CELLS_PER_LANE, MIN_PROOF_BYTES
 
 LEDGER_OUT = "lane bigint, ts double, event string, accepted boolean, status string, device string, lease_until double, attempts int"
-LEDGER_STATE = "status string, device string, lease_until double, attempts int, noticed double"
+LEDGER_STATE = "status string, device string, lease_until double, attempts int, noticed double, held string"
 
 
 def lease_step(state: tuple, event: dict) -> tuple[tuple, bool]:
@@ -58,12 +60,27 @@ def _streaming(df: DataFrame) -> DataFrame:
     return df
 
 
-def ledger_state(events: DataFrame, watermark: str = "0 seconds", expire: bool = True) -> DataFrame:
+def _ordered(batches: Iterator[pd.DataFrame], held: str, until: float) -> tuple[list[dict], str, float | None]:
+    """Held and new rows with ``ts`` up to ``until``, in order of time and, where times tie, of content; the rest, and its first time.
+
+    ``held`` is a JSON list, the form that fits a state column.
+    """
+    rows = json.loads(held) if held else []
+    for pdf in batches:
+        rows += json.loads(pdf.to_json(orient="records", double_precision=15))
+    rows.sort(key=lambda r: (r["ts"], json.dumps(r, sort_keys=True)))
+    ready = [r for r in rows if r["ts"] <= until]
+    rest = rows[len(ready) :]
+    return ready, json.dumps(rest) if rest else "", rest[0]["ts"] if rest else None
+
+
+def ledger_state(events: DataFrame, delay: str = "0 seconds", expire: bool = True) -> DataFrame:
     """Every event with the lane state after it; a lapsed lease adds an ``expire`` row.
 
     Events: lane, event_time (timestamp), ts (its seconds), event, device, lease_seconds,
-    proof_bytes, item_count, retryable. A backfill is replayed as a stream too: micro-batches
-    bound what one lane hands to a task.
+    proof_bytes, item_count, retryable. A lane's events are held until the watermark, which trails by ``delay``, has
+    passed them and are then taken in order of time, so the rows do not depend on how files fall into micro-batches as
+    long as none comes later than the delay. A lane without a name only moves the watermark.
     A lapsed lease changes only what may be claimed, so noticing it (by the event-time timer
     or by a later event of the lane) emits one row and leaves the status alone.
     """
@@ -75,46 +92,59 @@ def ledger_state(events: DataFrame, watermark: str = "0 seconds", expire: bool =
         return (lane, now[2], "expire", True, "expired_claims", now[1], now[2], now[3])
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *now, noticed = state.get if state.exists else ("", None, 0.0, 0, -1.0)
+        if pd.isna(key[0]):
+            return
+        *now, noticed, held = state.get if state.exists else ("", None, 0.0, 0, -1.0, "")
         now = tuple(now)
+        reached = state.getCurrentWatermarkMs()
+        ready, held, next_ts = _ordered((p.drop(columns=["lane", "event_time"]) for p in batches), held, reached / 1000)
         rows = []
-        if state.hasTimedOut:
-            rows.append(lapsed(key[0], now))
-            state.update((*now, now[2]))
-            yield pd.DataFrame(rows, columns=columns)
-            return
-        for event in pd.concat(list(batches)).sort_values(["ts", "event"], kind="stable").to_dict("records"):
+        for event in ready:
             if expire and now[0] in ("claimed", "running") and now[2] <= event["ts"] and now[2] != noticed:
                 rows.append(lapsed(key[0], now))
                 noticed = now[2]
             now, ok = lease_step(now, event)
             rows.append((key[0], event["ts"], event["event"], ok, now[0], now[1], now[2], now[3]))
-        state.update((*now, noticed))
-        if expire and now[0] in ("claimed", "running") and now[2] != noticed:
-            state.setTimeoutTimestamp(max(int(now[2] * 1000), state.getCurrentWatermarkMs() + 1))
+        pending = expire and now[0] in ("claimed", "running") and now[2] != noticed
+        if pending and now[2] * 1000 <= reached:
+            rows.append(lapsed(key[0], now))
+            noticed, pending = now[2], False
+        state.update((*now, noticed, held))
+        wake = [x * 1000 for x in ([next_ts] if held else []) + ([now[2]] if pending else [])]
+        if wake:
+            state.setTimeoutTimestamp(max(int(math.ceil(min(wake))), reached + 1))
         yield pd.DataFrame(rows, columns=columns)
 
-    source = _streaming(events).select(*fields).withWatermark("event_time", watermark)
-    return source.groupBy("lane").applyInPandasWithState(
-        advance, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.EventTimeTimeout if expire else GroupStateTimeout.NoTimeout
-    )
+    source = _streaming(events).select(*fields).withWatermark("event_time", delay)
+    return source.groupBy("lane").applyInPandasWithState(advance, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
 
+def emit_on_change(df: DataFrame, key: str, stamp: str, status: str, signature: str, event_time: str, delay: str = "0 seconds") -> DataFrame:
+    """Rows whose signature differs from the previous one of the key, and all rows not ``ok``.
 
-def emit_on_change(df: DataFrame, key: str, stamp: str, status: str, signature: str) -> DataFrame:
-    """Rows whose signature differs from the previous one of the key, and all rows not ``ok``."""
+    Rows are held until the watermark has passed them, like those of :func:`ledger_state`. A null key only moves the watermark.
+    """
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {stamp} {df.schema[stamp].dataType.simpleString()}, {status} string, {signature} string"
 
     def changed(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(stamp, kind="stable")
-        last = state.get[0] if state.exists else None
-        before = pdf[signature].shift(1)
-        before.iloc[0] = last
-        keep = (pdf[signature] != before) | (pdf[status] != "ok")
-        state.update((pdf[signature].iloc[-1],))
-        yield pdf.loc[keep, [key, stamp, status, signature]]
-
-    return _streaming(df).select(key, stamp, status, signature).groupBy(key).applyInPandasWithState(
-        changed, schema, "signature string", "append", GroupStateTimeout.NoTimeout
+        if pd.isna(k[0]):
+            return
+        last, held = state.get if state.exists else (None, "")
+        reached = state.getCurrentWatermarkMs()
+        ready, held, next_ts = _ordered((p.drop(columns=[key, "_time"]) for p in batches), held, reached / 1000)
+        rows = []
+        for r in ready:
+            if r[signature] != last or r[status] != "ok":
+                rows.append((k[0], r[stamp], r[status], r[signature]))
+            last = r[signature]
+        state.update((last, held))
+        if held:
+            state.setTimeoutTimestamp(max(int(math.ceil(next_ts * 1000)), reached + 1))
+        yield pd.DataFrame(rows, columns=[key, stamp, status, signature])
+
+    rows = _streaming(df).select(key, stamp, status, signature, F.col(event_time).alias("_time"), (F.unix_micros(event_time) / 1e6).alias("ts"))
+    return rows.withWatermark("_time", delay).groupBy(key).applyInPandasWithState(
+        changed, schema, "signature string, held string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -463,7 +463,7 @@ def test_lease_stream_with_expiry(spark, tmp_path):
     for i, rows in enumerate((first, later, last)):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = SK.file_stream(spark, str(tmp_path / "in"), "*.parquet", 1).withColumn("event_time", F.timestamp_seconds("ts"))
-    out = SK.run_to_table(SS.ledger_state(stream))
+    out = SK.run_to_end(spark, stream, SS.ledger_state, "event_time", F.timestamp_seconds(F.lit(6000)), "0 seconds")
     rows = values(out, "lane", "event", "accepted", "status")
     assert (1, "expire", True, "expired_claims") in rows
     assert (2, "expire", True, "expired_claims") not in rows
@@ -550,3 +550,24 @@ def test_package_travels_to_tasks(spark):
     df = pd.DataFrame({"x": [1, 2]})
     out = spark.createDataFrame(df).select(G.lcg_at(F.lit(1), "x").alias("s")).count()
     assert out == 2
+
+
+def test_streams_do_not_depend_on_the_batches(spark, tmp_path):
+    """The same rows from one file as from unordered files, one per batch."""
+    from residua.plans.stream_plans import lease_events
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("event_time", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("event_time")).drop("ts")
+    events.coalesce(1).write.parquet(str(tmp_path / "one"))
+    events.repartition(3, F.xxhash64("event_id")).write.parquet(str(tmp_path / "many"))
+    end = F.timestamp_micros(F.lit(events.agg(F.max("us")).first()[0]))
+    found = {}
+    for name in ("one", "many"):
+        raw = SK.file_stream(spark, str(tmp_path / name), "*.parquet", 1)
+        change = raw.select("user_id", "us", "event_time", F.when(F.col("value") > 60, "warning").otherwise("ok").alias("status"), F.col("event_type").alias("signature"))
+        runs = [
+            (lease_events(raw), lambda df: SS.ledger_state(df, "400 days"), ("lane", "ts", "event", "accepted", "status", "attempts")),
+            (change, lambda df: SS.emit_on_change(df, "user_id", "us", "status", "signature", "event_time", "400 days"), ("user_id", "us", "status", "signature")),
+        ]
+        found[name] = [sorted(values(SK.run_to_end(spark, s, build, "event_time", end, "400 days"), *columns)) for s, build, columns in runs]
+    assert found["one"] == found["many"]
+    assert len(found["one"][0]) >= events.count()
