@@ -75,7 +75,7 @@ def first_match(rows: DataFrame, actual: str) -> DataFrame:
     return rows.withColumn("class_id", F.coalesce(found, F.lit(-1)))
 
 
-def class_report(classified: DataFrame, group: str, total_cells: DataFrame | None = None) -> DataFrame:
+def class_report(classified: DataFrame, group: str) -> DataFrame:
     """Count and percent per class, for each group and overall (group null).
 
     Rows are counted once per (group, class); every total is a sum over those counts.
@@ -198,7 +198,7 @@ def majority_rule(misses: DataFrame, lanes: DataFrame, lane: str, item: str, gro
     )
 
 
-def rule_summary(rules: DataFrame, sizes_only: DataFrame | None = None, cells: int | None = None) -> DataFrame:
+def rule_summary(rules: DataFrame, cells: int | None = None) -> DataFrame:
     out = rules.agg(
         F.count_if("rule").alias("predicted_cells"),
         F.sum("errors").alias("residual_errors"),

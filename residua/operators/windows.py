@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EPSILON
@@ -219,10 +219,17 @@ def stall_flags(
     return of.done().withColumn("stalled", F.coalesce(F.col(duration) > limit, F.lit(False)))
 
 
-def ranked_preview(df: DataFrame, order: Sequence, n: int) -> DataFrame:
-    """First ``n`` rows in order, each with the exact number of rows left out."""
+def ranked_preview(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """First and last ``n`` rows in order (``side``), each row once and with the exact number of rows shown on neither side.
+
+    ``order`` names columns and ends with a unique one. With up to 2n rows nothing is left out and the last rows give way.
+    """
     total = df.agg(F.count(F.lit(1))).scalar()
-    return df.orderBy(*order).limit(n).withColumn("omitted", F.greatest(F.lit(0), total - n))
+    head = df.orderBy(*order).limit(n).withColumn("side", F.lit("first"))
+    tail = df.orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(n).withColumn("side", F.lit("last"))
+    tail = tail.withColumn("_rest", total - n).withColumn("_rank", F.row_number().over(Window.orderBy(*[F.col(c).desc_nulls_last() for c in order])))
+    tail = tail.filter(F.col("_rank") <= F.col("_rest")).drop("_rest", "_rank")
+    return head.unionByName(tail).withColumn("omitted", F.greatest(F.lit(0), total - 2 * n))
 
 
 def resolve_collisions(df: DataFrame, key: str, priority: Sequence[str], label: str) -> DataFrame:

@@ -56,6 +56,19 @@ def class_report(t: Tables):
     return out.select(F.coalesce("lane", F.lit(-1)).alias("lane"), "class_id", "n", "total", "matched", "unmatched", r4("percent", "percent"))
 
 
+@query(
+    "corrected_totals",
+    CLASS_SQL + " SELECT c AS class_id, count(*) AS n FROM (SELECT CASE WHEN lane % 10 = 0 THEN -1 ELSE class_id END AS c FROM k) GROUP BY 1 UNION ALL SELECT DISTINCT class_id, 0 FROM k WHERE class_id NOT IN (SELECT CASE WHEN lane % 10 = 0 THEN -1 ELSE class_id END FROM k)",
+)
+def corrected_totals(t: Tables):
+    """Class totals after every tenth lane turned out unclassified: old counts, less what left a class, plus what came."""
+    rows = classified(t)
+    report = R.class_report(rows, "lane").filter("scope = 'all'").select("class_id", "n")
+    turned = rows.filter("lane % 10 = 0").groupBy("class_id").agg(F.count(F.lit(1)).alias("c"))
+    moves = turned.select(F.inline(F.array(F.struct("class_id", (-F.col("c")).alias("delta")), F.struct(F.lit(-1).alias("class_id"), F.col("c").alias("delta")))))
+    return R.corrected_totals(report, moves).select("class_id", F.col("n").cast("bigint").alias("n"))
+
+
 @query(
     "offset_coverage",
     CLASS_SQL

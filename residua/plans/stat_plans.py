@@ -195,6 +195,7 @@ def recent_n(t: Tables):
     return K.recent(t.events, "us", "event_id", 12).select("event_id", "user_id")
 
 
-@query("ranked_preview", "SELECT event_id, greatest(0, (SELECT count(*) FROM events) - 10) AS omitted FROM events ORDER BY event_id LIMIT 10")
+@query("ranked_preview", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS a, row_number() OVER (ORDER BY event_id DESC) AS b FROM events)
+    SELECT event_id, CASE WHEN a <= 10 THEN 'first' ELSE 'last' END AS side, greatest(0, (SELECT count(*) FROM events) - 20) AS omitted FROM r WHERE a <= 10 OR b <= 10""")
 def ranked_preview(t: Tables):
     return W.ranked_preview(t.events.select("event_id"), ["event_id"], 10)
