@@ -29,7 +29,7 @@ from .shingles import M1, M2, mix
 WORD = re.compile(r"[^\W\d_]+")
 FITTED_CHARS = 150_000
 SLOTS = 1 << 16
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
 LEXICON = 2_000
 CELLS = 600_000

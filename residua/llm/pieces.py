@@ -30,20 +30,23 @@ from .common import worker_slot
 
 MARK = "▁"
 END = (1 << 60, "")
-REMEMBERED = 700_000
+REMEMBERED = 150_000
 LONGEST_REMEMBERED = 64
 
 
 class Memory(dict):
-    """Ids of chunks met so far; emptied when full."""
+    """Ids of chunks met lately: when full, what it holds becomes the old half, from which chunks met again come back."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids = self.encode(chunk)
+        ids = self.old.pop(chunk, None)
+        if ids is None:
+            ids = self.encode(chunk)
         if len(chunk) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
