@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FITTED_CHARS = 1_000_000
+FITTED_CHARS = 300_000
 ORDER = 5
 START, STOP = "\x02", "\x03"
 Rule = tuple[str, str]
