@@ -263,9 +263,17 @@ def _fetch(size: int) -> Callable:
                 zero = pa.array(np.full(len(lead), OPEN, np.int8))
                 yield pa.RecordBatch.from_arrays([zero, *(pa.array(x, pa.int64()) for x in (lead, h, doc, place, n)), pa.array(data, pa.binary())], FETCHED)
             if hot[0]:
+                # windows repeated within the batch are spans already; one of each kind goes on with their count
                 words = np.frombuffer(b"".join(hot[2]), "<i8").reshape(-1, 2)
-                kind = pa.array(np.full(len(words), DIGEST, np.int8))
-                yield pa.RecordBatch.from_arrays([kind, *(pa.array(np.array(x, np.int64)) for x in (words[:, 0], words[:, 1], hot[0], hot[1], hot[3])), pa.nulls(len(words), pa.binary())], FETCHED)
+                _, first, kinds, number = np.unique(words, axis=0, return_index=True, return_inverse=True, return_counts=True)
+                kinds = kinds.ravel()
+                doc, at, n = (np.array(hot[i], np.int64) for i in (0, 1, 3))
+                total = np.bincount(kinds, weights=n).astype(np.int64)
+                again = (number > 1)[kinds]
+                spans = merged_spans(doc[again], at[again], at[again] + size)
+                none = np.zeros(len(spans[0]), np.int64)
+                for kind, columns in ((SPAN, (none, none, *spans)), (DIGEST, (words[first, 0], words[first, 1], doc[first], at[first], total))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int8)), *(pa.array(x) for x in columns), pa.nulls(len(columns[0]), pa.binary())], FETCHED)
 
     return run
 
@@ -352,11 +360,13 @@ def repeated_bytes(docs: DataFrame, size: int = WINDOW, lead: int = LEAD, doc_id
     filed = rows.mapInArrow(_file(size, lead), SCHEMA)
     sorted_ = filed.repartitionByRange(parts, "lead", "h").sortWithinPartitions("lead", "h", "whole", "kind")
     settled = shared_table(sorted_.mapInArrow(_settle(size), SCHEMA), "suffixes")
-    spans = settled.filter(F.col("kind") == SPAN).select("doc", F.col("place").alias("start"), F.col("n").alias("end"))
+    as_span = ("doc", F.col("place").alias("start"), F.col("n").alias("end"))
+    spans = settled.filter(F.col("kind") == SPAN).select(*as_span)
     # an entry stands in one document, so the list is at most as long as the document
     entries = settled.filter(F.col("kind").isin(OPEN, OPEN_HOT)).groupBy("doc").agg(F.collect_list(F.struct("kind", "lead", "h", "place", "n")).alias("entries"))
     open_ = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(entries, F.col("doc_id") == F.col("doc")).select("doc", "text", "entries")
     fetched = shared_table(open_.mapInArrow(_fetch(size), FETCHED_SCHEMA), "suffix-bytes")
+    spans = spans.unionByName(fetched.filter(F.col("kind") == SPAN).select(*as_span))
     bucketed = fetched.filter(F.col("kind") == OPEN).repartitionByRange(parts, "lead", "h").sortWithinPartitions("lead", "h")
     compared = bucketed.select("lead", "h", "doc", "place", "n", "bytes").mapInArrow(_compare(size), "doc long, start long, end long")
     digests = settled.filter(F.col("kind") == DIGEST).select("lead", "h", "doc", "place", "n").unionByName(fetched.filter(F.col("kind") == DIGEST).select("lead", "h", "doc", "place", "n"))
