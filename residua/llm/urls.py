@@ -1,23 +1,30 @@
 """URL filter: rules first, then a character language-model ratio.
 
 Two variable-order Markov models of characters, smoothed by Witten-Bell interpolation, are learned from
-URLs that rules accept and reject. A URL that no rule fits is judged by the difference of its two log-likelihoods divided
+all URLs that rules accept and reject. A URL that no rule fits is judged by the difference of its two log-likelihoods divided
 by its length, against a threshold calibrated on labelled URLs held out of the counts.
+
+The models are a table with a row for each distinct n-gram of any URL, never gathered in one place. An n-gram's probability comes from
+that of its tail, one character shorter, so levels are joined from the shortest up. URLs are judged in batches dealt by hash:
+a batch asks for each of its distinct n-grams once, however many of its URLs have it.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FITTED_CHARS = 300_000
 ORDER = 5
+ALPHABET = 1 << 16
+GRAMS_HELD = 500_000
+BATCHES, BATCH_CHARS = 1024, 200_000
 START, STOP = "\x02", "\x03"
 Rule = tuple[str, str]
 
@@ -42,98 +49,110 @@ def fitting_rule(rules: Sequence[Rule], host: str = "host", path: str = "path")
 
 
 def _grams(order: int):
+    """Rows (text, good, bad) to n-grams and how often each side has them, 0 where a text only asks for them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[bool, str, str], int] = defaultdict(int)
+        counts: dict[str, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            sides = [pa.array([n[j] for n in counts.values()], pa.int64()) for j in range(2)]
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *sides], ["gram", "good", "bad"])
+
         for batch in batches:
-            for good, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for url, good, bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = START + url + STOP
                 for i in range(1, len(text)):
                     for n in range(min(order, i) + 1):
-                        counts[good, text[i - n : i], text[i]] += 1
+                        at = counts.setdefault(text[i - n : i + 1], [0, 0])
+                        at[0] += good
+                        at[1] += bad
+                if len(counts) > GRAMS_HELD:
+                    yield out()
+                    counts.clear()
         if counts:
-            keys = list(counts)
-            columns = [pa.array([k[j] for k in keys]) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], ["good", "context", "next", "n"])
+            yield out()
 
     return run
 
 
-class MarkovModel:
-    """Witten-Bell: a context gives its unseen characters as much weight as it has seen distinct ones."""
-
-    def __init__(self, counts: dict[str, dict[str, int]], alphabet: int = 1 << 16):
-        self.floor = -math.log(alphabet)
-        self.logs: dict[str, float] = {}
-        self.backs: dict[str, float] = {}
-        for context in sorted(counts, key=len):
-            row = counts[context]
-            seen, total = len(row), sum(row.values())
-            self.backs[context] = math.log(seen / (seen + total))
-            for c, n in row.items():
-                shorter = math.exp(self.log(context[1:], c)) if context else 1 / alphabet
-                self.logs[context + c] = math.log((n + seen * shorter) / (seen + total))
-
-    def log(self, context: str, c: str) -> float:
-        out = 0.0
-        while True:
-            found = self.logs.get(context + c)
-            if found is not None:
-                return out + found
-            out += self.backs.get(context, 0.0)
-            if not context:
-                return out + self.floor
-            context = context[1:]
-
-
-class UrlModel:
-    def __init__(self, rows: list, order: int):
-        counts: dict[bool, dict[str, dict[str, int]]] = {True: defaultdict(dict), False: defaultdict(dict)}
-        for r in rows:
-            counts[r["good"]][r["context"]][r["next"]] = r["n"]
-        self.order, self.good, self.bad = order, MarkovModel(counts[True]), MarkovModel(counts[False])
-        self.complete = bool(counts[True]) and bool(counts[False])
-
-    def score(self, url: str) -> float:
-        """Log-likelihood difference per character; 0 where a class was never seen."""
-        if not self.complete:
-            return 0.0
-        text, total = START + url + STOP, 0.0
-        for i in range(1, len(text)):
-            context = text[max(0, i - self.order) : i]
-            total += self.good.log(context, text[i]) - self.bad.log(context, text[i])
-        return total / (len(text) - 1)
-
-
-def _scored(rows: DataFrame, sent) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            urls = batch.column(batch.schema.get_field_index("url")).to_pylist()
-            yield batch.append_column("score", pa.array([model.score(u or "") for u in urls], pa.float64()))
+def _longest(url: str, order: int) -> list[str]:
+    """Each character of a text after as many as the model looks back."""
+    text = START + url + STOP
+    return [text[max(0, i - order) : i + 1] for i in range(1, len(text))]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, score double")
 
+def log_ratios(texts: DataFrame, order: int) -> DataFrame:
+    """``gram``, ``ratio``: log-likelihood difference of the last character after the others, for all n-grams of ``texts`` that scoring asks for.
 
-def judged(pages: DataFrame, rules: Sequence[Rule], page_id: str = "page_id", url: str = "url", order: int = ORDER, fitted_chars: int = FITTED_CHARS) -> DataFrame:
+    ``texts`` has ``text`` and how often it counts for each side, ``good`` and ``bad``. Witten-Bell: a context gives its unseen
+    characters as much weight as it has seen distinct ones, so p(gram) = own + back * p(tail).
+    """
+    counts = texts.select("text", "good", "bad").mapInArrow(_grams(order), "gram string, good long, bad long")
+    counts = checkpointed(counts.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    counts = counts.withColumn("size", F.char_length("gram")).withColumn("context", F.expr("left(gram, size - 1)"))
+    totals = counts.groupBy("context").agg(*[f(side).alias(f"{side}_{name}") for side in ("good", "bad") for name, f in (("all", F.sum), ("seen", lambda c: F.count_if(F.col(c) > 0)))])
+
+    def weights(side: str) -> list[Column]:
+        whole = F.col(f"{side}_all") + F.col(f"{side}_seen")
+        return [F.when(whole > 0, F.col(side) / whole).otherwise(0.0).alias(f"{side}_own"), F.when(whole > 0, F.col(f"{side}_seen") / whole).otherwise(1.0).alias(f"{side}_back")]
+
+    weighed = checkpointed(counts.join(totals, "context").select("gram", "size", *weights("good"), *weights("bad")))
+    p = lambda side, tail: (F.col(f"{side}_own") + F.col(f"{side}_back") * tail).alias(side)
+    level = weighed.filter("size = 1").select("gram", "size", *[p(side, F.lit(1 / ALPHABET)) for side in ("good", "bad")])
+    levels = level
+    for k in range(1, order + 1):
+        shorter = level.select(F.col("gram").alias("tail"), F.col("good").alias("good_tail"), F.col("bad").alias("bad_tail"))
+        longer = weighed.filter(F.col("size") == k + 1).withColumn("tail", F.substring("gram", 2, k)).join(shorter, "tail")
+        level = checkpointed(longer.select("gram", "size", *[p(side, F.col(f"{side}_tail")) for side in ("good", "bad")]))
+        levels = levels.unionByName(level)
+    asked = levels.filter((F.col("size") == order + 1) | F.startswith("gram", F.lit(START)))
+    return asked.select("gram", (F.log("good") - F.log("bad")).alias("ratio"))
+
+
+def scored(texts: DataFrame, order: int) -> DataFrame:
+    """``texts``, each text once, with ``score``: its log-likelihood difference per character."""
+    chars = texts.agg(F.sum(F.char_length("text") + 1)).first()[0] or 0
+    batches = max(BATCHES, math.ceil(chars / BATCH_CHARS))
+    dealt = texts.withColumn("batch", F.pmod(F.xxhash64("text", F.lit("batch")), F.lit(batches)))
+
+    def ask(rows: pa.Table) -> pa.Table:
+        grams = list(dict.fromkeys(g for t in rows["text"].to_pylist() for g in _longest(t, order)))
+        return pa.table([pa.repeat(rows["batch"][0], len(grams)), pa.array(grams, pa.string())], ["batch", "gram"])
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        ratio = dict(zip(answers["gram"].to_pylist(), answers["ratio"].to_pylist(), strict=True))
+        found = [[ratio[g] for g in _longest(t, order)] for t in rows["text"].to_pylist()]
+        return rows.drop_columns(["batch"]).append_column("score", pa.array([sum(x) / len(x) for x in found], pa.float64()))
+
+    asked = dealt.select("batch", "text").groupBy("batch").applyInArrow(ask, "batch long, gram string")
+    answers = asked.join(log_ratios(texts, order), "gram").select("batch", "gram", "ratio")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+    return dealt.select(*texts.columns, "batch").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"{fields}, score double")
+
+
+def judged(pages: DataFrame, rules: Sequence[Rule], page_id: str = "page_id", url: str = "url", order: int = ORDER) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``score`` of every row.
 
-    The models count all characters of a sample of the URLs that rules fit: for each side the share that
-    holds about ``fitted_chars`` characters, chosen by hash, a fifth of them kept for the threshold: the mean of
-    the two sides' mean scores. A null URL has an empty host and path, fits no rule, and is judged as an empty text.
-    With no labelled URL on one side all other URLs are allowed. Repeated rows are judged alike.
+    The models count all characters of all URLs that rules fit, as often as they occur, but for a fifth of the URLs, chosen by hash, that
+    is kept for the threshold: the mean of the two sides' mean scores. A side with so few URLs that one of these two parts
+    is empty has all its URLs in that part. A null URL has an empty host and path, and is judged as an empty text.
+    With no labelled URL on one side all scores are 0 and all other URLs are allowed. Repeated rows are judged alike.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
-    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("rule", fitting_rule(rules))
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "text": F.coalesce("url", F.lit(""))}).withColumn("rule", fitting_rule(rules))
     allow = [r for r, verdict in rules if verdict == "allow"]
-    labelled = rows.filter("rule is not null").select(F.col("rule").isin(allow).alias("good"), "url", F.pmod(F.xxhash64("url"), F.lit(1 << 30)).alias("h"))
-    sizes = {r["good"]: r["n"] for r in labelled.groupBy("good").agg(F.sum(F.length("url") + 1).alias("n")).collect()}
-    share = F.when(F.col("good"), fitted_chars / max(sizes.get(True, 1), 1)).otherwise(fitted_chars / max(sizes.get(False, 1), 1))
-    sample = labelled.filter(F.col("h") / F.lit(float(1 << 30)) < share)
-    counted = sample.filter(F.col("h") % 5 != 0).select("good", "url").mapInArrow(_grams(order), "good boolean, context string, next string, n long")
-    model = UrlModel(counted.groupBy("good", "context", "next").agg(F.sum("n").alias("n")).collect(), order)
-    sent = pages.sparkSession.sparkContext.broadcast(model)
-    means = _scored(sample.filter(F.col("h") % 5 == 0).select("good", "url"), sent).groupBy("good").agg(F.avg("score").alias("m")).collect()
-    threshold = sum(r["m"] for r in means) / 2 if len(means) == 2 else 0.0
-    verdict = F.when(F.col("rule").isin(allow), "allow").when(F.col("rule").isNotNull(), "block").when(F.col("score") >= threshold, "allow").otherwise("block")
-    return _scored(rows, sent).withColumn("verdict", verdict).select("page_id", "host", "path", "rule", "verdict", "score")
+    texts = rows.groupBy("text").agg(F.count("*").alias("n"), F.min(F.col("rule").isin(allow)).alias("side"))
+    texts = checkpointed(texts.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) % 5 == 0))
+    sides = texts.filter("side is not null").groupBy("side").agg(F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("counted")).collect()
+    verdict = F.when(F.col("rule").isin(allow), "allow").when(F.col("rule").isNotNull(), "block")
+    if len(sides) < 2:
+        return rows.select("page_id", "host", "path", "rule", verdict.otherwise("allow").alias("verdict"), F.lit(0.0).alias("score"))
+    whole = lambda part: F.coalesce(F.col("side").isin([r["side"] for r in sides if not r[part]]), F.lit(False))
+    counts = ~F.col("held") | whole("counted")
+    times = lambda side: F.when(counts & (F.col("side") == side), F.col("n")).otherwise(0)
+    judging = texts.select("text", "n", "side", (F.col("held") | whole("held")).alias("calibrates"), times(True).alias("good"), times(False).alias("bad"))
+    found = checkpointed(scored(judging, order))
+    means = found.filter("calibrates and side is not null").groupBy("side").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("m")).collect()
+    threshold = sum(r["m"] for r in means) / 2
+    out = rows.join(found.select("text", "score"), "text")
+    return out.select("page_id", "host", "path", "rule", verdict.when(F.col("score") >= threshold, "allow").otherwise("block").alias("verdict"), "score")

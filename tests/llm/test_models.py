@@ -166,6 +166,54 @@ def test_url_model_separates_held_out(spark):
     assert (both["verdict"] == both["truth"]).mean() > 0.8
 
 
+class BruteModel:
+    """Witten-Bell over counted texts, by recursion."""
+
+    def __init__(self, texts, order):
+        self.rows = defaultdict(Counter)
+        for text, n in texts.items():
+            whole = "\x02" + text + "\x03"
+            for i in range(1, len(whole)):
+                for k in range(min(order, i) + 1):
+                    self.rows[whole[i - k : i]][whole[i]] += n
+
+    def p(self, context, c):
+        row = self.rows.get(context, {})
+        shorter = self.p(context[1:], c) if context else 1 / (1 << 16)
+        return (row.get(c, 0) + len(row) * shorter) / (len(row) + sum(row.values())) if row else shorter
+
+
+def brute_scores(good, bad, texts, order):
+    a, b = BruteModel(good, order), BruteModel(bad, order)
+    out = {}
+    for text in texts:
+        whole = "\x02" + text + "\x03"
+        at = [(whole[max(0, i - order) : i], whole[i]) for i in range(1, len(whole))]
+        out[text] = sum(math.log(a.p(*x)) - math.log(b.p(*x)) for x in at) / len(at)
+    return out
+
+
+def test_url_models_count_every_labelled_url(spark, monkeypatch):
+    """More than a million labelled characters a side: scores and verdicts as by brute force over all of them."""
+    monkeypatch.setattr(urls, "GRAMS_HELD", 50)
+    rules = [("com/", "allow"), ("net/", "block")]
+    labels = [(f"http://a{i % 7}.{end}/{word}{i}", 9_000 + i) for i in range(12) for end, word in (("com", "tea"), ("net", "\u00fcx"))]
+    open_urls = ["http://q.org/tea5", "http://q.org/\u00fcx5", "", "\u00e9\U0001f600"]
+    rows = spark.createDataFrame(labels + [(u, 2) for u in open_urls], "url string, n int")
+    pages = rows.select("url", F.explode(F.sequence(F.lit(1), "n")).alias("page_id"))
+    held = {r["url"] for r in rows.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) % 5 == 0).collect()}
+    sides = [{u: n for u, n in labels if f".{end}/" in u} for end in ("com", "net")]
+    assert all(0 < len(held & set(s)) < len(s) and sum(len(u) * n for u, n in s.items()) > 1_000_000 for s in sides)
+    want = brute_scores(*[{u: n for u, n in s.items() if u not in held} for s in sides], [u for u, _ in labels] + open_urls, 3)
+    mean = lambda s: sum(want[u] * s[u] for u in held & set(s)) / sum(s[u] for u in held & set(s))
+    threshold = (mean(sides[0]) + mean(sides[1])) / 2
+    got = urls.judged(pages, rules, order=3).groupBy("host", "path", "rule", "verdict", "score").count().toPandas()
+    assert got["count"].sum() == sum(n for _, n in labels) + 2 * len(open_urls)
+    assert np.allclose(sorted(got["score"]), sorted(want.values()), rtol=1e-9)
+    free = {(round(r.score, 9), r.verdict) for r in got[got["rule"].isna()].itertuples()}
+    assert free == {(round(want[u], 9), "allow" if want[u] >= threshold else "block") for u in open_urls}
+
+
 def simple_targets(sizes, weights, budget, cap):
     names = sorted([s for s in sizes if s is not None]) + [s for s in sizes if s is None]
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
