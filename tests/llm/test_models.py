@@ -214,6 +214,16 @@ def test_url_models_count_every_labelled_url(spark, monkeypatch):
     assert free == {(round(want[u], 9), "allow" if want[u] >= threshold else "block") for u in open_urls}
 
 
+def test_url_sides_of_one_hot_url(spark):
+    """One URL a side, repeated beyond any number of characters: it teaches and calibrates its side."""
+    hot = [("http://aaaa.com/tea", 40_000), ("http://bbbb.net/xyz", 40_000), ("http://aaaa.org/tea", 1), ("http://bbbb.org/xyz", 1)]
+    rows = spark.createDataFrame(hot, "url string, n int").select("url", F.explode(F.sequence(F.lit(1), "n")).alias("page_id"))
+    got = urls.judged(rows, [("com/", "allow"), ("net/", "block")]).filter("rule is null").collect()
+    assert {r["host"]: r["verdict"] for r in got} == {"aaaa.org": "allow", "bbbb.org": "block"}
+    one = urls.judged(rows, [("com/", "allow")]).filter("rule is null").select("verdict", "score").distinct().collect()
+    assert [tuple(r) for r in one] == [("allow", 0.0)]
+
+
 def simple_targets(sizes, weights, budget, cap):
     names = sorted([s for s in sizes if s is not None]) + [s for s in sizes if s is None]
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
