@@ -8,19 +8,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from residua.llm import exact, language, mixture, near, pieces
-from residua.llm.common import shared_table, table
+from residua.llm.common import checkpointed, shared_table, table
 
 PIECES = "piece_bpe_32k.model"
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows whose id has a kept decision; an id is decided once, a null id is its own."""
-    ids = decisions.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number of each row's own that is the same whenever the row is read.
+
+    It is the number of the file and the place in it; of rows that no file holds, the place in a checkpoint.
+    """
+    try:
+        placed = docs.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    files = placed.select(F.col("_file").alias("_of")).distinct()
+    numbers = checkpointed(files.withColumn("_no", F.row_number().over(Window.orderBy("_of")).cast("long")))
+    rows = placed.join(F.broadcast(numbers), F.col("_file") == F.col("_of"))
+    return rows.withColumn("_row", F.shiftleft("_no", 40) + F.col("_at")).drop("_file", "_at", "_of", "_no")
+
+
+def _only(rows: DataFrame, kept: Column, decisions: DataFrame) -> DataFrame:
+    """The numbered rows that ``kept`` of ``decisions`` names, without their numbers."""
+    return rows.join(decisions.select(kept.alias("_kept")), F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +44,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal without white space, one stays: the longest, then the smallest id."""
-    return _kept(docs, exact.exact_duplicates(docs))
+    """Of rows whose texts are equal without white space, one stays: the longest, then the smallest id, null last."""
+    rows = _numbered(docs)
+    return _only(rows, F.col("row"), exact.exact_duplicates(rows, row="_row").filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a similarity of 0.8 over shingles of five words, the smallest id stays."""
-    return _kept(docs, near.near_duplicates(docs, percent=80, words=5))
+    """Of rows linked at a similarity of 0.8 over shingles of five words, one stays: the smallest id, null last."""
+    rows = _numbered(docs)
+    linked = near.near_duplicates(rows, percent=80, words=5, doc_id="_row").select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select("_row", "doc_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    return _only(rows, F.col("best.row"), linked.join(ids, F.col("row") == F.col("_row")).groupBy("component_id").agg(best.alias("best")))
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,15 +38,16 @@ def _named(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(names, keys)
 
 
-def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, row: str | None = None) -> DataFrame:
     """One row per input row: ``row``, ``doc_id``, ``n_points``, ``text_sha256``, ``rounds``, ``name``.
 
     Rows agree on (rounds, name) exactly when their texts are equal without white space. A null text
-    is an empty one. Every row counts, also repeated rows and rows with a null id. Only the two named
-    columns are read; others, whatever their names, are ignored.
+    is an empty one. Every row counts, also repeated rows and rows with a null id. Only the named
+    columns are read; others, whatever their names, are ignored. ``row`` names a column that tells rows apart; without it they are numbered here.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.char_length(whole).alias("n_points"), without_blanks(whole).alias("body"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(number.alias("row"), F.col(doc_id).alias("doc_id"), F.char_length(whole).alias("n_points"), without_blanks(whole).alias("body"))
     parts = F.regexp_extract_all("body", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
     rows = rows.withColumn("parts", F.when(F.col("body") == "", F.array(F.lit(""))).otherwise(parts))
     head = F.col("i") == 0
@@ -76,14 +77,15 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     return heads.join(done, "row")
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, row: str | None = None) -> DataFrame:
     """Groups of equal texts: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Of each group the row with the most code points stays, then the smallest id (null last), then the
-    first row read, so that of repeated rows one stays. An empty table gives an empty result.
+    first row read, so that of repeated rows one stays. An empty table gives an empty result. Where ``row`` names a column that
+    tells rows apart, the smallest one stands for the first, and the result has it as ``row``.
     """
-    named = identities(docs, doc_id, text, block)
+    named = identities(docs, doc_id, text, block, row)
     best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     groups = named.groupBy("rounds", "name").agg(F.count("*").alias("group_size"), best.alias("best"))
     out = named.join(groups, ["rounds", "name"])
-    return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+    return out.select(*(["row"] if row else []), "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")

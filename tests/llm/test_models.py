@@ -295,3 +295,59 @@ def test_pipeline(spark):
             assert 90004 not in ids or 3 not in ids
             assert docs.count() == before.select(F.regexp_replace("text", r"[\x20\x09-\x0D]", "").alias("t")).distinct().count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+
+
+def shingles_of(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_pipeline_repeated_rows_and_null_ids(spark, tmp_path, stored):
+    """Every stage decides row by row, whatever the ids, as brute force does."""
+    plain = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(12)]
+    near = [[" ".join([*t.split()[:-1], f"end{j}"]) for j in range(4)] for t in plain]
+    rows = [(1, plain[0])] * 3 + [(None, plain[0])] * 2 + [(5, plain[0]), (5, plain[1]), (None, plain[2]), (None, plain[2]), (None, plain[3])]
+    rows += [(8, near[4][0]), (7, near[4][1]), (None, near[4][2]), (8, plain[5]), (None, near[6][0]), (None, near[6][1]), (9, near[7][0]), (9, near[7][1]), (9, near[7][1]), (10, plain[8]), (3, plain[1] + " ")]
+    schema = docs_frame(spark, SMALL).schema
+    docs = spark.createDataFrame([(i, t, "en", ["a", "b", None][k % 3], len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    assert set(docs.columns) == {f.name for f in schema}
+
+    def read(df, name):
+        if not stored:
+            return spark.createDataFrame(df.collect(), docs.schema)
+        df.repartition(3).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    first = lambda group: min(group, key=lambda r: (r[0] is None, r[0] or 0))
+    key = lambda found: sorted((i or 0, t) for i, t in found)
+    exact = read(stages["exact_dedup"](spark, read(docs, "docs"), ""), "exact")
+    same = defaultdict(list)
+    for i, t in rows:
+        same["".join(t.split())].append((i, t))
+    longest = [first([r for r in g if len(r[1]) == max(len(t) for _, t in g)]) for g in same.values()]
+    assert key((r["doc_id"], r["text"]) for r in exact.collect()) == key(longest)
+
+    for given in (exact, read(docs, "again")):
+        out = stages["near_dedup"](spark, given, "")
+        assert out.columns == docs.columns
+        left = [(r["doc_id"], r["text"]) for r in given.collect()]
+        groups = []
+        for r in left:
+            linked = [g for g in groups if any(100 * len(shingles_of(r[1]) & shingles_of(o[1])) >= 80 * len(shingles_of(r[1]) | shingles_of(o[1])) for o in g)]
+            groups = [g for g in groups if g not in linked] + [sum(linked, []) + [r]]
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert len(got) == len(groups)
+        assert all([i for i, t in got if t in {o[1] for o in g}] == [first(g)[0]] for g in groups)
+
+    kept = read(stages["near_dedup"](spark, exact, ""), "near")
+    mixed = stages["mixture"](spark, kept, "").collect()
+    sizes, taken, alike = Counter(), Counter(), Counter()
+    for r in kept.collect():
+        sizes[r["source"]] += len(r["text"].split())
+        alike[r["doc_id"]] += len(r["text"].split())
+    for r in mixed:
+        taken[r["source"]] += len(r["text"].split())
+    want = simple_targets(sizes, (3, 1, 2), 1.5, 2.0)
+    assert all(abs(taken[s] - want[s]) <= max(alike.values()) for s in sizes)
