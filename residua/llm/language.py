@@ -5,7 +5,7 @@ Their learned weights give emission scores, learned transitions tie neighbours t
 forward-backward gives each word's distribution over languages, so texts that switch languages are
 labelled word by word. A document's language is the one with the largest mean probability.
 
-The model is fitted on a bounded sample of labelled documents, cut into runs of words and spliced so that languages
+The model is fitted on a bounded sample of runs of words of labelled documents, cut into shorter ones and spliced so that languages
 change inside a sequence. Prediction reads every word of every text where it stands, without a shuffle.
 """
 
@@ -20,14 +20,15 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import worker_slot
+from .common import checkpointed, small, worker_slot
 from .shingles import M1, M2, mix
 
 WORD = re.compile(r"[^\W\d_]+")
 FITTED_CHARS = 150_000
+RUN = 5_000
 SLOTS = 1 << 16
 REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
@@ -271,15 +272,34 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fitted_chars: int = FITTED_CHARS) -> Field | None:
-    """Fit on about ``fitted_chars`` characters of each language, whole documents chosen by hash, none held out."""
+def _runs(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """``lang``, ``h``, ``run``: labelled texts that are not held out, cut at white space into runs of at most ``RUN`` characters."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null and id is not null").filter(~held_out("id"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.char_length("text") + 1).alias("n")).collect()}
-    if not sizes:
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{RUN}}}(?!\S)|.{{1,{RUN}}}"), F.lit(0))
+    runs = rows.select("id", "lang", F.posexplode(F.when(F.char_length("text") <= RUN, F.array("text")).otherwise(pieces)).alias("i", "run"))
+    return runs.select("lang", F.xxhash64("id", "i", "run").alias("h"), "run")
+
+
+def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fitted_chars: int = FITTED_CHARS) -> Field | None:
+    """Fit on runs of words of each language, none of a held-out document: those with the smallest hashes of id, place and run.
+
+    Of every language at least one run is learned from, and no more than ``fitted_chars`` characters or that one run. Repeated rows count once.
+    """
+    runs = _runs(docs, doc_id, text, lang)
+    sizes = checkpointed(runs.groupBy("lang", "h").agg(F.max(F.char_length("run") + 1).alias("n")))
+    bucket = F.shiftright("h", 48)
+    by = Window.partitionBy("lang").orderBy("bucket")
+    filled = sizes.groupBy("lang", bucket.alias("bucket")).agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(by) - F.col("n"))
+    edges = filled.filter(F.col("before") < fitted_chars).groupBy(F.col("lang").alias("of")).agg(F.max("bucket").alias("edge"))
+    near = sizes.join(F.broadcast(edges), (F.col("lang") == F.col("of")) & (bucket <= F.col("edge")))
+    by = Window.partitionBy("lang").orderBy("h")
+    chosen = near.withColumn("upto", F.sum("n").over(by)).withColumn("place", F.row_number().over(by)).filter((F.col("upto") <= fitted_chars) | (F.col("place") == 1))
+    chosen = checkpointed(chosen.select("lang", "h"))
+    n = chosen.count()
+    if not n:
         return None
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, fitted_chars / n))]), F.col("lang"))
-    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
-    found = sorted((r["id"], r["lang"], r["text"]) for r in sample.select("id", "lang", "text").collect())
+    found = runs.join(small(chosen, n), ["lang", "h"]).groupBy("lang", "h").agg(F.min("run").alias("run")).collect()
+    found = sorted((r["h"], r["lang"], r["run"]) for r in found)
     return fit([r[2] for r in found], [r[1] for r in found])
 
 

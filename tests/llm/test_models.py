@@ -97,6 +97,26 @@ def test_language_of_mixed_and_odd_texts(spark):
     assert [r["lang_pred"] for r in language.predicted(df.limit(1), None).collect()] == ["und"]
 
 
+def test_language_learns_few_long_and_hot_documents(spark, monkeypatch):
+    """Pieces are drawn, not documents: no language is lost, and no more than the bound is collected."""
+    monkeypatch.setattr(language, "fit", lambda texts, langs: list(zip(langs, texts, strict=True)))
+    ids = spark.range(10_000).filter(~language.held_out("id")).withColumn("r", F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) / (1 << 30))
+    far = [r["id"] for r in ids.filter("r > 0.5").limit(5).collect()]
+    hit = ids.filter("r < 0.05").first()["id"]
+    rows = [(i, "long", 60_000, 1) for i in far[:3]] + [(hit, "drawn", 100_000, 1), (far[3], "hot", 1_000, 40), (far[4], "tiny", 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, words int, times int").withColumn("t", F.explode(F.sequence(F.lit(1), "times")))
+    docs = df.select("doc_id", "lang", F.array_join(F.transform(F.sequence(F.lit(1), "words"), lambda i: F.concat(F.lit("wörd"), i.cast("string"))), " ").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(far[0], "solid", "ü" * 400_000)], "doc_id long, lang string, text string"))
+    got = language.fitted(docs)
+    chars = Counter()
+    for lang, text in got:
+        chars[lang] += len(text) + 1
+    assert set(chars) == {"long", "drawn", "hot", "tiny", "solid"} and max(chars.values()) <= 150_000
+    assert min(chars[x] for x in ("long", "drawn", "solid")) > 140_000
+    assert chars["hot"] < 10_000 and chars["tiny"] == len("wörd1") + 1
+    assert got == language.fitted(docs.repartition(3))
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(4)
     k, lengths = 3, np.array([4, 2, 1])
