@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, lines, mixture, near, pieces, recompress, search, suffixes, urls
+from . import exact, language, lines, mixture, near, pieces, recompress, resample, search, suffixes, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,30 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = suffixes.without_repeated_bytes(table(spark, folder, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: CRC-32 of each distinct word: a table of 256 entries by eight shifts, folded over the word's bytes.
+RESAMPLE_SQL = r"""WITH RECURSIVE c(i, k, v) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL
+      SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM c WHERE k < 8),
+    crc AS (SELECT list(v ORDER BY i) AS tab FROM c WHERE k = 8),
+    d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    dw AS (SELECT doc_id, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b),
+    u AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+    k AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+      lambda a, y: xor(tab[(xor(a, y) & 255) + 1], a >> 8)), 4294967295) % 10000 AS bucket FROM u, crc),
+    s AS (SELECT bucket, count(*) AS n FROM dw JOIN k USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM bw JOIN k USING (w) GROUP BY bucket),
+    n AS (SELECT coalesce((SELECT sum(n) FROM s), 0) AS s_all, coalesce((SELECT sum(n) FROM t), 0) AS t_all),
+    g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), n),
+    m AS (SELECT doc_id, count(*) AS f, sum(gain) AS total FROM dw JOIN k USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+    r AS (SELECT d.doc_id, len(ws) AS n_words, CAST(coalesce(f, 0) AS BIGINT) AS n_features, CAST(coalesce(floor(total / f), 0) AS BIGINT) AS weight,
+      CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT)::DOUBLE AS h FROM d LEFT JOIN m USING (doc_id)),
+    q AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM r)
+    SELECT doc_id, n_features, weight, score, CAST(n_words AS BIGINT) AS n_words,
+      CASE WHEN n_words >= 20 AND row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) <= 10 * count(*) OVER (PARTITION BY n_words >= 20) // 100
+        THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS rank FROM q"""
+
+
+@query("op13_resample", RESAMPLE_SQL)
+def resample_plan(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
