@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, lines, mixture, near, pieces, recompress, resample, search, suffixes, urls
+from . import exact, language, lines, mixture, near, pieces, recompress, resample, search, suffixes, tokenfile, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ RESAMPLE_SQL = r"""WITH RECURSIVE c(i, k, v) AS (SELECT i, 0, i FROM range(256)
 @query("op13_resample", RESAMPLE_SQL)
 def resample_plan(spark: SparkSession, folder: str) -> DataFrame:
     return resample.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op11_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfile.digests(table(spark, folder, "documents"), pieces.model_bytes(public_tokenizers.path("byte_bpe_50k.json")))
