@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, lines, mixture, near, pieces, recompress, resample, search, suffixes, tokenfile, urls
+from . import exact, language, lines, mixture, near, negatives, pieces, recompress, resample, search, suffixes, tokenfile, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,20 @@ def resample_plan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_token_files")
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.digests(table(spark, folder, "documents"), pieces.model_bytes(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query(
+    "op12_hard_negatives",
+    """WITH p AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS anchor_id, r.vec_id AS vec_id, q.label = r.label AS same, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM p q JOIN p r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
+    a AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (SELECT a.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY a.anchor_id, a.positive_id ORDER BY s.score DESC, s.vec_id) AS r
+      FROM a JOIN s ON s.anchor_id = a.anchor_id AND NOT s.same AND 50 * a.positive_score <= 100 * s.score AND 100 * s.score <= 95 * a.positive_score)
+    SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 3""",
+)
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(rows.select("vec_id", "embedding", noisy.alias("label")))
