@@ -81,3 +81,17 @@ def test_places(spark):
     got = places.placed(df, [df["k"], df["id"]], "places", 5000, rows_per_part=300).orderBy("_place").collect()
     assert [r["_place"] for r in got] == list(range(5000))
     assert [(r["k"], r["id"]) for r in got] == sorted((i % 3, i) for i in range(5000))
+
+
+def test_slices_of_a_batch():
+    """Texts of every slice are whole, whatever its place in the batch."""
+    split = pre_tokenizers.Split(Regex(resample.BETWEEN), "removed")
+    texts = [f"Été {i} über " * (i % 7) if i % 5 else None for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], ["doc_id", "text"])
+    ids, found = [], []
+    for part in places.slices(iter([batch]), 1, 500):
+        ids += part.column(0).to_pylist()
+        n, _, buckets = resample.text_buckets(part.column(1), 1, 1000, split)
+        found += np.split(buckets, np.cumsum(n)[:-1])
+    assert ids == list(range(300))
+    assert [f.tolist() for f in found] == [[zlib.crc32(w.encode()) % 1000 for w in WORDS.findall(lowered(t))] for t in texts]
