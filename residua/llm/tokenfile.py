@@ -1,8 +1,8 @@
 """Files of token ids: canonical Huffman bits in independent blocks, in the order of the documents' ids.
 
 Texts are encoded by the tokenizers library. A task takes the distinct chunks of its batch (text up to the next
-change from a visible character to a blank or line end, where byte-level pre-tokens always end), encodes those it
-does not remember in one call and tells them apart by their offsets, and puts texts together from chunks.
+change from a visible character to a blank or line end, where byte-level pre-tokens always end), encodes strings of
+many of them, tells them apart by the offsets of the ids, and puts texts together from chunks.
 
 The ids are written once, counted per task and added up by Spark; the counts of the vocabulary give one code book. Documents
 are packed where they stand, then dealt by ranges of their id and laid down as segments:
@@ -40,26 +40,34 @@ MAGIC, VERSION = 0x46445449, 1
 BLOCK, SEGMENT_IDS, PART_IDS = 512, 1 << 20, 1 << 26
 SEGMENT_DOCUMENTS = 1 << 16
 CODE_LIMIT = 18
-REMEMBERED = 200_000
-ENCODED_CHARS = 200_000
+#: Bytes of a string made of chunks, characters of a piece of a long text, of a task's slice of texts; ids put together at a time.
+JOINED_BYTES, LONG_CHARS, TEXT_CHARS, TAKEN_IDS = 20_000, 200_000, 32_000_000, 1 << 20
+#: Chunks that a worker keeps, unless one slice of texts has more.
+KNOWN_CHUNKS = 1_200_000
 #: Before a blank or line end that follows a visible character a byte-level pre-token ends.
 VISIBLE = r"!-~\pL\pN\pM\pP\pS"
 SEAM = re.compile(r"(?<=[!-~\w])(?=[ \n\t\r])")
 
 
 class Encoder:
-    """Ids of texts by one tokenizer file, with a bounded memory of chunks."""
+    """Ids of texts by one tokenizer file."""
 
     def __init__(self, data: bytes, as_text: bool):
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.encode_special_tokens = as_text
-        self.memory: dict[str, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: A token of a byte-level vocabulary is written with a character for each byte.
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        #: Chunks met lately, their ids, and the first place and number of the ids of each.
+        self.known, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+        self.first, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
         """One text, in pieces cut at seams so that no call is long."""
         cuts, last = [0], 0
-        while len(text) - last > ENCODED_CHARS:
-            found = SEAM.search(text, last + ENCODED_CHARS)
+        while len(text) - last > LONG_CHARS:
+            found = SEAM.search(text, last + LONG_CHARS)
             if not found:
                 break
             last = found.start()
@@ -67,42 +75,55 @@ class Encoder:
         pieces = [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
         return np.concatenate([np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) for p in pieces])
 
-    def _fresh(self, chunks: list[str]) -> list[np.ndarray]:
-        """Chunks that start with a blank and hold a visible end: encoded in one string, parted by offsets."""
-        found: list[np.ndarray] = []
-        first = 0
-        while first < len(chunks):
-            last, size = first, 0
-            while last < len(chunks) and (last == first or size + len(chunks[last]) <= ENCODED_CHARS):
-                size += len(chunks[last])
-                last += 1
-            part = chunks[first:last]
-            coded = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = np.array(coded.ids, np.uint32)
-            starts = np.cumsum([0] + [len(c) for c in part])
-            at = np.fromiter((a for a, _ in coded.offsets), np.int64, len(ids))
-            bounds = np.searchsorted(np.searchsorted(starts, at, side="right") - 1, np.arange(len(part) + 1))
-            found += [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-            first = last
-        return found
-
-    def chunk_ids(self, chunks: list[str]) -> list[np.ndarray]:
-        out = [self.memory.get(c) for c in chunks]
-        missing = [i for i, x in enumerate(out) if x is None]
-        # a chunk with visible ends on both sides of a seam: the next one begins with its blank
-        joined = [i for i in missing if len(chunks[i]) > 1 and chunks[i][0] in " \n" and SEAM.match(chunks[i] + " ", len(chunks[i]))]
-        for i, ids in zip(joined, self._fresh([chunks[i] for i in joined]), strict=True):
-            out[i] = ids
-        for i in missing:
-            if out[i] is None:
-                out[i] = self._whole(chunks[i]) if chunks[i] else np.zeros(0, np.uint32)
-        if len(self.memory) + len(missing) > REMEMBERED:
-            self.memory.clear()
-        self.memory.update((chunks[i], out[i].copy()) for i in missing[:REMEMBERED] if len(chunks[i]) <= 64)
-        return out
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, one text after the other, and the number of each; null is empty."""
+    def _joined(self, chunks: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of chunks that start with a blank and end visibly, and the number of each: encoded in strings of many, parted by the ids' offsets."""
+        ends = np.cumsum(pc.binary_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64))
+        found, sizes = [], np.zeros(len(ends), np.int64)
+        first, before = 0, 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, before + JOINED_BYTES, side="right")))
+            text = "".join(chunks.slice(first, last - first).to_pylist())
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.cumsum(self.bytes[ids])
+            sizes[first:last] = np.diff(np.searchsorted(stops, ends[first:last] - before, side="right"), prepend=0)
+            found.append(ids)
+            first, before = last, int(ends[last - 1])
+        return found, sizes
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and of each chunk its first place there and its number of ids."""
+        at = pc.index_in(chunks, value_set=self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        fresh = chunks.filter(pa.array(new))
+        ids, first, sizes = self._fresh(fresh)
+        place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[new] = len(self.known) + np.arange(len(fresh))
+        flat = np.concatenate([self.ids, ids])
+        first, sizes = np.concatenate([self.first, first + len(self.ids)]), np.concatenate([self.sizes, sizes])
+        if len(sizes) <= KNOWN_CHUNKS:
+            self.known, self.ids, self.first, self.sizes = pa.concat_arrays([self.known, fresh]), flat, first, sizes
+        else:  # only what was met last
+            self.known, self.sizes = chunks, sizes[place]
+            self.ids, self.first = flat[ragged(first[place], self.sizes)], np.cumsum(self.sizes) - self.sizes
+        return flat, first[place], sizes[place]
+
+    def _fresh(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # between such chunks there is a seam
+        fit = pc.match_substring_regex(chunks, f"(?s)^[ \\n].*[{VISIBLE}]$").to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(chunks), np.int64)
+        found, sizes[fit] = self._joined(chunks.filter(pa.array(fit)))
+        rest = np.flatnonzero(~fit)
+        for i in rest.tolist():
+            text = chunks[i].as_py()
+            found.append(self._whole(text) if text else np.zeros(0, np.uint32))
+            sizes[i] = len(found[-1])
+        order = np.concatenate([np.flatnonzero(fit), rest])
+        first = np.empty(len(chunks), np.int64)
+        first[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate([*found, np.zeros(0, np.uint32)]), first, sizes
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of consecutive texts, one text after the other, and the number of each; some texts at a time. Null is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         rough = pc.match_substring_regex(texts, f"[^{VISIBLE}][ \\n]")
         marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
@@ -112,20 +133,28 @@ class Encoder:
         zero = pc.match_substring(texts, "\0")
         if pc.any(zero).as_py():  # the mark stands in the text itself
             marked = pc.if_else(zero, "", marked)
+        odd = set(np.flatnonzero(zero.to_numpy(zero_copy_only=False)).tolist())
         parts = pc.split_pattern(marked, "\0")
+        del marked
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))])
         coded = parts.flatten().dictionary_encode()
-        ids = self.chunk_ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        del parts
+        flat, first, sizes = self._chunk_ids(coded.dictionary)
         chunk = coded.indices.to_numpy(zero_copy_only=False)
-        counts = sums(sizes[chunk], pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
-        found = flat[ragged((np.cumsum(sizes) - sizes)[chunk], sizes[chunk])]
-        for i in np.flatnonzero(zero.to_numpy(zero_copy_only=False)).tolist():
-            before = int(counts[:i].sum())
-            whole = self._whole(texts[i].as_py())
-            found = np.concatenate([found[:before], whole, found[before + counts[i] :]])
-            counts[i] = len(whole)
-        return found, counts
+        del coded
+        ends = np.cumsum(sums(sizes[chunk], np.diff(bounds)))
+        start = 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + TAKEN_IDS, side="right")))
+            mine = chunk[bounds[start] : bounds[stop]]
+            ids, n = flat[ragged(first[mine], sizes[mine])], np.diff(np.concatenate([[before], ends[start:stop]]))
+            for i in sorted(odd.intersection(range(start, stop))):
+                at = int(n[: i - start].sum())
+                whole = self._whole(texts[i].as_py())
+                ids, n[i - start] = np.concatenate([ids[:at], whole, ids[at + n[i - start] :]]), len(whole)
+            yield ids, n
+            start = stop
 
 
 def tokens(docs: DataFrame, tokenizer: bytes, end: int | None = 0, as_text: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,14 +167,16 @@ def tokens(docs: DataFrame, tokenizer: bytes, end: int | None = 0, as_text: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_slot(("tokens", as_text, zlib.crc32(sent.value)), lambda: Encoder(sent.value, as_text))
-        for batch in slices(batches, 1):
-            ids, n = encoder.encode(batch.column(1))
-            if end is not None:
-                ids, n = np.insert(ids, np.cumsum(n), end), n + 1
-            packed = ids.astype(kind).tobytes()
-            stops = np.cumsum(n) * np.dtype(kind).itemsize
-            rows = [packed[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(rows, pa.binary())], ["doc_id", "n", "ids"])
+        for batch in slices(batches, 1, TEXT_CHARS):
+            done = 0
+            for ids, n in encoder.encode(batch.column(1)):
+                if end is not None:
+                    ids, n = np.insert(ids, np.cumsum(n), end), n + 1
+                packed = ids.astype(kind).tobytes()
+                stops = (np.cumsum(n) * np.dtype(kind).itemsize).tolist()
+                rows = [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(n)), pa.array(n), pa.array(rows, pa.binary())], ["doc_id", "n", "ids"])
+                done += len(n)
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, ids binary")

@@ -98,13 +98,15 @@ def odd_texts(n=400, seed=1):
 
 
 def test_encoder_equals_library(monkeypatch):
-    monkeypatch.setattr(tokenfile, "ENCODED_CHARS", 50)
-    monkeypatch.setattr(tokenfile, "REMEMBERED", 300)
+    monkeypatch.setattr(tokenfile, "JOINED_BYTES", 50)
+    monkeypatch.setattr(tokenfile, "LONG_CHARS", 70)
+    monkeypatch.setattr(tokenfile, "TAKEN_IDS", 900)
+    monkeypatch.setattr(tokenfile, "KNOWN_CHUNKS", 600)
     with open(FILE, "rb") as f:
         encoder = tokenfile.Encoder(f.read(), True)
     t, texts = library(), odd_texts() + ["long words and\nlines, " * 400, "longer " + "x y" * 700]
-    for part in (texts, texts[::-1], texts[::3]):
-        ids, n = encoder.encode(pa.array(part))
+    for part in (texts[:100], texts, texts[::-1], texts[::3]):
+        ids, n = (np.concatenate(x) for x in zip(*encoder.encode(pa.array(part)), strict=True))
         want = [t.encode(x or "", add_special_tokens=False).ids for x in part]
         assert n.tolist() == [len(w) for w in want]
         assert ids.tolist() == [i for w in want for i in w]
