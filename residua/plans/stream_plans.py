@@ -19,6 +19,8 @@ def event_stream(t: Tables):
 
 #: How late an event may come: longer than the table, whose files have no order.
 DELAY = "400 days"
+#: A task holds one such span of a lane's events.
+SPAN = "60 days"
 
 
 def replayed(t: Tables, stream, build):
@@ -36,7 +38,7 @@ def stream_progress(t: Tables):
  WHERE event_type IS DISTINCT FROM prev OR status <> 'ok'""")
 def stream_change(t: Tables):
     rows = event_stream(t).select("user_id", "us", "event_time", F.when(F.col("value") > 60, "warning").otherwise("ok").alias("status"), F.col("event_type").alias("signature"))
-    return replayed(t, rows, lambda df: S.emit_on_change(df, "user_id", "us", "status", "signature", "event_time", DELAY))
+    return replayed(t, rows, lambda df: S.emit_on_change(df, "user_id", "us", "status", "signature", "event_time", DELAY, SPAN))
 
 
 def lease_events(df):
@@ -63,7 +65,7 @@ LEASE_SQL = """WITH RECURSIVE e AS (SELECT user_id AS lane, row_number() OVER (P
 @query("stream_lease", LEASE_SQL + " SELECT lane, round(ts, 6) AS ts, event, accepted, status, coalesce(device, '') AS device, attempts FROM s WHERE rn > 0")
 def stream_lease(t: Tables):
     """Lease ledger transitions per lane."""
-    out = replayed(t, lease_events(event_stream(t)), lambda df: S.ledger_state(df, DELAY)).filter("event <> 'expire'")
+    out = replayed(t, lease_events(event_stream(t)), lambda df: S.ledger_state(df, DELAY, span=SPAN)).filter("event <> 'expire'")
     return out.select("lane", r4("ts", "ts", 6), "event", "accepted", "status", F.coalesce("device", F.lit("")).alias("device"), "attempts")
 
 
@@ -75,7 +77,7 @@ def stream_lease(t: Tables):
 )
 def stream_expired(t: Tables):
     """Leases that ran out before the lane's next event or the end of the stream."""
-    out = replayed(t, lease_events(event_stream(t)), lambda df: S.ledger_state(df, DELAY)).filter("event = 'expire'")
+    out = replayed(t, lease_events(event_stream(t)), lambda df: S.ledger_state(df, DELAY, span=SPAN)).filter("event = 'expire'")
     return out.select("lane", r4("lease_until", "lease_until", 6))
 
 

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ledger import CELLS_PER_LANE, MIN_PROOF_BYTES
+from .held import HeldRows, use_rocks
 
 LEDGER_OUT = "lane bigint, ts double, event string, accepted boolean, status string, device string, lease_until double, attempts int"
-LEDGER_STATE = "status string, device string, lease_until double, attempts int, noticed double, held string"
+LEDGER_COLUMNS = [c.split()[0] for c in LEDGER_OUT.split(", ")]
+LEDGER_STATE = "status string, device string, lease_until double, attempts int, noticed double"
 
 
 def lease_step(state: tuple, event: dict) -> tuple[tuple, bool]:
@@ -60,92 +59,90 @@ def _streaming(df: DataFrame) -> DataFrame:
     return df
 
 
-def _ordered(batches: Iterator[pd.DataFrame], held: str, until: float) -> tuple[list[dict], str, float | None]:
-    """Held and new rows with ``ts`` up to ``until``, in order of time and, where times tie, of content; the rest, and its first time.
+class LaneLedger(HeldRows):
+    """The lane's (status, device, lease_until, attempts) and the lease whose end has been noticed."""
 
-    ``held`` is a JSON list, the form that fits a state column.
-    """
-    rows = json.loads(held) if held else []
-    for pdf in batches:
-        rows += json.loads(pdf.to_json(orient="records", double_precision=15))
-    rows.sort(key=lambda r: (r["ts"], json.dumps(r, sort_keys=True)))
-    ready = [r for r in rows if r["ts"] <= until]
-    rest = rows[len(ready) :]
-    return ready, json.dumps(rest) if rest else "", rest[0]["ts"] if rest else None
+    fields = ("event", "device", "lease_seconds", "proof_bytes", "item_count", "retryable")
+
+    def __init__(self, expire: bool, span_ms: int):
+        super().__init__(list(self.fields), list(self.fields), span_ms, LEDGER_STATE)
+        self.expire = expire
+
+    def _lapsed(self, lane, now: tuple) -> tuple:
+        return (lane, now[2], "expire", True, "expired_claims", now[1], now[2], now[3])
+
+    def _open(self, now: tuple) -> bool:
+        return self.expire and now[0] in ("claimed", "running") and now[2] != now[4]
+
+    def step(self, key: tuple, now: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        now = now or ("", None, 0.0, 0, -1.0)
+        out = []
+        for event in rows.astype(object).where(rows.notna(), None).to_dict("records"):
+            if self._open(now) and now[2] <= event["ts"]:
+                out.append(self._lapsed(key[0], now))
+                now = (*now[:4], now[2])
+            lane, ok = lease_step(now[:4], event)
+            now = (*lane, now[4])
+            out.append((key[0], event["ts"], event["event"], ok, *lane))
+        return now, pd.DataFrame(out, columns=LEDGER_COLUMNS)
+
+    def look(self, key: tuple, now: tuple, reached: int) -> tuple[tuple, pd.DataFrame, int | None]:
+        if not self._open(now):
+            return now, pd.DataFrame(), None
+        if now[2] * 1000 > reached:
+            return now, pd.DataFrame(), math.ceil(now[2] * 1000)
+        return (*now[:4], now[2]), pd.DataFrame([self._lapsed(key[0], now)], columns=LEDGER_COLUMNS), None
+
+
+class Changes(HeldRows):
+    """The signature of the key's last row."""
 
+    def __init__(self, key: str, stamp: str, status: str, signature: str, span_ms: int):
+        super().__init__([stamp, status, signature], [stamp, status, signature], span_ms, "signature string")
+        self.names = (key, stamp, status, signature)
 
-def ledger_state(events: DataFrame, delay: str = "0 seconds", expire: bool = True) -> DataFrame:
+    def step(self, key: tuple, now: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        name, stamp, status, signature = self.names
+        before = rows[signature].shift().astype(object)
+        if len(rows):
+            before.iloc[0] = now[0] if now else None
+        same = (rows[signature] == before) | (rows[signature].isna() & before.isna())
+        out = rows.loc[~same | (rows[status] != "ok"), [stamp, status, signature]]
+        last = rows[signature].iloc[-1] if len(rows) else None
+        return ((None if pd.isna(last) else last,) if len(rows) else now), out.assign(**{name: key[0]})[list(self.names)]
+
+
+def _span_ms(spark: SparkSession, span: str) -> int:
+    return spark.range(1).select((F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {span}")) / 1000).cast("bigint")).first()[0]
+
+
+def ledger_state(events: DataFrame, delay: str = "0 seconds", expire: bool = True, span: str = "1 hour") -> DataFrame:
     """Every event with the lane state after it; a lapsed lease adds an ``expire`` row.
 
     Events: lane, event_time (timestamp), ts (its seconds), event, device, lease_seconds,
     proof_bytes, item_count, retryable. A lane's events are held until the watermark, which trails by ``delay``, has
-    passed them and are then taken in order of time, so the rows do not depend on how files fall into micro-batches as
-    long as none comes later than the delay. A lane without a name only moves the watermark.
+    passed them and are then taken in order of time, where times tie of content, so the rows do not depend on how files fall into
+    micro-batches as long as none comes later than the delay. A task has one ``span`` of one lane in memory. A lane without a
+    name only moves the watermark.
     A lapsed lease changes only what may be claimed, so noticing it (by the event-time timer
     or by a later event of the lane) emits one row and leaves the status alone.
     """
-    fields = ["lane", "event_time", "ts", "event", "device", "lease_seconds", "proof_bytes", "item_count", "retryable"]
+    use_rocks(events.sparkSession)
+    source = _streaming(events).select("lane", "event_time", "ts", *LaneLedger.fields).withWatermark("event_time", delay)
+    ledger = LaneLedger(expire, _span_ms(events.sparkSession, span))
+    return source.groupBy("lane").transformWithStateInPandas(ledger, LEDGER_OUT, "append", "EventTime")
 
-    columns = [c.split()[0] for c in LEDGER_OUT.split(", ")]
 
-    def lapsed(lane, now: tuple) -> tuple:
-        return (lane, now[2], "expire", True, "expired_claims", now[1], now[2], now[3])
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if pd.isna(key[0]):
-            return
-        *now, noticed, held = state.get if state.exists else ("", None, 0.0, 0, -1.0, "")
-        now = tuple(now)
-        reached = state.getCurrentWatermarkMs()
-        ready, held, next_ts = _ordered((p.drop(columns=["lane", "event_time"]) for p in batches), held, reached / 1000)
-        rows = []
-        for event in ready:
-            if expire and now[0] in ("claimed", "running") and now[2] <= event["ts"] and now[2] != noticed:
-                rows.append(lapsed(key[0], now))
-                noticed = now[2]
-            now, ok = lease_step(now, event)
-            rows.append((key[0], event["ts"], event["event"], ok, now[0], now[1], now[2], now[3]))
-        pending = expire and now[0] in ("claimed", "running") and now[2] != noticed
-        if pending and now[2] * 1000 <= reached:
-            rows.append(lapsed(key[0], now))
-            noticed, pending = now[2], False
-        state.update((*now, noticed, held))
-        wake = [x * 1000 for x in ([next_ts] if held else []) + ([now[2]] if pending else [])]
-        if wake:
-            state.setTimeoutTimestamp(max(int(math.ceil(min(wake))), reached + 1))
-        yield pd.DataFrame(rows, columns=columns)
-
-    source = _streaming(events).select(*fields).withWatermark("event_time", delay)
-    return source.groupBy("lane").applyInPandasWithState(advance, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def emit_on_change(df: DataFrame, key: str, stamp: str, status: str, signature: str, event_time: str, delay: str = "0 seconds") -> DataFrame:
+def emit_on_change(df: DataFrame, key: str, stamp: str, status: str, signature: str, event_time: str, delay: str = "0 seconds", span: str = "1 hour") -> DataFrame:
     """Rows whose signature differs from the previous one of the key, and all rows not ``ok``.
 
     Rows are held until the watermark has passed them, like those of :func:`ledger_state`. A null key only moves the watermark.
     """
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {stamp} {df.schema[stamp].dataType.simpleString()}, {status} string, {signature} string"
-
-    def changed(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if pd.isna(k[0]):
-            return
-        last, held = state.get if state.exists else (None, "")
-        reached = state.getCurrentWatermarkMs()
-        ready, held, next_ts = _ordered((p.drop(columns=[key, "_time"]) for p in batches), held, reached / 1000)
-        rows = []
-        for r in ready:
-            if r[signature] != last or r[status] != "ok":
-                rows.append((k[0], r[stamp], r[status], r[signature]))
-            last = r[signature]
-        state.update((last, held))
-        if held:
-            state.setTimeoutTimestamp(max(int(math.ceil(next_ts * 1000)), reached + 1))
-        yield pd.DataFrame(rows, columns=[key, stamp, status, signature])
-
+    use_rocks(df.sparkSession)
     rows = _streaming(df).select(key, stamp, status, signature, F.col(event_time).alias("_time"), (F.unix_micros(event_time) / 1e6).alias("ts"))
-    return rows.withWatermark("_time", delay).groupBy(key).applyInPandasWithState(
-        changed, schema, "signature string, held string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    changes = Changes(key, stamp, status, signature, _span_ms(df.sparkSession, span))
+    return rows.withWatermark("_time", delay).groupBy(key).transformWithStateInPandas(changes, schema, "append", "EventTime")
 
 
 def dedupe_arrivals(df: DataFrame, name: str, event_time: str, delay: str) -> DataFrame:
