@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.generator import lcg_at, lcg_jump, lcg_output
+from ..session import checkpointed
 from .windows import first_occurrence
 
 
@@ -50,23 +51,42 @@ def pair_events(
     )
 
 
-def schedule_with_lead(targets: DataFrame, upper: str, start: int, lead: int, max_steps: int, strict: bool = True) -> DataFrame:
-    """First step in [lead, max_steps] whose generator output is a pending target.
+#: A generator output has 16 bits, and the stream comes back to its start after 2**32 steps.
+OUTPUTS, PERIOD = 1 << 16, 1 << 32
+#: Steps of the first search; every further one is as long as all before.
+FIRST_STEPS = 1 << 18
 
-    The stream positions are computed independently, so the search is a parallel range scan
-    with one aggregate. ``strict`` fails when targets stay uncovered, naming up to 8.
+
+def schedule_with_lead(targets: DataFrame, upper: str, start: int, lead: int, max_steps: int | None = None, strict: bool = True) -> DataFrame:
+    """First step from ``lead`` on whose generator output is a pending target, for every distinct target.
+
+    Stream positions are computed independently, so ranges of steps are scanned in parallel; each range is searched for
+    the targets still open, at most one for each output, and is as long as all ranges before it together. The search ends when no
+    target is open, at ``max_steps``, or after a whole period. Targets without a step are rows with a null step and a ``problem``:
+    ``out-of-range`` where no output can have the value, else ``not-reached``. ``strict`` fails instead, naming up to 8.
     """
     spark = targets.sparkSession
-    steps = spark.range(max(1, lead), max_steps + 1).withColumnRenamed("id", "step")
-    stream = steps.select("step", lcg_output(lcg_at(F.lit(start).cast("bigint"), "step")).alias(upper))
-    hits = stream.join(targets.select(F.col(upper).cast("bigint").alias(upper)).distinct(), upper, "left_semi")
-    found = first_occurrence(hits, [upper], ["step"], [])
+    last = min(max_steps or PERIOD, max(1, lead) + PERIOD - 1)
+    wanted = checkpointed(targets.select(F.col(upper).cast("bigint").alias(upper)).filter(F.col(upper).isNotNull()).distinct())
+    open_targets = wanted.filter((F.col(upper) >= 0) & (F.col(upper) < OUTPUTS))
+    found, begin, end = None, max(1, lead), max(1, lead)
+    while begin <= last and not open_targets.isEmpty():
+        end = min(last + 1, begin + max(FIRST_STEPS, begin))
+        steps = spark.range(begin, end).withColumnRenamed("id", "step")
+        stream = steps.select("step", lcg_output(lcg_at(F.lit(start).cast("bigint"), "step")).alias(upper))
+        hits = checkpointed(first_occurrence(stream.join(F.broadcast(open_targets), upper, "left_semi"), [upper], ["step"], []).select(upper, "step"))
+        found = hits if found is None else found.unionByName(hits)
+        open_targets = checkpointed(open_targets.join(hits, upper, "left_anti"))
+        begin = end
+    if found is None:
+        found = spark.createDataFrame([], f"{upper} bigint, step bigint")
+    problem = F.when(F.col("step").isNull(), F.when((F.col(upper) < 0) | (F.col(upper) >= OUTPUTS), "out-of-range").otherwise("not-reached"))
+    out = wanted.join(found, upper, "left").select(upper, "step", (F.col("step") - lead).alias("input_delta"), problem.alias("problem"))
     if strict:
-        missing = targets.select(F.col(upper).cast("bigint").alias(upper)).join(found, upper, "left_anti").orderBy(upper).limit(8)
-        sample = [r[0] for r in missing.collect()]
+        sample = [r[0] for r in out.filter("problem is not null").select(upper).orderBy(upper).limit(8).collect()]
         if sample:
-            raise ValueError(f"schedule left targets uncovered within {max_steps} steps, among them {sample}")
-    return found.withColumn("input_delta", F.col("step") - lead)
+            raise ValueError(f"schedule left targets uncovered within {last} steps, among them {sample}")
+    return out
 
 
 def schedule_from_frames(df: DataFrame, frame: str, input_frame: str, start_frame: int) -> DataFrame:

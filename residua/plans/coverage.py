@@ -53,9 +53,10 @@ def duplicates(t: Tables):
     return S.duplicates(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query("coverage", "SELECT source, count(DISTINCT doc_id % 100) AS n_items, 100 - count(DISTINCT doc_id % 100) AS missing, count(DISTINCT doc_id % 100) >= 100 AS complete, round(1.0 * count(DISTINCT doc_id % 100), 4) AS percent FROM documents GROUP BY source")
+@query("coverage", """WITH m AS (SELECT max(doc_id) + 1 AS total FROM documents), c AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source)
+    SELECT source, n AS n_items, total - n AS missing, n >= total AS complete, round(100.0 * n / total, 4) AS percent FROM c, m""")
 def coverage(t: Tables):
-    return S.coverage(t.documents.select("source", (F.col("doc_id") % 100).alias("item")), "source", "item", 100)
+    return S.coverage(t.documents.select("source", F.col("doc_id").alias("item")), "source", "item", t.documents.agg(F.max("doc_id")).first()[0] + 1)
 
 
 @query(

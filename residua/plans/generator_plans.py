@@ -86,15 +86,20 @@ def lookahead(t: Tables):
     return C.lookahead_value(rows, "state", 3, table, "slot", slots).select("event_id", "k", "value")
 
 
+#: The stream of ``SEED`` has shown every 16-bit output before this step (a test counts them), so the twin needs no more.
+ALL_SHOWN = 1 << 20
+
+
 @query(
     "schedule_lead",
-    f"""WITH st AS (SELECT i, s FROM {lcg_sql('(SELECT CAST(range AS BIGINT) AS i FROM range(5, 20001))', str(SEED), 'i', 16)})
-    SELECT CAST(s >> 16 AS BIGINT) AS upper, min(i) AS step, min(i) - 5 AS input_delta FROM st WHERE CAST(s >> 16 AS BIGINT) IN (SELECT o_orderkey & 65535 FROM orders) GROUP BY 1""",
+    f"""WITH st AS (SELECT i, s FROM {lcg_sql(f'(SELECT CAST(range AS BIGINT) AS i FROM range(5, {ALL_SHOWN}))', str(SEED), 'i', 20)}),
+    f AS (SELECT CAST(s >> 16 AS BIGINT) AS upper, min(i) AS step FROM st GROUP BY 1)
+    SELECT upper, step, step - 5 AS input_delta FROM (SELECT DISTINCT o_orderkey & 65535 AS upper FROM orders) LEFT JOIN f USING (upper)""",
 )
 def schedule_lead(t: Tables):
-    """First stream step with at least five steps of lead for every order key that is reached."""
+    """First stream step with at least five steps of lead for every order key."""
     targets = t.orders.select(F.col("o_orderkey").bitwiseAND(65535).alias("upper"))
-    return D.schedule_with_lead(targets, "upper", SEED, 5, 20000, strict=False)
+    return D.schedule_with_lead(targets, "upper", SEED, 5).drop("problem")
 
 
 @query("schedule_frames", "SELECT o_orderkey, o_orderkey + 25 AS step, o_orderkey + 10 AS input_delta FROM orders")

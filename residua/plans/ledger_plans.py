@@ -103,12 +103,12 @@ def claimable(t: Tables):
 
 @query(
     "row_status",
-    """WITH f AS (SELECT l_orderkey AS k, count(*) AS files FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
+    """WITH f AS (SELECT l_orderkey AS k, count(*) AS files FROM lineitem GROUP BY 1)
     SELECT o_orderkey AS k, coalesce(files, 0) AS files, CASE WHEN coalesce(files, 0) > 1 THEN 'duplicate' WHEN files = 1 THEN 'done' WHEN o_orderstatus = 'F' AND o_custkey % 2 = 0 THEN 'done'
     WHEN o_orderstatus = 'F' THEN 'ledger-missing' WHEN o_orderstatus = 'P' AND o_custkey % 3 = 0 THEN 'error' ELSE 'missing' END AS status FROM orders LEFT JOIN f ON o_orderkey = k""",
 )
 def row_status(t: Tables):
-    files = t.lineitem.filter("l_quantity > 40").select(F.col("l_orderkey").alias("k"))
+    files = t.lineitem.select(F.col("l_orderkey").alias("k"))
     led = t.orders.select(
         F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") == "F").alias("done"),
         F.when((F.col("o_orderstatus") == "P") & (F.col("o_custkey") % 3 == 0), "failed").alias("error"), (F.col("o_custkey") % 2 == 0).alias("file_present"),
@@ -116,14 +116,14 @@ def row_status(t: Tables):
     return L.status_by_row_precedence(files, led, led.select("k"), "k")
 
 
-TRUST_SQL = """WITH d AS (SELECT DISTINCT event_type AS device, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS pos, user_id AS lane FROM events WHERE value > 40),
+TRUST_SQL = """WITH d AS (SELECT DISTINCT event_type AS device, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS pos, user_id AS lane FROM events),
  seen AS (SELECT lane, min(pos) AS first FROM (SELECT lane, pos FROM d UNION ALL SELECT DISTINCT user_id, -1 FROM events WHERE value > 200) GROUP BY lane)"""
 
 
 def device_lanes(t: Tables):
     names = ["click", "error", "purchase", "signup", "view"]
     pos = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("event_type")) - 1
-    rows = t.events.filter("value > 40").select(F.col("event_type").alias("device"), pos.alias("pos"), F.col("user_id").alias("lane"))
+    rows = t.events.select(F.col("event_type").alias("device"), pos.alias("pos"), F.col("user_id").alias("lane"))
     return rows, t.events.filter("value > 200").select(F.col("user_id").alias("lane")).distinct()
 
 
@@ -172,13 +172,13 @@ def ownership(t: Tables):
 
 @query(
     "slot_rows",
-    """WITH r AS (SELECT user_id AS slot, arg_max(event_id, event_id) AS cur, arg_max(event_type, event_id) AS cur_status, arg_max(value, event_id) AS secs FROM events WHERE event_type IN ('view', 'signup') AND value > 120 GROUP BY 1),
+    """WITH r AS (SELECT user_id AS slot, arg_max(event_id, event_id) AS cur, arg_max(event_type, event_id) AS cur_status, arg_max(value, event_id) AS secs FROM events WHERE event_type IN ('view', 'signup') GROUP BY 1),
     d AS (SELECT user_id AS slot, max(event_id) AS last, arg_max(CASE WHEN value > 10 THEN value ELSE value * 2 END, event_id) AS last_seconds FROM events WHERE event_type = 'click' AND value < 30 GROUP BY 1)
     SELECT coalesce(r.slot, d.slot) AS slot, coalesce(cur, -1) AS current_item, coalesce(cur_status, '') AS current_status, round(coalesce(secs, -1), 4) AS current_seconds, coalesce(last, -1) AS last_item, round(coalesce(last_seconds, -1), 4) AS last_seconds FROM r FULL JOIN d ON r.slot = d.slot""",
 )
 def slot_rows(t: Tables):
     ev = t.events.withColumnRenamed("user_id", "slot")
-    run = W.latest_per_key(ev.filter("event_type IN ('view', 'signup') AND value > 120").withColumn("_k", F.col("event_id")), ["slot"], "_k", "event_id", ["event_type", "value"])
+    run = W.latest_per_key(ev.filter("event_type IN ('view', 'signup')").withColumn("_k", F.col("event_id")), ["slot"], "_k", "event_id", ["event_type", "value"])
     none = F.lit(None).cast("double")
     run = run.select("slot", F.col("event_id").alias("item"), F.col("event_type").alias("status"), none.alias("active_elapsed"), F.lit(0.0).alias("elapsed"), F.col("value").alias("outer_elapsed"), none.alias("bundle_elapsed"))
     done = ev.filter("event_type = 'click' AND value < 30").select(
@@ -296,14 +296,14 @@ def match_nonmatch(t: Tables):
 @query(
     "reconcile_remote",
     f"""WITH {LEDGER_SQL}, l AS (SELECT lane, status, device, lease_until FROM latest WHERE side = 0),
-    r AS (SELECT user_id AS lane, 'd' || (user_id % 7) AS device, CASE WHEN count(*) FILTER (event_type = 'click' AND value > 60) > 0 THEN 1 ELSE 0 END AS is_done FROM events WHERE value > 50 GROUP BY 1),
+    r AS (SELECT user_id AS lane, 'd' || (user_id % 7) AS device, CASE WHEN count(*) FILTER (event_type = 'click' AND value > 60) > 0 THEN 1 ELSE 0 END AS is_done FROM events GROUP BY 1),
     j AS (SELECT coalesce(l.lane, r.lane) AS lane, coalesce(status, '') AS st, l.device AS ld, r.device AS rd, is_done, coalesce(lease_until, 0) AS lease,
       coalesce(status IN ('done', 'verified'), false) AS final, coalesce(status = 'claimed' AND l.device <> r.device AND lease_until > {NOW}, false) AS foreign_live FROM l FULL JOIN r ON l.lane = r.lane)
     SELECT lane, CASE WHEN is_done IS NULL OR final OR foreign_live THEN st WHEN is_done = 1 THEN 'done' ELSE 'running' END AS status, coalesce(CASE WHEN is_done IS NULL OR final OR foreign_live THEN ld ELSE rd END, '') AS device,
     round(CASE WHEN is_done = 0 AND NOT final AND NOT foreign_live THEN greatest(lease, {NOW} + 21600) ELSE lease END, 3) AS lease_until, CAST(is_done IS NOT NULL AND NOT final AND foreign_live AS INTEGER) AS conflicts FROM j""",
 )
 def reconcile_remote(t: Tables):
-    rep = t.events.filter("value > 50").select(
+    rep = t.events.select(
         F.col("user_id").alias("lane"), F.concat(F.lit("d"), (F.col("user_id") % 7).cast("string")).alias("device"), F.lit(0).cast("bigint").alias("pos"),
         F.when((F.col("event_type") == "click") & (F.col("value") > 60), "done").otherwise("active").alias("kind"),
     )
@@ -313,9 +313,9 @@ def reconcile_remote(t: Tables):
 
 @query(
     "release_inactive",
-    f"""WITH {LEDGER_SQL}, l AS (SELECT lane, status, device FROM latest WHERE side = 0), r AS (SELECT DISTINCT user_id AS lane, 'd' || (user_id % 3) AS device FROM events WHERE value > 50)
+    f"""WITH {LEDGER_SQL}, l AS (SELECT lane, status, device FROM latest WHERE side = 0), r AS (SELECT DISTINCT user_id AS lane, 'd' || (user_id % 3) AS device FROM events)
     SELECT lane, CASE WHEN status = 'claimed' AND device IN (SELECT device FROM r) AND (lane, device) NOT IN (SELECT lane, device FROM r) THEN 'released' ELSE status END AS status FROM l""",
 )
 def release_inactive(t: Tables):
-    rep = t.events.filter("value > 50").select(F.col("user_id").alias("lane"), F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("device"))
+    rep = t.events.select(F.col("user_id").alias("lane"), F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("device"))
     return L.release_inactive(latest_side(t, 0).select("lane", "status", "device"), rep, "lane").select("lane", "status")

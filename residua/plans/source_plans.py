@@ -14,13 +14,13 @@ from ..sources import sinks as K
 from ..sources import tables as B
 from .base import CELLS_SQL, STATUS_SQL, Tables, cents, event_status, query, r4
 
-PATTERN = r"(?i)^0x([0-9A-F]{4})\.rec\.zip$"
+PATTERN = r"(?i)^0x([0-9A-F]{4,})\.rec\.zip$"
 
-LISTING_SQL = """f AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN printf('0x%04X.rec.zip.tmp', doc_id) WHEN doc_id % 17 = 0 THEN 'bad' || doc_id || '.rec.zip' WHEN doc_id % 19 = 0 THEN 'notes' || doc_id || '.txt'
+LISTING_SQL = """m AS (SELECT max(doc_id) AS last, max(doc_id) - 1 AS total FROM documents), f AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN printf('0x%04X.rec.zip.tmp', doc_id) WHEN doc_id % 17 = 0 THEN 'bad' || doc_id || '.rec.zip' WHEN doc_id % 19 = 0 THEN 'notes' || doc_id || '.txt'
  WHEN doc_id % 23 = 0 THEN printf('0X%04X.REC.ZIP', doc_id - 1) ELSE printf('0x%04X.rec.zip', doc_id) END AS name, CASE WHEN doc_id % 29 = 0 THEN 0 ELSE n_chars END AS size,
  CASE WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 OR doc_id % 19 = 0 THEN NULL WHEN doc_id % 23 = 0 THEN doc_id - 1 ELSE doc_id END AS key FROM documents),
- c AS (SELECT *, CASE WHEN key >= 900 THEN 'out-of-scope' WHEN key IS NOT NULL AND size <= 0 THEN 'zero' WHEN key IS NOT NULL AND size < 200 THEN 'tiny' WHEN key IS NOT NULL THEN 'valid'
-  WHEN name LIKE '%.tmp' THEN 'tmp' WHEN name LIKE 'bad%' THEN 'bad-name' END AS c0 FROM f),
+ c AS (SELECT *, CASE WHEN key < 2 OR key > last THEN 'out-of-scope' WHEN key IS NOT NULL AND size <= 0 THEN 'zero' WHEN key IS NOT NULL AND size < 200 THEN 'tiny' WHEN key IS NOT NULL THEN 'valid'
+  WHEN name LIKE '%.tmp' THEN 'tmp' WHEN name LIKE 'bad%' THEN 'bad-name' END AS c0 FROM f, m),
  k AS (SELECT *, CASE WHEN c0 = 'valid' AND row_number() OVER (PARTITION BY key, c0 ORDER BY name COLLATE C) > 1 THEN 'duplicate' ELSE c0 END AS class FROM c WHERE c0 IS NOT NULL)"""
 
 
@@ -35,8 +35,13 @@ def listing(t: Tables):
     return t.documents.select("doc_id", name.alias("name"), F.when(k % 29 == 0, 0).otherwise(F.col("n_chars")).alias("size"), F.lit(0.0).alias("mtime"))
 
 
+def scope(t: Tables) -> tuple[int, int]:
+    """Keys from 2 to the greatest document id."""
+    return 2, t.documents.agg(F.max("doc_id")).first()[0] + 1
+
+
 def classified(t: Tables):
-    return A.classify_artifacts(listing(t), PATTERN, ".rec.zip", 200, 0, 900)
+    return A.classify_artifacts(listing(t), PATTERN, ".rec.zip", 200, *scope(t))
 
 
 @query("classify_artifacts", f"WITH {LISTING_SQL.replace(' COLLATE C', '')} SELECT doc_id, name, class FROM k")
@@ -47,17 +52,17 @@ def classify_artifacts(t: Tables):
 @query(
     "artifact_summary",
     f"""WITH {LISTING_SQL.replace(' COLLATE C', '')} SELECT count(*) FILTER (class = 'valid') AS valid, count(*) FILTER (class = 'duplicate') AS duplicate, count(*) FILTER (class = 'zero') AS zero, count(*) FILTER (class = 'tiny') AS tiny,
-    count(*) FILTER (class = 'tmp') AS tmp, count(*) FILTER (class = 'bad-name') AS bad_name, count(*) FILTER (class = 'out-of-scope') AS out_of_scope, 900 - count(*) FILTER (class = 'valid') AS missing,
-    round(count(*) FILTER (class = 'valid') / 9.0, 4) AS percent FROM k""",
+    count(*) FILTER (class = 'tmp') AS tmp, count(*) FILTER (class = 'bad-name') AS bad_name, count(*) FILTER (class = 'out-of-scope') AS out_of_scope, any_value(total) - count(*) FILTER (class = 'valid') AS missing,
+    round(count(*) FILTER (class = 'valid') * 100.0 / any_value(total), 4) AS percent FROM k""",
 )
 def artifact_summary(t: Tables):
-    out = A.artifact_summary(classified(t), 0, 900)
+    out = A.artifact_summary(classified(t), *scope(t))
     return out.select("valid", "duplicate", "zero", "tiny", "tmp", "bad_name", "out_of_scope", "missing", r4("percent", "percent"))
 
 
-@query("missing_artifacts", f"WITH {LISTING_SQL.replace(' COLLATE C', '')} SELECT i AS key FROM range(900) r(i) WHERE i NOT IN (SELECT key FROM k WHERE class = 'valid')")
+@query("missing_artifacts", f"WITH {LISTING_SQL.replace(' COLLATE C', '')} SELECT i AS key FROM (SELECT unnest(range(2, last + 1)) AS i FROM m) WHERE i NOT IN (SELECT key FROM k WHERE class = 'valid')")
 def missing_artifacts(t: Tables):
-    return A.missing_artifacts(classified(t), 0, 900)
+    return A.missing_artifacts(classified(t), *scope(t))
 
 
 @query("collect_media", "SELECT DISTINCT url AS path FROM pages WHERE lower(url) SIMILAR TO '.*\\.(html|php)'")

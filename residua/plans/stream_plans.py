@@ -130,12 +130,12 @@ def stream_health(t: Tables):
 
 @query(
     "stream_reconcile",
-    f"""WITH {LEDGER_SQL}, l AS (SELECT lane, status FROM latest WHERE side = 0), r AS (SELECT user_id AS lane, max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS is_done FROM events WHERE value > 50 GROUP BY 1)
+    f"""WITH {LEDGER_SQL}, l AS (SELECT lane, status FROM latest WHERE side = 0), r AS (SELECT user_id AS lane, max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS is_done FROM events GROUP BY 1)
     SELECT coalesce(l.lane, r.lane) AS lane, CASE WHEN is_done IS NULL OR coalesce(status, '') IN ('done', 'verified') THEN status WHEN is_done = 1 THEN 'done' ELSE 'running' END AS status FROM l FULL JOIN r ON l.lane = r.lane""",
 )
 def stream_reconcile(t: Tables):
     """Remote reports folded into the ledger, long after every lease has ended."""
-    rep = event_stream(t).filter("value > 50").select(
+    rep = event_stream(t).select(
         F.col("user_id").alias("lane"), F.lit("remote").alias("device"), F.lit(0).cast("bigint").alias("pos"), F.when(F.col("event_type") == "click", "done").otherwise("active").alias("kind")
     )
     return M.reconcile_stream(rep, latest_side(t, 0), F.lit(NOW + 1e8), 21600.0).select("lane", "status")

@@ -159,6 +159,25 @@ def test_schedule_with_lead(spark):
         schedule.schedule_with_lead(targets.union(spark.createDataFrame([(70000,)], "u bigint")), "u", 99, 10, 399)
 
 
+def test_schedule_finds_every_output(spark, monkeypatch):
+    """All 65,536 outputs over several ranges; what no output can be is a row with a reason."""
+    from residua.plans import generator_plans as P
+
+    monkeypatch.setattr(schedule, "FIRST_STEPS", 1 << 12)
+    s, first = P.SEED, {}
+    for n in range(1, P.ALL_SHOWN):
+        s = step(s)
+        if n >= 5:
+            first.setdefault(s >> 16, n)
+    assert len(first) == 1 << 16
+    targets = spark.range(-1, (1 << 16) + 1).select(F.col("id").alias("u")).union(spark.createDataFrame([(7,), (None,)], "u bigint"))
+    got = schedule.schedule_with_lead(targets, "u", P.SEED, 5, strict=False).collect()
+    assert {r.u: r.step for r in got if r.problem is None} == first
+    assert sorted((r.u, r.step, r.problem) for r in got if r.problem) == [(-1, None, "out-of-range"), (1 << 16, None, "out-of-range")]
+    assert schedule.schedule_with_lead(targets.filter("u = 3"), "u", P.SEED, 5, 6, strict=False).first().problem == "not-reached"
+    assert schedule.schedule_with_lead(targets.limit(0), "u", P.SEED, 5).count() == 0
+
+
 def test_acceptable_ids(spark):
     ids = col(spark, K.acceptable_ids(F.lit(0x1234), F.lit(77)))
     assert len(set(ids)) == 8 and all((0x1234 ^ i) >> 3 == 77 for i in ids)
