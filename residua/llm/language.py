@@ -27,6 +27,13 @@ from .common import checkpointed, small, worker_slot
 from .shingles import M1, M2, mix
 
 WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters and marks of a lowered text; number signs alone are no word."""
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 FITTED_CHARS = 150_000
 RUN = 5_000
 SLOTS = 1 << 16
@@ -70,7 +77,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Field:
-    """The fitted chain. ``weights`` has a row per feature slot and language, ``lexicon`` maps a word to languages."""
+    """The fitted chain. ``weights`` has a row per feature slot and language, ``lexicon`` maps a word to the number, from 1, of the language that has most of it."""
 
     def __init__(self, languages: list[str], weights: np.ndarray, lexicon: dict[str, int], in_lexicon: np.ndarray, transitions: np.ndarray, start: np.ndarray):
         self.languages, self.weights, self.lexicon, self.in_lexicon = languages, weights, lexicon, in_lexicon
@@ -79,9 +86,8 @@ class Field:
     def emissions(self, words: list[str]) -> np.ndarray:
         flat, sizes = features(words)
         scores = np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / sizes[:, None]
-        known = np.array([self.lexicon.get(w, 0) for w in words])
-        for k in range(len(self.languages)):
-            scores += ((known >> k) & 1)[:, None] * self.in_lexicon[k]
+        known = np.array([self.lexicon.get(w, 0) for w in words], np.int64)
+        scores += np.concatenate([np.zeros_like(self.in_lexicon[:1]), self.in_lexicon])[known]
         return scores.astype(np.float32)
 
 
@@ -124,7 +130,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 40, seed: int = 5) ->
     rng = np.random.default_rng(seed)
     runs = []
     for text, label in zip(texts, labels, strict=True):
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         at = 0
         while at < len(words):
             n = int(rng.integers(5, 40))
@@ -142,7 +148,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 40, seed: int = 5) ->
     for k, counter in enumerate(by_language):
         for w, n in sorted(counter.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             if 2 * n > vocabulary[w]:
-                lexicon[w] = lexicon.get(w, 0) | 1 << k
+                lexicon[w] = k + 1
 
     order = rng.permutation(len(runs))
     sequences: list[tuple[list[int], list[int]]] = []
@@ -172,7 +178,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 40, seed: int = 5) ->
     flat, sizes = features(names)
     owner = np.repeat(np.arange(len(names)), sizes)
     known = np.array([lexicon.get(w, 0) for w in names])
-    flags = ((known[:, None] >> np.arange(k)) & 1).astype(float)
+    flags = (known[:, None] == np.arange(1, k + 1)).astype(float)
     model = Field(languages, np.zeros((SLOTS, k)), lexicon, np.zeros((k, k)), np.zeros((k, k)), np.zeros(k))
     parts = [model.weights, model.in_lexicon, model.transitions, model.start]
     momenta, speeds, total = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], len(seen_words)
@@ -232,7 +238,7 @@ class Tagger:
         out: list = [None] * len(texts)
         scores: list[np.ndarray] = []
         for at in range(0, len(texts), 250):
-            words = [WORD.findall(text.lower()) for text in texts[at : at + 250]]
+            words = [words_of(text) for text in texts[at : at + 250]]
             flat = self.scores(list(chain.from_iterable(words)))
             scores += np.split(flat, np.cumsum([len(w) for w in words])[:-1])
         lengths = np.array([len(s) for s in scores])
@@ -356,7 +362,7 @@ def labelled_words(docs: DataFrame, field: Field | None, doc_id: str = "doc_id",
         tagger = tagger_of(sent)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            words = [WORD.findall(t.lower()) for t in texts]
+            words = [words_of(t) for t in texts]
             labels = [[tagger.field.languages[j] for j in p.argmax(axis=1)] for p in tagger.posteriors(texts)] if tagger else [[UNKNOWN] * len(w) for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(labels, pa.list_(pa.string()))], ["doc_id", "words", "labels"])
 
