@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_table
-from .repeats import chunks, merged_spans, spans_batch, with_spans
+from .repeats import by_row, chunks, merged_spans, spans_batch, with_spans
 from .shingles import BASE, INVERSE, M1, M2, mix, powers, word_hashes
 
 WINDOW = 20
@@ -281,19 +281,16 @@ def _settle(size: int) -> Callable:
     return run
 
 
-def repeated_words(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def repeated_words(rows: DataFrame, size: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """Spans of words (``doc``, ``start``, ``end``) covered by windows of ``size`` words that also start earlier:
-    in a smaller id, or earlier in the same document. Spans may overlap.
+    in a row of smaller ``key``, or earlier in the same one. Spans may overlap.
 
-    Documents are known by their id: rows that share one are taken as the same document, null ids together as
-    one after all others. A null text has no words.
+    ``rows`` has ``text`` and ``key``, see :func:`by_row`. A null text has no words.
     """
     if not 2 <= size < ALONE:
         raise ValueError("size must be from 2 to 254")
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    filed = rows.mapInArrow(_file(size, buckets), SCHEMA)
+    buckets = buckets or 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = rows.select("key", "text").mapInArrow(_file(size, buckets), SCHEMA)
     settled = filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(size), SCHEMA)
     settled = shared_table(settled.select("kind", "doc", "start", "other"), "repeated-words")
     spans = settled.filter("kind = 1").select("doc", "start", F.col("other").alias("end"))
@@ -317,7 +314,8 @@ def _cut(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int, str
 def without_repeated_words(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the words left, joined by one blank) of every row.
 
-    See :func:`repeated_words`; windows are judged on the input. Other columns are ignored, an empty table gives none.
+    See :func:`repeated_words`; windows are judged on the input. Every row is a document of its own: rows that share an id follow each
+    other in an order that depends on their texts, rows without one come last. Other columns are ignored, an empty table gives none.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return with_spans(rows, repeated_words(docs, size, doc_id, text, buckets), _cut, "doc_id long, n_words long, n_removed long, kept string")
+    rows = by_row(docs, doc_id, text)
+    return with_spans(rows, repeated_words(rows, size, buckets), _cut, "doc_id long, n_words long, n_removed long, kept string")

@@ -9,8 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_table
+from .places import placed
+
 CHUNK = 4 << 20
-NO_ID = np.iinfo(np.int64).max  # rows without an id come after all others
+
+
+def by_row(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id``, ``text`` and ``key``, a number of each row's own in ascending order of the ids, null last.
+
+    Where ids tell the rows apart they are the keys. Else rows are numbered by ranges of (id, hash of the text) and written.
+    """
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    same = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    n, most, unnamed = same.agg(F.sum("n"), F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
+    if not n or (most == 1 and not unnamed):
+        return rows.withColumn("key", F.col("doc_id"))
+    kept = shared_table(rows.withColumn("row", F.monotonically_increasing_id()), "repeats-rows")
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text").asc(), F.col("row").asc()]
+    return shared_table(placed(kept, order, "repeats-order", n).select("doc_id", "text", F.col("_place").alias("key")), "repeats-keyed")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -24,7 +41,7 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tup
             if ids and held + len(text) > size:
                 yield np.array(ids, np.int64), texts
                 ids, texts, held = [], [], 0
-            ids.append(NO_ID if key is None else key)
+            ids.append(key)
             texts.append(text)
             held += len(text)
     if ids:
@@ -52,9 +69,9 @@ def spans_batch(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Recor
 
 
 def with_spans(rows: DataFrame, spans: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """``finish(id, text, spans)`` for each row of ``rows`` (``doc_id``, ``text``), its spans merged and in order."""
+    """``finish(id, text, spans)`` for each row of ``rows`` (``doc_id``, ``text``, ``key``), its spans merged and in order."""
     packed = spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))  # at most a document's own
-    joined = rows.join(packed, F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("doc"), "left").select("doc_id", "text", "starts", "ends")
+    joined = rows.join(packed, F.col("key") == F.col("doc"), "left").select("doc_id", "text", "starts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)

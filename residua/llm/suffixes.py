@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_table
 from .recompress import _ramp
-from .repeats import NO_ID, chunks, merged_spans, with_spans
+from .repeats import by_row, chunks, merged_spans, with_spans
 from .shingles import M1, mix, prefix_hashes, range_hashes
 
 WINDOW = 200
@@ -346,25 +346,23 @@ def _compare(size: int) -> Callable:
     return run
 
 
-def repeated_bytes(docs: DataFrame, size: int = WINDOW, lead: int = LEAD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_bytes(rows: DataFrame, size: int = WINDOW, lead: int = LEAD) -> DataFrame:
     """Spans of bytes (``doc``, ``start``, ``end``) covered by strings of ``size`` bytes that also start anywhere else,
-    in another document or the same one. Spans may overlap.
+    in another row or the same one. Spans may overlap.
 
-    Documents are known by their id; rows that share one repeat each other and share their spans, null ids likewise. A
-    null text has no bytes.
+    ``rows`` has ``text`` and ``key``, see :func:`by_row`. A null text has no bytes.
     """
     if not 8 <= lead < size < 1024:
         raise ValueError("lead must be from 8 on, size above lead and below 1024")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filed = rows.mapInArrow(_file(size, lead), SCHEMA)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = rows.select("key", "text").mapInArrow(_file(size, lead), SCHEMA)
     sorted_ = filed.repartitionByRange(parts, "lead", "h").sortWithinPartitions("lead", "h", "whole", "kind")
     settled = shared_table(sorted_.mapInArrow(_settle(size), SCHEMA), "suffixes")
     as_span = ("doc", F.col("place").alias("start"), F.col("n").alias("end"))
     spans = settled.filter(F.col("kind") == SPAN).select(*as_span)
     # an entry stands in one document, so the list is at most as long as the document
     entries = settled.filter(F.col("kind").isin(OPEN, OPEN_HOT)).groupBy("doc").agg(F.collect_list(F.struct("kind", "lead", "h", "place", "n")).alias("entries"))
-    open_ = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(entries, F.col("doc_id") == F.col("doc")).select("doc", "text", "entries")
+    open_ = rows.join(entries, F.col("key") == F.col("doc")).select("doc", "text", "entries")
     fetched = shared_table(open_.mapInArrow(_fetch(size), FETCHED_SCHEMA), "suffix-bytes")
     spans = spans.unionByName(fetched.filter(F.col("kind") == SPAN).select(*as_span))
     bucketed = fetched.filter(F.col("kind") == OPEN).repartitionByRange(parts, "lead", "h").sortWithinPartitions("lead", "h")
@@ -390,7 +388,8 @@ def _cut(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int, int
 def without_repeated_bytes(docs: DataFrame, size: int = WINDOW, lead: int = LEAD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the bytes left) of every row.
 
-    See :func:`repeated_bytes`; strings are judged on the input. Other columns are ignored, an empty table gives none.
+    See :func:`repeated_bytes`; strings are judged on the input. Every row is a document of its own, whatever its id. Other columns are
+    ignored, an empty table gives none.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return with_spans(rows, repeated_bytes(docs, size, lead, doc_id, text), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = by_row(docs, doc_id, text)
+    return with_spans(rows, repeated_bytes(rows, size, lead), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

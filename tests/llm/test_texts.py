@@ -228,11 +228,26 @@ def test_passages_null_ids(spark):
     passage = " ".join(f"word{i}" for i in range(60))
     df = frame(spark, [(5, passage), (None, "head " + passage), (None, None), (5, passage)])
     got = recompress.without_repeated_words(df).collect()
-    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (0, 60), (5, 0), (5, 0)]
+    # every row is a document of its own: of the two rows of id 5 one comes first
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (0, 60), (5, 0), (5, 60)]
     got = suffixes.without_repeated_bytes(df).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (0, len(passage)), (5, len(passage)), (5, len(passage))]
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_texts_under_one_id_leave_each_other_alone(spark, shared):
+    """One text that repeats itself and one without any repeat, under one id or none."""
+    looped = " ".join(f"loop{i}" for i in range(45)) * 2
+    plain = " ".join(f"größer{i}" for i in range(90))
+    df = frame(spark, [(shared, looped), (shared, plain), (3, "short")])
+    words = sorted((r["n_words"], r["n_removed"], r["kept"] == plain) for r in recompress.without_repeated_words(df).collect())
+    truth = words_truth([(1, looped)], 20)[1]
+    assert words == sorted([(truth[0], truth[1], False), (90, 0, True), (1, 0, False)])
+    got = {r["n_bytes"]: (r["n_removed"], bytes(r["kept"])) for r in suffixes.without_repeated_bytes(df).collect()}
+    assert got[len(plain.encode())] == (0, plain.encode())
+    assert got[len(looped.encode())][0] == bytes_truth([(1, looped)], 200)[1][1]
+
+
 def test_recompression_is_consistent():
     """Windows with equal words are filed under equal keys at equal distance, whatever surrounds them."""
     rng = random.Random(7)
