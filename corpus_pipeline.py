@@ -13,29 +13,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from residua.llm import exact, language, mixture, near, pieces
-from residua.llm.common import checkpointed, shared_table, table
+from residua.llm.common import checkpointed, shared_table, small, table
 
 PIECES = "piece_bpe_32k.model"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number of each row's own that is the same whenever the row is read.
+    """``row``, all columns of ``docs`` in one, and ``number``, a number of each row's own that is the same whenever the row is read.
 
-    It is the number of the file and the place in it; of rows that no file holds, the place in a checkpoint.
+    The number is that of the file and the place in it; of rows that no file holds, the place in a checkpoint.
     """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     try:
-        placed = docs.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+        placed = docs.select(row, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     except AnalysisException:
-        return checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
-    files = placed.select(F.col("_file").alias("_of")).distinct()
-    numbers = checkpointed(files.withColumn("_no", F.row_number().over(Window.orderBy("_of")).cast("long")))
-    rows = placed.join(F.broadcast(numbers), F.col("_file") == F.col("_of"))
-    return rows.withColumn("_row", F.shiftleft("_no", 40) + F.col("_at")).drop("_file", "_at", "_of", "_no")
+        return checkpointed(docs.select(row, F.monotonically_increasing_id().alias("number")))
+    files = placed.select(F.col("file").alias("of")).distinct()
+    numbers = checkpointed(files.withColumn("no", F.row_number().over(Window.orderBy("of")).cast("long")))
+    rows = placed.join(small(numbers, numbers.count()), F.col("file") == F.col("of"))
+    return rows.select("row", (F.shiftleft("no", 40) + F.col("at")).alias("number"))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select("number", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
 
 
 def _only(rows: DataFrame, kept: Column, decisions: DataFrame) -> DataFrame:
-    """The numbered rows that ``kept`` of ``decisions`` names, without their numbers."""
-    return rows.join(decisions.select(kept.alias("_kept")), F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    """The rows of ``rows`` whose number ``kept`` of ``decisions`` names, as they came."""
+    return rows.join(decisions.select(kept.alias("kept")), F.col("number") == F.col("kept"), "left_semi").select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,16 +51,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows whose texts are equal without white space, one stays: the longest, then the smallest id, null last."""
     rows = _numbered(docs)
-    return _only(rows, F.col("row"), exact.exact_duplicates(rows, row="_row").filter("kept"))
+    return _only(rows, F.col("row"), exact.exact_duplicates(_texts(rows), row="number").filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked at a similarity of 0.8 over shingles of five words, one stays: the smallest id, null last."""
     rows = _numbered(docs)
-    linked = near.near_duplicates(rows, percent=80, words=5, doc_id="_row").select(F.col("doc_id").alias("row"), "component_id")
-    ids = rows.select("_row", "doc_id")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    return _only(rows, F.col("best.row"), linked.join(ids, F.col("row") == F.col("_row")).groupBy("component_id").agg(best.alias("best")))
+    linked = near.near_duplicates(_texts(rows), percent=80, words=5, doc_id="number").select(F.col("doc_id").alias("member"), "component_id")
+    ids = _texts(rows).select("number", "doc_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "member"))
+    return _only(rows, F.col("best.member"), linked.join(ids, F.col("member") == F.col("number")).groupBy("component_id").agg(best.alias("best")))
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,10 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, scalar, small
+from .common import WORD, checkpointed, small
 
 BITS = 10
 BLOCKS = 1 << BITS
+#: A task of the written mix takes about so many words.
+SHARD_WORDS = 16_000_000
 
 
 def words(text: str = "text") -> Column:
@@ -80,12 +82,19 @@ def draw(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     ``docs`` has ``doc_id``, ``source`` and ``size``. Adds ``source_size``, ``target``, ``copies``
     (0, 1, ... up to ``cap`` rounded up) and ``shards``, an array with one shard for each copy. ``shards`` must
     be a power of two. Rows of one id are taken alike. A null source is a source of its own, a null
-    size is 0. The result depends on ids, sources, sizes and the seed only.
+    size is 0. The result depends on ids, sources, sizes and the seed only. Other columns stay, but those named like added ones.
     """
+    return _drawn(docs, weights, budget, cap, shards, seed)[0]
+
+
+def _drawn(docs: DataFrame, weights: Sequence[float], budget: float, cap: float, shards: int, seed: int) -> tuple[DataFrame, float]:
+    """The draw, and the words of all targets."""
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
     h = _digest(seed)
-    rows = docs.withColumns({"size": F.coalesce("size", F.lit(0)), "h": h, "b": h.bitwiseAND(F.lit(BLOCKS - 1))})
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "shards")]
+    packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
+    rows = docs.select("doc_id", "source", "size", packed.alias("_others")).withColumns({"size": F.coalesce("size", F.lit(0)), "h": h, "b": h.bitwiseAND(F.lit(BLOCKS - 1))})
     rows = rows.withColumn("rank", _rank(seed))
     inner = F.shiftright("h", BITS).bitwiseAND(F.lit(BLOCKS - 1))
 
@@ -93,7 +102,7 @@ def draw(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     sources = targets(blocks.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     sources = checkpointed(sources.withColumn("passes", passes).withColumn("need", F.col("target") - F.col("passes") * F.col("source_size")))
-    n = scalar(sources.agg(F.count("*")))
+    n, total = sources.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
 
     def with_edge(left: DataFrame, edge: DataFrame, *on: str) -> DataFrame:
         other = small(edge.withColumnRenamed("source", "of"), n)
@@ -138,18 +147,29 @@ def draw(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     draw_no = lambda k: (k * BLOCKS + F.col("rank")).cast("long")
     shard = lambda k: F.element_at(F.filter("leaves", lambda x: x["end"] > draw_no(k)), 1)["node"]
     found = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), shard)).otherwise(F.array().cast("array<int>"))
-    kept = [c for c in docs.columns if c not in ("size",)]
-    return chosen.select(*kept, "size", "source_size", "target", copies.alias("copies"), found.alias("shards"))
+    kept = [F.col(f"_others.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns if c in others or c in ("doc_id", "source")]
+    # decided before the other columns come back: their names must not be met while the decision is resolved
+    decided = chosen.select("doc_id", "source", "_others", "size", "source_size", "target", copies.alias("copies"), found.alias("shards"))
+    return decided.select(*kept, "size", "source_size", "target", "copies", "shards"), total
 
 
-def mixed(docs: DataFrame, plan_columns: Sequence[str] = (), seed: int = 17, shards: int = 16, **how) -> DataFrame:
+def mixed(
+    docs: DataFrame, plan_columns: Sequence[str] = (), seed: int = 17, shards: int = 16, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0, shard_words: int = SHARD_WORDS
+) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, one row per copy taken, dealt to shards and shuffled inside them.
 
-    Columns of ``docs`` may have any names but ``doc_id``, ``source`` and ``text`` have their usual meaning.
+    Every shard is written in as many parts as its share of the targets asks for, by ranges of the shuffled order, so a task has
+    about ``shard_words`` words however large the mix is. Columns of ``docs`` may have any names but ``doc_id``, ``source`` and ``text``
+    have their usual meaning.
     """
     names = docs.columns
     packed = docs.select("doc_id", "source", words().alias("size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    taken = draw(packed, shards=shards, seed=seed, **how).select("row", F.posexplode("shards").alias("copy", "shard"))
-    chance = F.xxhash64(F.lit(seed), F.lit("shuffle"), "row.doc_id", "copy")
-    dealt = taken.withColumn("chance", chance).repartition(shards, "shard").sortWithinPartitions("shard", "chance")
+    plan, total = _drawn(packed, weights, budget, cap, shards, seed)
+    per_shard = max(1, -(-int(total) // (shards * shard_words)))
+    taken = plan.select("row", F.posexplode("shards").alias("copy", "shard"))
+    # the text is part of the hash, so that rows of one id are spread
+    chance = F.xxhash64(F.lit(seed), F.lit("shuffle"), "row.doc_id", "row.text", "copy")
+    part = F.floor(F.pmod(chance, F.lit(1 << 32)) * per_shard / (1 << 32)).cast("int")
+    dealt = taken.withColumn("chance", F.pmod(chance, F.lit(1 << 32))).repartitionById(shards * per_shard, F.col("shard") * per_shard + part)
+    dealt = dealt.sortWithinPartitions("shard", "chance")
     return dealt.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *plan_columns)

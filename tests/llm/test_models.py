@@ -79,6 +79,20 @@ def test_language_held_out_accuracy(spark):
     assert got["score"].between(0, 1).all()
 
 
+def test_number_signs_are_no_letters(spark):
+    docs = spark.createDataFrame([(0, "the cat and the dog", "en"), (2, "½ ² Ⅷ", "en"), (3, "12 ½", "fr"), (5, "le chat x² et", "fr"), (6, None, "fr")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predicted(docs, language.fitted(docs)).collect()}
+    assert got[2] == got[3] == got[6] == "und" and got[5] != "und"
+
+
+@pytest.mark.parametrize("n", [64, 130])
+def test_many_languages(n):
+    field = language.fit([f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x " * 30 for k in range(n)], [f"l{k:03d}" for k in range(n)], rounds=3)
+    assert len(field.languages) == n
+    assert set(field.lexicon.values()) <= set(range(1, n + 1))
+    assert field.emissions(["wabx", "unseen"]).shape == (2, n)
+
+
 def test_language_of_mixed_and_odd_texts(spark):
     docs = docs_frame(spark, MEDIUM)
     field = language.fitted(docs)
@@ -285,6 +299,21 @@ def test_mixture(spark):
     assert mixture.draw(df.limit(0)).count() == 0
 
 
+def test_mixed_is_dealt_by_size_and_keeps_clashing_columns(spark):
+    names = ["rank", "h", "b", "inner", "row", "chance", "slot", "shard", "copy", "copies"]
+    rows = [(i if i % 7 else None, f"s{i % 3}", "word " * (i % 11), *(i + k for k in range(len(names)))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"{c} int" for c in names))
+    out = mixture.mixed(df, shards=4, shard_words=100)
+    assert out.columns == df.columns
+    assert out.rdd.getNumPartitions() >= 40
+    whole = Counter(map(tuple, df.collect()))
+    got = Counter(map(tuple, out.collect()))
+    assert set(got) <= set(whole) and all(n <= 2 * whole[r] for r, n in got.items())
+    plan = mixture.draw(df.withColumn("size", mixture.words()), shards=4)
+    assert {"rank", "h", "b", "inner"} <= set(plan.columns)
+    assert {(r["rank"], r["h"]) for r in plan.collect()} == {(r["rank"], r["h"]) for r in df.collect()}
+
+
 def test_mixed_keeps_rows(spark):
     rows = [(i, f"word{i} " * (i % 7), ["a", "b"][i % 2], "rank") for i in range(200)] + [(500, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, rank string")
