@@ -31,8 +31,8 @@ def template_match(t: Tables):
 
 @query("vector_udf", MATCH_SQL + " SELECT vec_id, CAST(arg_max(label, score) AS VARCHAR) AS label FROM s GROUP BY vec_id")
 def vector_udf(t: Tables):
-    """The same search, three templates per pass, no threshold."""
-    out = M.template_match(unit_windows(t).drop("label"), first_templates(t), "vec", "label", None, per_pass=3)
+    """The same search with a library dealt into blocks, no threshold."""
+    out = M.template_match(unit_windows(t).drop("label"), first_templates(t), "vec", "label", None, per_block=3)
     return out.select("vec_id", "label")
 
 

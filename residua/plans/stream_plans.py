@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.ordered import join_on
+from ..session import shared_dir
 from ..streaming import monitor as M
 from ..streaming import sinks as K
 from ..streaming import state as S
@@ -155,3 +156,12 @@ def stream_files(t: Tables):
 def stream_tail(t: Tables):
     rows = event_stream(t).select("event_id", "user_id", "us", "event_type")
     return K.tail_errors(rows, F.col("event_type") == "error", "us", "event_id", 20).select("event_id", "user_id")
+
+
+@query("stream_log", "SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'error'")
+def stream_log(t: Tables):
+    """Error rows appended to the log and read back from it."""
+    rows = event_stream(t).filter("event_type = 'error'").select("event_id", "user_id", "us")
+    path = shared_dir(t.spark, "log")
+    K.finish(K.append_events(rows, path))
+    return K.read_log(t.spark, path, rows.schema).drop("epoch")

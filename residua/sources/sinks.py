@@ -87,8 +87,14 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 def split_write(df: DataFrame, path: str, condition: Column) -> tuple[str, str]:
     """Matching rows to one output, the others to a second, in a single pass over the input.
 
-    Returns the two folders; each is a table of its own.
+    Returns the two folders; each is a table of its own, without rows where no row falls on its side.
     """
     side = F.when(F.coalesce(condition, F.lit(False)), "match").otherwise("rest")
     df.withColumn("side", side).write.mode("overwrite").partitionBy("side").parquet(path)
-    return f"{path}/side=match", f"{path}/side=rest"
+    spark = df.sparkSession
+    folders = f"{path}/side=match", f"{path}/side=rest"
+    for folder in folders:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            spark.createDataFrame([], df.schema).write.parquet(folder)
+    return folders

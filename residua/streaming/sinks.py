@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import shared_dir
 
@@ -128,13 +129,21 @@ def fold_into(stream: DataFrame, table: VersionedTable, change: Callable[[DataFr
     return table.read()
 
 
-def append_events(stream: DataFrame, path: str) -> StreamingQuery:
-    """Append rows as JSON lines (the event log)."""
-    mark = shared_dir(stream.sparkSession, "offsets")
-    return (
-        stream.writeStream.foreachBatch(lambda batch, _id: batch.write.mode("append").json(path))
-        .option("checkpointLocation", mark).trigger(availableNow=True).start()
-    )
+def log_epoch(batch: DataFrame, epoch: int, path: str) -> None:
+    """The rows of one micro-batch as JSON lines in a folder of the epoch's own, which a repeated batch replaces."""
+    batch.write.mode("overwrite").json(posixpath.join(path, f"epoch={epoch}"))
+
+
+def append_events(stream: DataFrame, path: str, offsets: str | None = None) -> StreamingQuery:
+    """The event log: every row once, however often a batch is repeated. With ``offsets`` a later run goes on where this one ends."""
+    mark = offsets or shared_dir(stream.sparkSession, "offsets")
+    writer = stream.writeStream.foreachBatch(lambda batch, epoch: log_epoch(batch, epoch, path))
+    return writer.option("checkpointLocation", mark).trigger(availableNow=True).start()
+
+
+def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of the log, with the ``epoch`` that brought each."""
+    return spark.read.schema(StructType([*schema.fields, StructField("epoch", LongType())])).json(path)
 
 
 def tail_errors(stream: DataFrame, is_error, stamp: str, tie: str, n: int) -> DataFrame:

@@ -411,6 +411,35 @@ def test_templates_in_passes(spark):
     assert motif.template_match(windows_df, temp, "v", "label", 0.5).count() == int(((w @ t.T).max(axis=1) >= 0.5).sum())
 
 
+def test_large_template_library(spark):
+    """A library of many blocks against brute force; block pairs below the threshold are left out."""
+    rng = np.random.default_rng(4)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    w, t = unit(rng.standard_normal((400, 8))), unit(rng.standard_normal((30_000, 8)))
+    windows_df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(w)], "i int, v array<double>, label int").drop("label")
+    temp = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(t)], "label int, v array<double>")
+    got = motif.template_match(windows_df, temp, "v", "label", 0.9, windows_per_block=150).toPandas()
+    scores = w @ t.T
+    assert {r.i: int(r.label) for r in got.itertuples()} == {i: int(k) for i, k in enumerate(scores.argmax(axis=1)) if scores[i, k] >= 0.9}
+    assert motif.template_match(windows_df, temp, "v", "label", 1.1, windows_per_block=150).count() == 0
+
+
+def test_log_takes_a_repeated_batch_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "n int, status string")
+    for epoch, batch in ((0, rows), (1, rows.filter("n = 1")), (1, rows.filter("n = 1"))):  # the second batch is repeated after a failure
+        SK.log_epoch(batch, epoch, str(tmp_path / "log"))
+    assert values(SK.read_log(spark, str(tmp_path / "log"), rows.schema), "epoch", "n", "status") == [(0, 1, "a"), (0, 2, "b"), (1, 1, "a")]
+
+
+def test_split_write_with_an_empty_side(spark, tmp_path):
+    rows = spark.createDataFrame([(1,), (2,)], "n int")
+    for k, (limit, sizes) in enumerate(((0, (2, 0)), (5, (0, 2)), (1, (1, 1)))):
+        folders = sinks.split_write(rows, str(tmp_path / f"s{k}"), F.col("n") > limit)
+        assert tuple(spark.read.parquet(f).count() for f in folders) == sizes
+    folders = sinks.split_write(rows.limit(0), str(tmp_path / "none"), F.col("n") > 0)
+    assert [spark.read.parquet(f).count() for f in folders] == [0, 0]
+
+
 @pytest.mark.parametrize("text,want", [("90", 90.0), ("1:30", 90.0), ("1:00:01.5", 3601.5), ("1:60", None), ("", None), ("x", None), ("-5", None), ("inf", None)])
 def test_timestamps(spark, text, want):
     assert col(spark, X.parse_timestamp_text(F.lit(text))) == want
