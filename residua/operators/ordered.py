@@ -1,10 +1,11 @@
 """Ordered scans that stay distributed when one key, or no key at all, holds the data.
 
 A window over ``(keys, order)`` puts a whole key into one task. Here a frame whose groups
-are all small uses exactly that plain window. A group above ``rows_per_block`` is cut into
-blocks along the order column (piecewise-linear approximate quantiles, so equal order
-values always share a block); the window runs per ``(keys, block)``, one summary row per
-block is carried forward, and the carry is joined back. The result is the same rows.
+are all small uses exactly that plain window. The groups above ``rows_per_block`` are range
+partitioned on all of ``(keys, order)`` and written to the checkpoint dir, with the number of
+the partition as the row's block: equal order values are told apart by the columns that break
+ties, and every group has edges of its own. The window runs per ``(keys, block)``, one summary
+row per block is carried forward, and the carry is joined back. The result is the same rows.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import checkpointed
 
 BLOCK = "_blk"
 ROWS_PER_BLOCK = 250_000
 MAX_BLOCKS = 32_768
-LEAVES = 32
 CONF_ROWS = "spark.residua.rowsPerBlock"
 
 
@@ -30,38 +31,6 @@ def rows_per_block(df: DataFrame, override: int | None = None) -> int:
     return int(df.sparkSession.conf.get(CONF_ROWS, str(ROWS_PER_BLOCK)))
 
 
-def numeric_order(df: DataFrame, name: str) -> Column:
-    """The order column as DOUBLE; monotone, which is all block edges need."""
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return col.cast("double")
-    raise TypeError(f"order column {name!r} must be numeric, date or timestamp to be cut into blocks")
-
-
-def _linear_tree(x: Column, edges: list[float], per_leaf: int) -> Column:
-    """Monotone map of ``x`` to a block number: binary search over leaves, linear inside one."""
-
-    def leaf(i: int) -> Column:
-        lo, hi = edges[i], edges[i + 1]
-        if per_leaf == 1 or hi <= lo:
-            return F.lit(i * per_leaf)
-        inner = F.floor((x - lo) * (per_leaf / (hi - lo))).cast("int")
-        return F.lit(i * per_leaf) + F.greatest(F.lit(0), F.least(inner, F.lit(per_leaf - 1)))
-
-    def build(a: int, b: int) -> Column:
-        if a == b:
-            return leaf(a)
-        mid = (a + b + 1) // 2
-        return F.when(x < edges[mid], build(a, mid - 1)).otherwise(build(mid, b))
-
-    return build(0, len(edges) - 2)
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe equi join on ``keys``, keeping the left copy of the keys."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
@@ -88,40 +57,29 @@ class OrderedFrame:
     ) -> "OrderedFrame":
         """Decide from counts whether any group is too large for one window task.
 
-        ``order`` must be total (end it with a unique tie column) and start with a numeric,
-        date or timestamp column. ``bound`` is a cheaper frame with the same key columns and
-        at least as many rows per key; where it is given, the counting runs on it instead.
+        ``order`` must be total (end it with a unique tie column). ``bound`` is a cheaper frame with the same key columns
+        and at least as many rows per key; where it is given, the counting runs on it instead.
         """
         size = rows_per_block(df, rows)
         keys, order = tuple(keys), tuple(order)
-        x = numeric_order(df, order[0])
         counted = df if bound is None else bound
-        total = counted.count()
-        hot = None
-        if total > size and keys:
-            hot = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_rows")).filter(F.col("_group_rows") > size)
-            if hot.isEmpty():
+        if not keys:
+            total = counted.count()
+            if total <= size:
+                return cls(df, keys, order, False, size)
+            hot = df
+        else:
+            sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_rows"))
+            large = checkpointed(sizes.filter(F.col("_group_rows") > size))
+            total = large.agg(F.sum("_group_rows")).first()[0]
+            if not total:
                 return cls(df, keys, order, False, size)
-        if total <= size:
-            return cls(df, keys, order, False, size)
-        base = df if hot is None else join_on(df, hot, keys, "left")
-        probe = base if hot is None else base.filter(F.col("_group_rows").isNotNull())
-        probs = [i / LEAVES for i in range(1, LEAVES)]
-        stats = probe.agg(
-            F.min(x).alias("lo"),
-            F.max(x).alias("hi"),
-            F.percentile_approx(x, probs, 2000).alias("q"),
-        ).first()
-        if stats["lo"] is None:
-            return cls(df, keys, order, False, size)
-        inner = sorted({float(v) for v in stats["q"]} - {float(stats["lo"]), float(stats["hi"])})
-        edges = [float(stats["lo"]), *inner, float(stats["hi"])]
-        want = min(MAX_BLOCKS, math.ceil(total / size))
-        block = _linear_tree(x, edges, max(1, math.ceil(want / (len(edges) - 1))))
-        block = F.when(x.isNull(), F.lit(-1)).otherwise(block)
-        if hot is not None:
-            block = F.when(F.col("_group_rows").isNotNull(), block).otherwise(F.lit(0))
-        return cls(base.withColumn(BLOCK, block).drop("_group_rows"), keys, order, True, size)
+            hot = join_on(df, large.select(*keys), keys, "left_semi")
+        blocks = min(MAX_BLOCKS, math.ceil(total / size))
+        cut = checkpointed(hot.repartitionByRange(blocks, *keys, *order).withColumn(BLOCK, F.spark_partition_id()))
+        if keys:
+            cut = cut.unionByName(join_on(df, large.select(*keys), keys, "left_anti").withColumn(BLOCK, F.lit(-1)))
+        return cls(cut, keys, order, True, size)
 
     @property
     def parts(self) -> list[str]:
@@ -172,22 +130,31 @@ class OrderedFrame:
         """Share of rows of the key with an order value at or below this row's (first order column)."""
         value = self.order[0]
         frame = Window.partitionBy(*self.parts).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-        local = self.df.withColumn("_le", F.count(F.lit(1)).over(frame))
-        totals = self.df.groupBy(*self.parts).agg(F.count(F.lit(1)).alias("_t"))
+        here = F.count(F.lit(1)).over(Window.partitionBy(*self.parts))
+        local = self.df.withColumns({"_le": F.count(F.lit(1)).over(frame), "_here": here})
+        if not self.blocked:
+            return self._with(local.withColumn(name, F.col("_le") / F.col("_here")).drop("_le", "_here"))
+        # a value that ends a block may go on at the head of the next ones
+        wrapped = F.struct(F.col(value).alias("v"))
+        totals = local.groupBy(*self.parts).agg(
+            F.count(F.lit(1)).alias("_t"), F.min("_le").alias("_head"), F.min(wrapped).alias("_lo"), F.max(wrapped).alias("_hi")
+        )
+        heads = totals.groupBy(*self.keys, F.col("_lo").alias("_hi")).agg(F.sum("_head").alias("_heads"))
         before = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        behind = Window.partitionBy(*self.keys, "_lo").orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(*self.keys)
-        local = local.withColumn("_here", F.count(F.lit(1)).over(Window.partitionBy(*self.parts)))
-        if self.blocked:
-            carry = totals.select(
-                *self.parts,
-                F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_k"),
-                F.sum("_t").over(whole).alias("_all"),
-                F.count(F.lit(1)).over(whole).alias("_blocks"),
-            ).filter("_blocks > 1").drop("_blocks")
-            local = join_on(local, carry, self.parts)
-            share = (F.col("_le") + F.coalesce("_k", F.lit(0))) / F.coalesce("_all", "_here")
-            return self._with(local.withColumn(name, share).drop("_le", "_k", "_all", "_here"))
-        return self._with(local.withColumn(name, F.col("_le") / F.col("_here")).drop("_le", "_here"))
+        on = F.when(F.col("_lo") == F.col("_hi"), F.sum("_head").over(behind)).otherwise(F.col("_heads"))
+        carry = join_on(totals, heads, [*self.keys, "_hi"]).select(
+            *self.parts,
+            F.col("_hi"),
+            F.coalesce(on, F.lit(0)).alias("_on"),
+            F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_k"),
+            F.sum("_t").over(whole).alias("_all"),
+            F.count(F.lit(1)).over(whole).alias("_blocks"),
+        ).filter("_blocks > 1").drop("_blocks")
+        local = join_on(local, carry, self.parts)
+        le = F.col("_le") + F.coalesce("_k", F.lit(0)) + F.when(wrapped.eqNullSafe(F.col("_hi")), F.col("_on")).otherwise(0)
+        return self._with(local.withColumn(name, le / F.coalesce("_all", "_here")).drop("_le", "_here", "_hi", "_on", "_k", "_all"))
 
     def neighbour(self, columns: Mapping[str, str], step: int) -> "OrderedFrame":
         """Previous (step -1) or next (step 1) row's values as new columns: new name -> source."""

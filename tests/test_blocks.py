@@ -41,11 +41,41 @@ def test_blocks_are_cut_and_bounded(skewed, keys):
     of = OrderedFrame.of(skewed, keys, ["t", "id"], ROWS)
     assert of.blocked
     sizes = of.df.groupBy(*of.parts).count()
-    assert sizes.agg(F.max("count")).first()[0] < 500
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * ROWS
     if keys:
         assert of.df.filter("k <> 'hot'").select("_blk").distinct().count() == 1
 
 
+def test_blocks_of_one_tied_value(spark):
+    tied = spark.range(6000, numPartitions=5).select(F.lit("a").alias("k"), F.lit(7).alias("t"), "id")
+    of = OrderedFrame.of(tied, ["k"], ["t", "id"], 500)
+    assert of.df.groupBy(*of.parts).count().agg(F.max("count")).first()[0] <= 1000
+    same(of.row_number("n").done(), tied.withColumn("n", F.col("id") + 1))
+    assert {r["c"] for r in of.cume_dist("c").done().select("c").distinct().collect()} == {1.0}
+
+
+def test_blocks_of_disjoint_groups(spark):
+    """Every group has edges of its own: groups that lie apart on the order column are cut alike."""
+    df = spark.range(40 * 300, numPartitions=5).select((F.col("id") % 40).alias("g"), "id")
+    df = df.select("g", (F.col("g") * 10**6 + F.col("id") * F.col("id") % 1009).alias("t"), "id")
+    of = OrderedFrame.of(df, ["g"], ["t", "id"], 100)
+    assert of.blocked
+    assert of.df.groupBy(*of.parts).count().agg(F.max("count")).first()[0] <= 200
+    same(of.row_number("n").done(), df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("t", "id"))))
+
+
+def test_cume_dist_with_values_over_many_blocks(spark):
+    df = spark.range(2000, numPartitions=4).select(F.when(F.col("id") % 9 > 0, F.col("id") % 3).alias("t"), "id")
+    got = OrderedFrame.of(df, [], ["t", "id"], 100).cume_dist("c").done()
+    same(got, df.withColumn("c", F.cume_dist().over(Window.partitionBy().orderBy("t"))))
+
+
+def test_order_by_text(spark):
+    df = spark.range(500, numPartitions=3).select(F.sha1(F.col("id").cast("string")).alias("t"), "id")
+    got = with_row_number(df, [], ["t", "id"], rows=50)
+    same(got, df.withColumn("rn", F.row_number().over(Window.partitionBy().orderBy("t"))))
+
+
 @pytest.mark.parametrize("keys", [[], ["k"]])
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_running(skewed, keys, inclusive):
@@ -165,6 +195,36 @@ def test_suppression_with_zero_length_hits(spark):
         assert set(got["id"]) == greedy(rows, 0.0)
 
 
+def rounds_of(monkeypatch, df, *args):
+    calls, once = [], motif._round
+    monkeypatch.setattr(motif, "_round", lambda *a: calls.append(1) or once(*a))
+    got = motif.suppress_overlaps(df, "f", "s", "e", "score", "id", *args).toPandas()
+    assert len(got) == len(set(got["id"]))
+    return set(got["id"]), len(calls)
+
+
+def test_suppression_rounds_count_borders(spark, monkeypatch):
+    """Rising scores are one chain of dependent hits; rounds follow the number of blocks."""
+    rows = [("a", float(i), i + 1.5, float(i), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "f string, s double, e double, score double, id int").repartition(4)
+    kept, rounds = rounds_of(monkeypatch, df, 0.0, 1200)
+    assert kept == set(range(2999, -1, -2)) and 0 < rounds <= 4
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_suppression_of_piles_and_long_hits(spark, monkeypatch, seed):
+    """Tied starts and scores, hits without length, and hits that reach over many blocks."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(300):
+        s = float(rng.choice([100, 200, rng.randrange(300)]))
+        rows.append(("a", s, s + rng.choice([0, 0, 1, 2, 250 if rng.random() < 0.05 else 3]), rng.randrange(20) / 20, i))
+    df = spark.createDataFrame(rows, "f string, s double, e double, score double, id int").repartition(4)
+    gap = [0.0, 2.5][seed]
+    kept, rounds = rounds_of(monkeypatch, df, gap, 60)
+    assert kept == greedy(rows, gap) and rounds
+
+
 def test_quantiles_with_blocks(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 300, 2000)
