@@ -226,6 +226,15 @@ def split_write(t: Tables):
     return a.unionByName(t.spark.read.schema(rows.schema).parquet(rest).select("o_orderkey", F.lit(False).alias("hit")))
 
 
+@query("current_table", "SELECT o_orderkey, o_orderstatus, o_orderstatus = 'O' AS still_open FROM orders")
+def current_table(t: Tables):
+    """A table replaced by a version that is made from itself."""
+    path = shared_dir(t.spark, "current")
+    K.write_current(t.orders.select("o_orderkey", "o_orderstatus"), path)
+    K.write_current(K.read_current(t.spark, path).withColumn("still_open", F.col("o_orderstatus") == "O"), path)
+    return K.read_current(t.spark, path)
+
+
 @query("write_report", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name FROM customer")
 def write_report(t: Tables):
     path = shared_dir(t.spark, "report")

@@ -27,9 +27,44 @@ def report_summary(df: DataFrame, band: str) -> DataFrame:
     return df.groupBy(band).agg(F.count(F.lit(1)).alias("n")).orderBy(band)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def versions(spark: SparkSession, path: str, prefix: str = "v") -> list[int]:
+    """Numbers of the committed versions below a folder, in order; a write that was killed has left no marker."""
+    fs, base = _folder(spark, path)
+    if not fs.exists(base):
+        return []
+    found = [s.getPath() for s in fs.listStatus(base) if s.getPath().getName().startswith(prefix)]
+    return sorted(int(f.getName()[len(prefix):]) for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    fs, folder = _folder(spark, path)
+    fs.delete(folder, True)
+
+
 def write_current(df: DataFrame, path: str) -> None:
-    """Replace the target; readers see it through its commit marker only."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace the table at ``path`` by a version of its own, which counts once it is complete.
+
+    The version before stays until the next replacement, for readers that have begun, and for ``df`` itself, which may
+    be made from the current table. One writer at a time.
+    """
+    spark = df.sparkSession
+    known = versions(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}/v{known[-1] + 1 if known else 0:012d}")
+    for old in known[:-1]:
+        forget(spark, f"{path}/v{old:012d}")
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete version of a table that ``write_current`` keeps."""
+    known = versions(spark, path)
+    if not known:
+        raise FileNotFoundError(f"no complete version below {path}")
+    return spark.read.parquet(f"{path}/v{known[-1]:012d}")
 
 
 def export_partitions(df: DataFrame, path: str, lane: str, only: Column | None = None) -> None:
@@ -94,7 +129,7 @@ def split_write(df: DataFrame, path: str, condition: Column) -> tuple[str, str]:
     spark = df.sparkSession
     folders = f"{path}/side=match", f"{path}/side=rest"
     for folder in folders:
-        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        fs, target = _folder(spark, folder)
+        if not fs.exists(target):
             spark.createDataFrame([], df.schema).write.parquet(folder)
     return folders

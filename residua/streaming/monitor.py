@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.ledger import reconcile_files, reconcile_remote
 from ..operators.quality import severity_rank
 from ..session import shared_dir
-from .sinks import VersionedTable, fold_into
+from .sinks import BucketedTable, fold_by_key
 
 STALE_SECONDS = 300.0
 
@@ -91,17 +91,19 @@ def health_checks(snapshots: DataFrame, keep: list[str], rules: Sequence[tuple[s
 LEDGER_COLUMNS = "lane bigint, status string, device string, lease_until double, finished_at double"
 
 
-def reconcile_stream(reports: DataFrame, ledger: DataFrame, now: Column, lease_seconds: float) -> DataFrame:
-    """Remote reports folded into the ledger micro-batch by micro-batch."""
+def reconcile_stream(reports: DataFrame, ledger: DataFrame, now: Column, lease_seconds: float, buckets: int = 64) -> DataFrame:
+    """Remote reports folded into the ledger micro-batch by micro-batch; a batch rewrites the buckets of its lanes only."""
     spark = ledger.sparkSession
     names = ["lane", "status", "device", "lease_until", "finished_at"]
-    table = VersionedTable(spark, shared_dir(spark, "ledger"), ledger.select(*names))
-    return fold_into(reports, table, lambda old, batch: reconcile_remote(old, batch, "lane", now, lease_seconds))
+    fold = lambda old, batch: reconcile_remote(old, batch, "lane", now, lease_seconds)
+    nothing = spark.createDataFrame([], reports.schema)
+    table = BucketedTable(spark, shared_dir(spark, "ledger"), fold(ledger.select(*names), nothing).select(*names), "lane", buckets)
+    return fold_by_key(reports, table, fold)
 
 
-def files_stream(listing: DataFrame, ledger: DataFrame, now: Column) -> DataFrame:
-    """Arriving proven files promote their lanes to done."""
+def files_stream(listing: DataFrame, ledger: DataFrame, now: Column, buckets: int = 64) -> DataFrame:
+    """Arriving proven files promote their lanes to done; a batch rewrites the buckets of its lanes only."""
     spark = ledger.sparkSession
     names = ["lane", "status", "device", "finished_at", "proof_bytes"]
-    table = VersionedTable(spark, shared_dir(spark, "ledger"), ledger.select(*names))
-    return fold_into(listing, table, lambda old, batch: reconcile_files(old, batch, "lane", now))
+    table = BucketedTable(spark, shared_dir(spark, "ledger"), ledger.select(*names), "lane", buckets)
+    return fold_by_key(listing, table, lambda old, batch: reconcile_files(old, batch, "lane", now))

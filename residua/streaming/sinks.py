@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import shared_dir
+from ..sources.sinks import forget, versions
 
 
 def file_stream(
@@ -129,6 +130,73 @@ def fold_into(stream: DataFrame, table: VersionedTable, change: Callable[[DataFr
     return table.read()
 
 
+class BucketedTable:
+    """A keyed table of which a micro-batch rewrites only the buckets that hold its keys.
+
+    Version n + 1 is a list of (bucket, version that wrote it), at most one row per bucket, and counts once its
+    commit marker is there. Batch n writes the buckets it touches beside the old ones, then the list; a batch that
+    fails leaves the version before as it was, and one that is repeated after its commit changes nothing. Buckets that
+    neither of the last two versions names are removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, initial: DataFrame, key: str, buckets: int = 64):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path, initial.schema, key, buckets
+        if not versions(spark, path, "list-"):
+            self._commit(0, initial, {}, set())
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key).cast(self.schema[self.key].dataType)), F.lit(self.buckets)).cast("int")
+
+    def _data(self, version: int) -> str:
+        return f"{self.path}/rows-{version:012d}"
+
+    def _list(self, version: int) -> dict[int, int]:
+        rows = self.spark.read.schema("bucket int, version bigint").parquet(f"{self.path}/list-{version:012d}")
+        return {r["bucket"]: r["version"] for r in rows.collect()}
+
+    def _rows(self, listed: dict[int, int]) -> DataFrame:
+        paths = [f"{self._data(v)}/_bucket={b}" for b, v in sorted(listed.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _commit(self, version: int, rows: DataFrame, old: dict[int, int], touched: set[int]) -> dict[int, int]:
+        # the rebalance hint gathers a bucket into few files and still splits one too large for a task
+        typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema], self._bucket().alias("_bucket"))
+        typed.hint("rebalance", F.col("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(self._data(version))
+        written = self.spark.read.schema("_bucket int").parquet(self._data(version)).select("_bucket").distinct().collect()
+        new = {b: v for b, v in old.items() if b not in touched} | {r["_bucket"]: version for r in written}
+        listing = self.spark.createDataFrame(sorted(new.items()), "bucket int, version bigint").coalesce(1)
+        listing.write.mode("overwrite").parquet(f"{self.path}/list-{version:012d}")
+        return new
+
+    def read(self) -> DataFrame:
+        return self._rows(self._list(versions(self.spark, self.path, "list-")[-1]))
+
+    def update(self, batch_id: int, batch: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Fold one micro-batch in; ``change`` sees the rows of the touched buckets and the batch, and must go key by key."""
+        known = versions(self.spark, self.path, "list-")
+        if batch_id + 1 in known:
+            return
+        touched = {r["b"] for r in batch.select(self._bucket().alias("b")).distinct().collect()}
+        if not touched:
+            return
+        old = self._list(known[-1])
+        held = self._rows({b: v for b, v in old.items() if b in touched})
+        self._commit(batch_id + 1, change(held, batch), old, touched)
+        for stale in known[:-1]:
+            for b, v in self._list(stale).items():
+                if old.get(b) != v:
+                    forget(self.spark, f"{self._data(v)}/_bucket={b}")
+            forget(self.spark, f"{self.path}/list-{stale:012d}")
+
+
+def fold_by_key(stream: DataFrame, table: BucketedTable, change: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Fold every micro-batch into the buckets it touches; return the final table."""
+    mark = shared_dir(stream.sparkSession, "offsets")
+    writer = stream.writeStream.foreachBatch(lambda batch, batch_id: table.update(batch_id, batch, change))
+    finish(writer.option("checkpointLocation", mark).trigger(availableNow=True).start())
+    return table.read()
+
+
 def log_epoch(batch: DataFrame, epoch: int, path: str) -> None:
     """The rows of one micro-batch as JSON lines in a folder of the epoch's own, which a repeated batch replaces."""
     batch.write.mode("overwrite").json(posixpath.join(path, f"epoch={epoch}"))
