@@ -86,7 +86,17 @@ def merge_intervals(t: Tables):
     return W.merge_intervals(intervals(t), ["user_id"], "st", "en", "event_id")
 
 
-@query("suppress_overlaps")
+SUPPRESSED_SQL = f"""WITH RECURSIVE {INTERVALS_SQL}, h AS (SELECT i.user_id, i.event_id, st / 1e6 AS s, en / 1e6 AS e, events.value FROM i JOIN events USING (event_id)),
+    c AS MATERIALIZED (SELECT a.event_id AS worse, b.event_id AS better FROM h a JOIN h b ON a.user_id = b.user_id AND (b.value > a.value OR (b.value = a.value AND b.event_id < a.event_id))
+     AND (abs(a.s - b.s) < 600 OR greatest(a.s, b.s) < least(a.e, b.e))),
+    p AS (SELECT 0 AS round, event_id FROM h UNION ALL SELECT * FROM (
+     WITH live AS (SELECT x.round, worse, better FROM c JOIN p x ON x.event_id = worse JOIN p y ON y.event_id = better)
+     SELECT DISTINCT round + 1, worse FROM live WHERE worse NOT IN (SELECT worse FROM live WHERE better NOT IN (SELECT worse FROM live)))),
+    final AS (SELECT event_id, max(round) AS round FROM p GROUP BY 1)
+    SELECT h.* FROM h JOIN final USING (event_id) WHERE NOT EXISTS (SELECT 1 FROM c JOIN p ON p.event_id = c.better WHERE c.worse = h.event_id AND p.round = final.round)"""
+
+
+@query("suppress_overlaps", SUPPRESSED_SQL)
 def suppress_overlaps(t: Tables):
     """Best-first suppression of event intervals per user."""
     rows = intervals(t).select("user_id", "event_id", (F.col("st") / 1e6).alias("s"), (F.col("en") / 1e6).alias("e"), "value")
