@@ -119,9 +119,60 @@ def ledger_errors(t: Tables):
 
 @query("parse_entries", "SELECT o_custkey, o_orderkey AS shiny_value, o_orderstatus = 'F' AS done, o_orderstatus AS note FROM orders")
 def parse_entries(t: Tables):
+    return B.parse_entries(entry_texts(t), "text", ["o_custkey"]).select("o_custkey", "shiny_value", "done", "note")
+
+
+def entry_texts(t: Tables):
+    """One array ledger per customer and slice of order keys."""
     entry = F.concat(F.lit('{"shiny_value":'), F.col("o_orderkey").cast("string"), F.lit(',"done":'), (F.col("o_orderstatus") == "F").cast("string"), F.lit(',"note":"'), F.col("o_orderstatus"), F.lit('"}'))
-    texts = t.orders.groupBy("o_custkey", F.floor(F.col("o_orderkey") / 100000).alias("part")).agg(F.concat(F.lit('{"entries":['), F.concat_ws(",", F.collect_list(entry)), F.lit("]}")).alias("text"))
-    return B.parse_entries(texts, "text", ["o_custkey"]).select("o_custkey", "shiny_value", "done", "note")
+    return t.orders.groupBy("o_custkey", F.floor(F.col("o_orderkey") / 100000).alias("part")).agg(F.concat(F.lit('{"entries":['), F.concat_ws(",", F.collect_list(entry)), F.lit("]}")).alias("text"))
+
+
+#: Bytes of a range where these plans read back what they wrote.
+FILE_RANGE = 4 << 20
+
+
+@query(
+    "ledger_files",
+    f"""SELECT event_id AS lane, {STATUS_SQL} AS status, 'd' || (event_id % 7) AS device, CASE WHEN event_id % 9 = 0 THEN -1 ELSE CAST(round(value * 100) AS BIGINT) END AS proof_bytes, '' AS error
+    FROM events WHERE event_id % 31 <> 0 AND event_id % 37 <> 0 UNION ALL SELECT -1, '', '', -1, CASE WHEN event_id % 31 = 0 THEN 'record is not an object' ELSE 'bad lane' END FROM events WHERE event_id % 31 = 0 OR event_id % 37 = 0""",
+)
+def ledger_files(t: Tables):
+    """Ledger files written and read back by byte ranges, with their error rows."""
+    path = shared_dir(t.spark, "ledgers")
+    ledger_texts(t).select("text").write.text(path)
+    rows, errors = B.read_ledger_json(t.spark, path, domain=1 << 40, range_bytes=FILE_RANGE)
+    none = F.lit(-1).cast("bigint")
+    rows = rows.select("lane", "status", "device", F.coalesce("proof_bytes", none).alias("proof_bytes"), F.lit("").alias("error"))
+    return rows.unionAll(errors.select(none.alias("lane"), F.lit("").alias("status"), F.lit("").alias("device"), none.alias("proof_bytes"), "error"))
+
+
+@query("entry_files", "SELECT o_orderkey AS shiny_value, o_orderstatus = 'F' AS done, o_orderstatus AS note FROM orders")
+def entry_files(t: Tables):
+    path = shared_dir(t.spark, "entries")
+    entry_texts(t).select("text").write.text(path)
+    return B.read_entries_ledger(t.spark, path, FILE_RANGE).select("shiny_value", "done", "note")
+
+
+@query(
+    "trace_files",
+    """SELECT conv_id, turn AS frame_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx, coalesce(length(text), -1) AS chars FROM conversations
+    UNION ALL SELECT DISTINCT conv_id, -1, 0, 0 FROM conversations""",
+)
+def trace_files(t: Tables):
+    """One trace for each conversation, written line by line, so that a trace may be longer than a range or a task's memory."""
+    s = lambda c: F.col(c).cast("string")
+    sample = lambda frame, chars: F.concat(F.lit('{"frame_index":'), frame, F.lit(',"values":{"conv":'), s("conv_id"), F.lit(',"chars":'), chars, F.lit("}}"))
+    turns = t.conversations.select("conv_id", F.lit(1).alias("place"), "turn", F.concat(F.lit(","), sample(s("turn"), F.coalesce(F.length("text"), F.lit(-1)).cast("string"))).alias("line"))
+    conversations = t.conversations.select("conv_id").distinct()
+    first = conversations.select("conv_id", F.lit(0).alias("place"), F.lit(-1).alias("turn"), F.concat(F.lit('{"samples":['), sample(F.lit("-1"), F.lit("0"))).alias("line"))
+    last = conversations.select("conv_id", F.lit(2).alias("place"), F.lit(-1).alias("turn"), F.lit("]}").alias("line"))
+    path = shared_dir(t.spark, "traces")
+    # a trace lies in one file, so all its lines go to one writer, which holds none of them
+    lines = turns.unionAll(first).unionAll(last).repartitionByRange("conv_id").sortWithinPartitions("conv_id", "place", "turn")
+    lines.select("line").write.text(path)
+    out = B.read_traces(t.spark, path, FILE_RANGE)
+    return out.select(F.col("values")["conv"].alias("conv_id"), F.col("frame_index").cast("bigint").alias("frame_index"), "idx", F.col("values")["chars"].alias("chars"))
 
 
 @query("parse_manifests", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'bad-name' WHEN doc_id % 11 = 0 THEN 'unreadable' WHEN doc_id % 5 = 0 THEN 'key-mismatch' ELSE '' END AS problem, CASE WHEN doc_id % 11 = 0 THEN -1 ELSE n_chars END AS completed FROM documents")

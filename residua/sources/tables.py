@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import parse_hex, parse_int_text
+from .members import RANGE_BYTES, listed, read_members
 
 # Columns of the schedule file.
 SCHEDULE_COLUMNS = [
@@ -89,9 +90,21 @@ def parse_ledgers(texts: DataFrame, text: str, keep: Sequence[str] = (), domain:
     return rows, pairs.filter(F.col("error").isNotNull()).select(*keep, "key", "error")
 
 
-def read_ledger_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    texts = spark.read.text(path, wholetext=True)
-    return parse_ledgers(texts, "value")
+def _as_document(field: str, opening: str, closing: str) -> Column:
+    """A document that holds one member, so that what reads whole texts reads members too."""
+    return F.concat(F.lit(f'{{"{field}":{opening}'), F.coalesce("text", F.lit("")), F.lit(f"{closing}}}"))
+
+
+def _without_members(spark: SparkSession, path: str, members: DataFrame) -> DataFrame:
+    return listed(spark, path).select("path").join(members.select("path").distinct(), "path", "left_anti")
+
+
+def read_ledger_json(spark: SparkSession, path: str, domain: int = 1 << 16, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of ledger files, read by byte ranges; a file without ``records`` gives one error."""
+    members = read_members(spark, path, "records", "{", range_bytes)
+    rows, errors = parse_ledgers(members.select(_as_document("records", "{", "}").alias("value")), "value", domain=domain)
+    none = _without_members(spark, path, members).select(F.lit(None).cast("string").alias("key"), F.lit("ledger records field is missing or not an object").alias("error"))
+    return rows, errors.unionByName(none)
 
 
 # Fields of an entry in the array ledger file.
@@ -111,8 +124,10 @@ def _colon(ddl: str) -> str:
     return ", ".join(f"{p.split()[0]}:{p.split()[1]}" for p in ddl.split(", "))
 
 
-def read_entries_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return parse_entries(spark.read.text(path, wholetext=True), "value")
+def read_entries_ledger(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Rows of the ``entries`` arrays of ledger files, read by byte ranges."""
+    members = read_members(spark, path, "entries", "[", range_bytes).filter("text IS NOT NULL")
+    return parse_entries(members.select(_as_document("entries", "[", "]").alias("value")), "value")
 
 
 def parse_manifests(texts: DataFrame, name: str, text: str, pattern: str, key_field: str = "key") -> DataFrame:
@@ -144,6 +159,18 @@ def parse_traces(texts: DataFrame, text: str, keep: Sequence[str] = ()) -> DataF
     )
 
 
+def read_traces(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Sample rows of trace files, read by byte ranges: (path, container, idx, frame_index, applied_mask, values).
+
+    ``container`` is the byte at which a trace's samples begin, as a file may hold several traces; ``idx`` counts over all
+    ranges of a trace. A trace, or a file, without samples keeps one empty row.
+    """
+    members = read_members(spark, path, "samples", "[", range_bytes)
+    texts = members.select("path", "container", F.col("idx").alias("_idx"), _as_document("samples", "[", "]").alias("value"))
+    rows = parse_traces(texts, "value", ["path", "container", "_idx"]).withColumn("idx", F.col("_idx").cast("bigint")).drop("_idx")
+    return rows.unionByName(_without_members(spark, path, members), allowMissingColumns=True)
+
+
 REPORT_SCHEMA = (
     "struct<samples:array<struct<lane_count:bigint,archive_bytes:bigint,"
     "levels:array<struct<level:int,size_bytes:bigint,unpack_ms:double>>,"

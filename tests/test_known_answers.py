@@ -1,6 +1,8 @@
 """Small cases with known answers, and brute-force twins of the vectorised functions."""
 
+import gzip
 import io
+import json
 import math
 import random
 import struct
@@ -9,6 +11,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from residua.functions import keys as K
 from residua.functions import text as X
 from residua.functions import traits as A
 from residua.operators import catalog, delta, ledger, monitor, motif, quality, residual, schedule, sets, windows
-from residua.sources import artifacts, sinks, tables
+from residua.sources import artifacts, members, sinks, tables
 from residua.streaming import monitor as SM
 from residua.streaming import sinks as SK
 from residua.streaming import state as SS
@@ -307,6 +310,71 @@ def test_ledger_file(spark, tmp_path):
     assert values(errors, "key") == [("0x0003",), ("0x12345",), ("zz",)]
 
 
+def _json_value(rng, depth):
+    kind = rng.random()
+    if depth <= 0 or kind < 0.5:
+        return rng.choice([1, None, True, 'a"b', "\\", "{[,]}", 'x\\"', 'é,"', '\\\\"', ""])
+    if kind < 0.75:
+        return [_json_value(rng, depth - 1) for _ in range(rng.randrange(4))]
+    return {rng.choice(["records", 'a"', "k\\", "{z", "q,"]): _json_value(rng, depth - 1) for _ in range(rng.randrange(4))}
+
+
+def _members_by_ranges(data, field, kind, step):
+    file, rows = pa.BufferReader(data), []
+    for start in range(0, len(data), step):
+        effects = [members._effect(file, start, data[start : start + step], state) for state in range(members.STATES)]
+        rows.append({"path": "f", "start": start, "end": start + step, "effect": json.dumps(effects)})
+    states = members._with_states(pd.DataFrame(rows).sample(frac=1, random_state=0))
+    return [m for row in states.to_dict("records") for m in members._members_of(file, row, field, kind)]
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 5, 7, 11, 37, 10_000])
+def test_members_do_not_depend_on_where_ranges_begin(step):
+    rng = random.Random(step)
+    for _ in range(60):
+        docs = []
+        for _ in range(rng.randrange(1, 3)):
+            records = {str(i) + rng.choice(["", '"', "\\", "}"]): _json_value(rng, 2) for i in range(rng.randrange(5))}
+            records = records if rng.random() < 0.7 else [_json_value(rng, 2) for _ in range(rng.randrange(4))]
+            docs.append({"version": _json_value(rng, 2), "records": records, "other": _json_value(rng, 3)})
+        data = ("﻿" + "\n".join(json.dumps(d, ensure_ascii=False, indent=rng.choice([None, 1])) for d in docs)).encode()
+        for kind, held in (("{", dict), ("[", list)):
+            want = []
+            for records in (d["records"] for d in docs):
+                if isinstance(records, held) and records:
+                    want += enumerate(records.items() if held is dict else records)
+                else:
+                    want.append((None, None))
+            parse = (lambda s: next(iter(json.loads("{" + s + "}").items()))) if held is dict else json.loads
+            got = [(m["idx"], m["text"] and parse(m["text"])) for m in _members_by_ranges(data, "records", kind, step)]
+            assert got == want
+
+
+def test_large_files_are_read_by_ranges(spark, tmp_path):
+    records = {f"0x{i:04X}": {"status": "done", "zip_size": i, "note": 'a"{,\\'} for i in range(500)}
+    (tmp_path / "a.json").write_text(json.dumps({"note": [1, {"records": {"0x0001": 1}}], "records": records}))
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress(json.dumps({"records": {"0x1000": {"status": "failed"}}}).encode()))
+    (tmp_path / "c.json").write_text('{"version": 1}')
+    (tmp_path / "d.json").write_text("")
+    (tmp_path / "e.json").write_text('{"records": {"0x2000": {"status": "done"}, "0x2001": {"stat')
+    rows, errors = tables.read_ledger_json(spark, str(tmp_path), range_bytes=1000)
+    assert rows.rdd.getNumPartitions() > 20
+    assert values(rows, "lane", "proof_bytes") == [(i, i) for i in range(500)] + [(0x1000, None), (0x2000, None)]
+    assert [r.error for r in errors.collect()] == ["ledger records field is missing or not an object"] * 2  # c and e; Spark passes over empty files
+    assert members.read_members(spark, str(tmp_path / "a.json"), None, "{", 100).select("idx").orderBy("idx").collect() == [(0,), (1,)]
+
+
+def test_a_trace_counts_over_ranges(spark, tmp_path):
+    samples = [{"frame_index": 7 * i, "applied_mask": i, "values": {"x": i}} for i in range(300)]
+    (tmp_path / "a.json").write_text(json.dumps({"samples": samples}) + "\n" + json.dumps({"samples": samples[:5]}))
+    (tmp_path / "b.json").write_text('{"samples": []}')
+    (tmp_path / "c.json").write_text("{}")
+    got = tables.read_traces(spark, str(tmp_path), 256)
+    first = got.filter("path LIKE '%a.json'").orderBy("container", "idx").select("idx", "frame_index", F.col("values")["x"]).collect()
+    assert [tuple(r) for r in first] == [(i, 7 * i, i) for i in [*range(300), *range(5)]]
+    assert [r.frame_index for r in got.filter("path NOT LIKE '%a.json'").collect()] == [None, None]
+
+
 def test_manifest_files(spark, tmp_path):
     (tmp_path / "0x0001.manifest.json").write_text('{"key":"0x0001","path":"p","sha1":"s","completed":3,"complete":true}')
     (tmp_path / "0x0002.manifest.json").write_text('{"key":"0x0009","path":"p"}')
