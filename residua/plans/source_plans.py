@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..sources import artifacts as A
+from ..sources import reports as R
 from ..sources import sinks as K
 from ..sources import tables as B
 from .base import CELLS_SQL, STATUS_SQL, Tables, cents, event_status, query, r4
@@ -212,6 +213,68 @@ def flatten_reports(t: Tables):
     return out.select("lane_count", "kind", "codec", "level", "size_bytes", r4("mib_s", "mib_s", 6))
 
 
+@query(
+    "report_lanes",
+    """SELECT o_orderkey, 'audit' AS kind, printf('0x%04X', o_orderkey) AS lane, o_orderkey % 4 AS predictor_exceptions, '' AS level, '' AS codec, -1 AS stream_size, CAST(o_orderkey % 2 = 0 AS VARCHAR) AS audit_failed, o_orderkey % 11 AS entry_count,
+    o_orderkey % 13 + 0.5::DOUBLE AS total_ms, CASE WHEN o_orderkey % 2 = 0 THEN 'bad' ELSE '' END AS first_error FROM orders WHERE o_orderkey % 3 = 0
+    UNION ALL SELECT o_orderkey, 'inspect', printf('0x%04X', o_orderkey), o_orderkey % 4, CASE WHEN o_orderkey % 2 = 0 THEN '5' ELSE '7' END, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'z' END, o_custkey, '', -1, -1, '' FROM orders WHERE o_orderkey % 3 <> 0
+    UNION ALL SELECT o_orderkey, 'inspect', 'second', 0, '7', '', 0, '', -1, -1, '' FROM orders WHERE o_orderkey % 3 <> 0""",
+)
+def report_lanes(t: Tables):
+    """Reports of two lanes each, every third an audit of the first of them."""
+    k = F.col("o_orderkey")
+    audit = k % 3 == 0
+    first = F.struct(
+        F.format_string("0x%04X", k).alias("lane"), F.when(k % 2 == 0, 5).alias("level"), F.when(k % 5 != 0, "z").alias("codec"), F.col("o_custkey").alias("stream_size"), (k % 4).alias("predictor_exceptions"),
+        F.when(audit, k % 11).alias("entry_count"), F.when(audit, k % 2 == 0).alias("audit_failed"), F.when(audit, F.struct((k % 13 + F.lit(0.5)).alias("total_ms"))).alias("timings_ms"),
+        F.when(audit & (k % 2 == 0), F.array(F.lit("bad"), F.lit("worse"))).alias("errors"),
+    )
+    text = F.concat(F.lit('{"level":7,"lanes":['), F.to_json(first), F.lit(',{"lane":"second"},5]}'))
+    out = R.lane_rows(t.orders.select("o_orderkey", text.alias("text")), "text", ["o_orderkey"])
+    blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("level", "codec", "audit_failed", "first_error")]
+    return out.select("o_orderkey", "kind", "lane", "predictor_exceptions", *blank, *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("stream_size", "entry_count", "total_ms")])
+
+
+@query(
+    "report_facts",
+    """SELECT o_orderkey, 0 AS place, 'ok' AS field, CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS value FROM orders UNION ALL SELECT o_orderkey, 1, 'customer', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey % 3 <> 0
+    UNION ALL SELECT o_orderkey, 2, 'reason', CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE '' END FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 4, 'lane table rows', CAST(o_orderkey % 4 AS VARCHAR) FROM orders""",
+)
+def report_facts(t: Tables):
+    k = F.col("o_orderkey")
+    # a null where the reason is kept although empty, an object where a fact is looked for
+    reason = F.when(k % 4 == 0, F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))).otherwise("null")
+    text = F.concat(
+        F.lit('{"ok":'), (F.col("o_orderstatus") == "F").cast("string"), F.lit(',"who":{"key":'), F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey").cast("string")).otherwise('""'), F.lit("}"),
+        F.when(k % 2 == 0, F.concat(F.lit(',"reason":'), reason)).otherwise(""), F.lit(',"lanes":'), F.to_json(F.slice(F.array(*[F.lit(i) for i in range(3)]), F.lit(1), (k % 4).cast("int"))), F.lit("}"),
+    )
+    facts = {"ok": "ok", "customer": "who.key", "reason": "reason", "who": "who"}
+    return R.fact_rows(t.orders.select("o_orderkey", text.alias("text")), "text", facts, ["o_orderkey"], ["reason"])
+
+
+@query(
+    "report_steps",
+    """SELECT event_id, replace(label, '_', ' ') AS step, CASE WHEN event_id % 7 = 0 THEN 'false' ELSE 'true' END AS ok, CASE WHEN event_id % 4 = 0 THEN 'no device' WHEN event_id % 4 = 1 THEN 'idle' ELSE '' END AS fallback,
+    (event_id % 3) || CASE WHEN event_id % 5 = 0 THEN '' ELSE '/' || user_id END AS mismatches, CASE WHEN label = 'pack' THEN 2.5 WHEN event_id % 2 = 0 THEN event_id::DOUBLE ELSE -1 END AS report_ms,
+    CASE WHEN event_id % 6 = 0 THEN 1.5 WHEN event_id % 4 = 2 THEN 9.0 ELSE -1 END AS path_ms
+    FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'pack' WHEN 'click' THEN 'cpu_verify' WHEN 'view' THEN 'gpu_cache' ELSE 'gpu_unpack' END AS label FROM events) WHERE label <> 'gpu_cache'""",
+)
+def report_steps(t: Tables):
+    """One report of a release step per event."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    label = F.when(kind == "signup", "pack").when(kind == "click", "cpu_verify").when(kind == "view", "gpu_cache").otherwise("gpu_unpack")
+    device = F.struct(
+        F.when(k % 4 == 0, "no device").alias("fallback_reason"), (k % 4 == 1).alias("requested"), (k % 4 == 2).alias("used"), F.lit("idle").alias("status"), F.lit(9.0).alias("total_ms"),
+        F.when(k % 5 != 0, F.col("user_id")).alias("mismatched_bytes"),
+    )
+    report = F.struct(
+        (k % 7 != 0).alias("ok"), F.when((label != "pack") & (k % 2 == 0), k).alias("total_ms"), F.lit(2.5).alias("build_ms"), (k % 3).alias("crc_mismatches"),
+        F.struct((k % 6 == 0).alias("used"), F.lit(1.5).alias("total_ms")).alias("cpu_decode_profile"), device.alias("gpu_rebuild"),
+    )
+    out = R.step_rows(t.events.select("event_id", label.alias("label"), F.to_json(report).alias("text")), "text", "label", ["event_id"])
+    return out.select("event_id", "step", "ok", "fallback", "mismatches", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("report_ms", "path_ms")])
+
+
 @query("parse_dat", "SELECT p_name || ' (' || p_partkey || ')' AS game, 'rom ' || p_partkey AS name, CAST(p_size AS BIGINT) AS size, p_partkey * 257 AS crc32, md5(p_name) AS md5 FROM part")
 def parse_dat(t: Tables):
     k = F.col("p_partkey")

@@ -21,7 +21,7 @@ from residua.functions import keys as K
 from residua.functions import text as X
 from residua.functions import traits as A
 from residua.operators import catalog, delta, ledger, monitor, motif, quality, residual, schedule, sets, windows
-from residua.sources import artifacts, members, sinks, tables
+from residua.sources import artifacts, members, reports, sinks, tables
 from residua.streaming import monitor as SM
 from residua.streaming import sinks as SK
 from residua.streaming import state as SS
@@ -375,6 +375,25 @@ def test_a_trace_counts_over_ranges(spark, tmp_path):
     assert [r.frame_index for r in got.filter("path NOT LIKE '%a.json'").collect()] == [None, None]
 
 
+def test_report_rows(spark):
+    audit = '{"level":3,"lanes":[{"lane":"0x1","entry_count":4,"errors":["a","b"],"timings_ms":7,"audit_failed":true},{"lane":"0x2"},"text",null]}'
+    texts = [audit, '{"lanes":[{"lane":5,"codec":null,"stream_size":"x"},[1]]}', '{"lanes":{}}', "[]", "no json", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = reports.lane_rows(df, "t", ["i"])
+    columns = ["i", "kind", "lane", "entry_count", "first_error", "total_ms", "audit_failed", "level", "codec", "stream_size"]
+    assert [tuple(r) for r in got.select(*columns).orderBy("i").collect()] == [
+        (0, "audit", "0x1", 4, "a", 0.0, "true", None, None, None), (1, "inspect", "5", None, None, None, None, "", "", 0),
+    ]
+    facts = spark.createDataFrame([(0, '{"a":{"b":1.5,"c":""},"ok":false,"lanes":[1,2],"outputs":5}'), (1, '{"a":3,"ok":null}'), (2, "x"), (3, None)], "i int, t string")
+    got = reports.fact_rows(facts, "t", {"b": "a.b", "c": "a.c", "ok": "ok", "a": "a"}, ["i"], ["c"])
+    assert values(got, "i", "place", "field", "value") == [(0, 0, "b", "1.5"), (0, 1, "c", ""), (0, 2, "ok", "false"), (0, 4, "lane table rows", "2"), (1, 3, "a", "3")]
+    steps = [("pack", '{"ok":true,"build_ms":4,"gpu_rebuild":5}'), ("gpu_cache", "{}"), ("cpu_verify", '{"total_ms":1,"cpu_decode_profile":{"used":false},"gpu_rebuild":{"used":true,"total_ms":6,"mismatched_lanes":0}}'), (None, "{}"), ("x", "[")]
+    got = reports.step_rows(spark.createDataFrame(steps, "l string, t string"), "t", "l")
+    assert [tuple(r) for r in got.orderBy("step").select("step", "ok", "mismatches", "report_ms", "path_ms").collect()] == [
+        (None, "", "", None, None), ("cpu verify", "", "0", 1.0, 6.0), ("pack", "true", "", 4.0, None),
+    ]
+
+
 def test_manifest_files(spark, tmp_path):
     (tmp_path / "0x0001.manifest.json").write_text('{"key":"0x0001","path":"p","sha1":"s","completed":3,"complete":true}')
     (tmp_path / "0x0002.manifest.json").write_text('{"key":"0x0009","path":"p"}')
