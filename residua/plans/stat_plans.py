@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ordered as O
+from ..operators import sketches as H
 from ..operators import stats as S
 from ..operators import topk as K
 from ..operators import windows as W
@@ -128,6 +129,19 @@ def approx_distinct(t: Tables):
     return K.approx_distinct(t.lineitem, ["l_partkey", "l_suppkey"])
 
 
+@query(
+    "sketch_profile",
+    """SELECT l_returnflag, count(*) AS n, min(l_extendedprice)::DOUBLE AS min, max(l_extendedprice)::DOUBLE AS max, count(DISTINCT (l_partkey, l_suppkey)) AS exact_distinct, true AS distinct_ok,
+    true AS p01_ok, true AS p05_ok, true AS median_ok, true AS p95_ok, true AS p99_ok FROM lineitem GROUP BY 1""",
+)
+def sketch_profile(t: Tables):
+    """Sketches kept by flag and line number, united by flag, and held against one exact pass."""
+    keys = ["l_partkey", "l_suppkey"]
+    kept = H.profile_sketches(t.lineitem, ["l_returnflag", "l_linenumber"], keys, "l_extendedprice")
+    united = H.estimates(H.unite(kept, ["l_returnflag"]), ["l_returnflag"])
+    return H.checked(t.lineitem, united, ["l_returnflag"], keys, "l_extendedprice").drop("n_values")
+
+
 @query(
     "job_totals",
     """SELECT o_orderpriority AS prio, CAST(coalesce(sum(CASE WHEN coalesce(items, 0) = 0 THEN 1 ELSE items END) FILTER (st = 'complete'), 0) AS BIGINT) AS complete_items, count(*) FILTER (st <> 'complete') AS failed_jobs,

@@ -20,7 +20,7 @@ from residua.functions import generator as G
 from residua.functions import keys as K
 from residua.functions import text as X
 from residua.functions import traits as A
-from residua.operators import catalog, delta, ledger, monitor, motif, quality, residual, schedule, sets, windows
+from residua.operators import catalog, delta, ledger, monitor, motif, quality, residual, schedule, sets, sketches, windows
 from residua.sources import artifacts, members, reports, sinks, tables
 from residua.streaming import monitor as SM
 from residua.streaming import sinks as SK
@@ -375,6 +375,25 @@ def test_a_trace_counts_over_ranges(spark, tmp_path):
     assert [r.frame_index for r in got.filter("path NOT LIKE '%a.json'").collect()] == [None, None]
 
 
+def test_sketches_unite(spark):
+    rows = [("a" if i % 3 else "b", i % 5, i % 700, float(i)) for i in range(9000)] + [("c", 0, None, None), ("c", 1, 1, math.nan), (None, 0, 1, 2.0)]
+    df = spark.createDataFrame(rows, "g string, part int, k int, v double")
+    kept = sketches.profile_sketches(df, ["g", "part"], ["k"], "v")
+    united = sketches.unite(sketches.unite(kept, ["g", "part"]), ["g"])
+    whole = sketches.profile_sketches(df, ["g"], ["k"], "v")
+    # distinct sketches of parts unite to that of the whole, whatever the parts
+    counts = [values(sketches.estimates(p, ["g"]).withColumn("g", F.coalesce("g", F.lit("-"))), "g", "n", "n_values", "n_distinct") for p in (united, whole)]
+    assert counts[0] == counts[1]
+    assert [c[:3] for c in counts[0]] == [("-", 1, 1), ("a", 6000, 6000), ("b", 3000, 3000), ("c", 2, 0)]
+    got = {r.g: r for r in sketches.checked(df, sketches.estimates(united, ["g"]), ["g"], ["k"], "v").collect()}
+    assert [got[g].exact_distinct for g in ("a", "b", "c", None)] == [700, 700, 2, 1]
+    assert all(got[g][f"{n}_ok"] for g in ("a", "b", None) for n in ("distinct", "p01", "p05", "median", "p95", "p99"))
+    assert got["c"].distinct_ok and got["c"].median_ok is None
+    assert sketches.estimates(united, ["g"]).filter("g = 'c'").select("median", "mean").first() == (None, None)
+    wrong = sketches.estimates(united, ["g"]).withColumns({"median": F.col("p95"), "n_distinct": F.lit(900)})
+    assert [(r.median_ok, r.distinct_ok) for r in sketches.checked(df, wrong, ["g"], ["k"], "v").filter("g = 'a'").collect()] == [(False, False)]
+
+
 def test_report_rows(spark):
     audit = '{"level":3,"lanes":[{"lane":"0x1","entry_count":4,"errors":["a","b"],"timings_ms":7,"audit_failed":true},{"lane":"0x2"},"text",null]}'
     texts = [audit, '{"lanes":[{"lane":5,"codec":null,"stream_size":"x"},[1]]}', '{"lanes":{}}', "[]", "no json", "", None]
