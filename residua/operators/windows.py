@@ -162,6 +162,24 @@ def frame_delta(df: DataFrame, keys: Sequence[str], label: str, first, last, val
     return rows.select(*keys, delta.cast(df.schema[value].dataType).alias("delta"))
 
 
+def frame_deltas(df: DataFrame, keys: Sequence[str], label: str, first, last, value: str, partition: str | Sequence[str]) -> DataFrame:
+    """(keys, delta, problem): value(last) - value(first) per key, or why there is none.
+
+    Problems: ``first-missing``, ``last-missing``, ``other-partition`` where the two rows differ in a partition column (null
+    equals null). Of several rows with a label the one with the greatest (partition, value) counts.
+    """
+    parts = [partition] if isinstance(partition, str) else list(partition)
+    here = F.struct(F.struct(*parts).alias("p"), F.col(value).alias("v"))
+    pick = lambda name: F.max(F.when(F.col(label) == name, here))
+    rows = df.filter(F.col(label).isin(first, last)).groupBy(*keys).agg(pick(first).alias("_a"), pick(last).alias("_b"))
+    problem = (
+        F.when(F.col("_a").isNull(), "first-missing").when(F.col("_b").isNull(), "last-missing")
+        .when(~F.col("_a.p").eqNullSafe(F.col("_b.p")), "other-partition")
+    )
+    delta = F.when(problem.isNull(), F.col("_b.v") - F.col("_a.v")).cast(df.schema[value].dataType)
+    return rows.select(*keys, delta.alias("delta"), problem.alias("problem"))
+
+
 def check_monotonic(df: DataFrame, keys: Sequence[str], order: Sequence[str], a: str, b: str, lead: int | None = None, rows: int | None = None) -> DataFrame:
     """Rows that break non-decreasing order of ``a`` or ``b`` (or the fixed lead a - b)."""
     of = OrderedFrame.of(df, keys, order, rows).neighbour({"_pa": a, "_pb": b}, -1)

@@ -88,6 +88,24 @@ def parse_schedule(t: Tables):
     return B.parse_schedule(raw).select("target_half_16bit", "rng_seed", "sweep_index")
 
 
+@query(
+    "schedule_findings",
+    """WITH s AS (SELECT o_orderkey AS target FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 15 = 0) SELECT target AS target_half_16bit, 'listed-twice' AS problem FROM s GROUP BY 1 HAVING count(*) > 1
+    UNION ALL SELECT i, 'missing' FROM range((SELECT max(o_orderkey) + 1 FROM orders)) r(i) WHERE i NOT IN (SELECT target FROM s)""",
+)
+def schedule_findings(t: Tables):
+    """What is wrong with a schedule file that lists every third order, some of them twice."""
+    k = F.col("o_orderkey")
+    rows = t.orders.select(
+        F.lit("0x00A1").alias("initial_seed_16bit"), F.lit("50").alias("compatibility_percent"), F.format_string("0x%04X", k).alias("target_half_16bit"), (k % 7).cast("string").alias("sweep_index"),
+        F.lit("701").alias("frame_from_initial_seed"), F.lit("t-0").alias("t_minus"), F.format_string("0x%08X", "o_custkey").alias("rng_seed"),
+    )
+    path = shared_dir(t.spark, "schedule")
+    rows.filter(k % 3 == 0).unionAll(rows.filter(k % 15 == 0)).write.option("header", "true").csv(path)
+    read = B.parse_schedule(t.spark.read.option("header", "true").csv(path))
+    return B.schedule_findings(read, t.orders.agg(F.max("o_orderkey")).first()[0] + 1)
+
+
 def ledger_texts(t: Tables):
     """One ledger JSON text per user: a record per event, some of them malformed."""
     k = F.col("event_id")
@@ -325,6 +343,19 @@ def shard_manifest(t: Tables):
     return K.shard_manifest(rows, "lane")
 
 
+@query(
+    "shard_findings",
+    f"""WITH {CELLS_SQL}, c AS (SELECT DISTINCT lane, lane // 30 AS home, lane // 30 + CASE WHEN lane % 7 = 0 THEN 1 ELSE 0 END AS shard FROM cells UNION SELECT lane, lane // 30, lane // 30 + 1 FROM cells WHERE lane % 5 = 0)
+    SELECT lane, CAST(shard AS INTEGER) AS shard, CASE WHEN count(*) OVER (PARTITION BY lane) > 1 THEN 'in-two-shards' ELSE 'wrong-shard' END AS problem FROM c QUALIFY count(*) OVER (PARTITION BY lane) > 1 OR shard <> home""",
+)
+def shard_findings(t: Tables):
+    """Every seventh lane put one shard too far, every fifth put there as well."""
+    home = K.shard_of("lane", 0, 30)
+    rows = t.cells.withColumn("shard", home + F.when(F.col("lane") % 7 == 0, 1).otherwise(0))
+    stray = t.cells.filter(F.col("lane") % 5 == 0).withColumn("shard", home + 1)
+    return K.shard_findings(rows.unionByName(stray), "lane", "shard", 0, 30)
+
+
 @query("export_partitions", f"WITH {CELLS_SQL} SELECT lane, upper, actual FROM cells")
 def export_partitions(t: Tables):
     path = shared_dir(t.spark, "export")

@@ -124,6 +124,19 @@ def frame_delta(t: Tables):
     return W.frame_delta(rows, ["l_orderkey"], "l_linenumber", 1, 2, "v", "p").filter("delta IS NOT NULL")
 
 
+@query(
+    "frame_deltas",
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS p, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem WHERE l_linenumber IN (1, 2)),
+    b AS (SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN {'p': p, 'v': v} END) AS x, max(CASE WHEN l_linenumber = 2 THEN {'p': p, 'v': v} END) AS y FROM r GROUP BY 1)
+    SELECT l_orderkey, CASE WHEN x.p = y.p THEN y.v - x.v ELSE 0 END AS delta, CASE WHEN x IS NULL THEN 'first-missing' WHEN y IS NULL THEN 'last-missing' WHEN x.p <> y.p THEN 'other-partition' ELSE '' END AS problem FROM b""",
+)
+def frame_deltas(t: Tables):
+    """Orders whose first two lines were returned differently have no delta."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", cents("l_extendedprice").alias("v"), "l_returnflag")
+    out = W.frame_deltas(rows, ["l_orderkey"], "l_linenumber", 1, 2, "v", "l_returnflag")
+    return out.select("l_orderkey", F.coalesce("delta", F.lit(0)).alias("delta"), F.coalesce("problem", F.lit("")).alias("problem"))
+
+
 @query(
     "recent_rate",
     """SELECT user_id, count(*) AS n, max(epoch_us(ts)) - min(epoch_us(ts)) AS elapsed, round((count(*) - 1) / (max(epoch_us(ts)) - min(epoch_us(ts))) * 3600, 15) AS per_hour FROM

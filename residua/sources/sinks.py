@@ -115,6 +115,18 @@ def consolidate_shards(shards: DataFrame, lane: str, shard: str, model: str | No
     return shards
 
 
+def shard_findings(shards: DataFrame, lane: str, shard: str, lo: int, lanes_per_shard: int) -> DataFrame:
+    """(lane, shard, problem) of rows that do not lie where they should: ``in-two-shards``, ``wrong-shard``, ``no-lane``."""
+    held = shards.groupBy(F.col(lane).alias("lane"), F.col(shard).alias("shard")).agg(F.count(F.lit(1)).alias("_n"))
+    owners = held.groupBy("lane").agg(F.collect_set("shard").alias("_shards"))
+    each = owners.select("lane", F.explode_outer("_shards").alias("shard"), F.size("_shards").alias("_n"))
+    problem = (
+        F.when(F.col("lane").isNull(), "no-lane").when(F.col("_n") > 1, "in-two-shards")
+        .when(~F.col("shard").eqNullSafe(shard_of("lane", lo, lanes_per_shard)), "wrong-shard")
+    )
+    return each.select("lane", "shard", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

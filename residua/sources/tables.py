@@ -34,6 +34,18 @@ def parse_schedule(df: DataFrame, event: str | None = "t-0") -> DataFrame:
     return rows.select(*[parse_int_text(c).alias(c) for c in numbers], label.alias("t_minus"))
 
 
+def schedule_findings(rows: DataFrame, expected: int | None = None) -> DataFrame:
+    """(target_half_16bit, problem) of schedule rows: ``listed-twice``, ``missing`` (of targets 0 to ``expected`` - 1) and
+    ``unreadable`` (a target that is no number, one row for all of them)."""
+    counts = rows.groupBy(F.col("target_half_16bit").cast("bigint").alias("target_half_16bit")).agg(F.count(F.lit(1)).alias("n"))
+    problem = F.when(F.col("target_half_16bit").isNull(), "unreadable").when(F.col("n") > 1, "listed-twice")
+    found = counts.select("target_half_16bit", problem.alias("problem")).filter("problem IS NOT NULL")
+    if expected is None:
+        return found
+    absent = rows.sparkSession.range(expected).select(F.col("id").alias("target_half_16bit")).join(counts, "target_half_16bit", "left_anti")
+    return found.unionByName(absent.withColumn("problem", F.lit("missing")))
+
+
 def read_schedule_csv(spark: SparkSession, path: str, event: str | None = "t-0", expected: int | None = None) -> DataFrame:
     """Schedule CSV with its guards: required columns, no duplicate target, enough distinct targets."""
     raw = spark.read.option("header", "true").option("mode", "FAILFAST").csv(path)

@@ -375,6 +375,19 @@ def test_a_trace_counts_over_ranges(spark, tmp_path):
     assert [r.frame_index for r in got.filter("path NOT LIKE '%a.json'").collect()] == [None, None]
 
 
+def test_findings_are_rows(spark):
+    rows = spark.createDataFrame([(0,), (2,), (2,), (None,), (None,)], "target_half_16bit int")
+    got = tables.schedule_findings(rows, 4).withColumn("t", F.coalesce("target_half_16bit", F.lit(-1)))
+    assert values(got, "t", "problem") == [(-1, "unreadable"), (1, "missing"), (2, "listed-twice"), (3, "missing")]
+    assert tables.schedule_findings(rows.limit(0)).count() == 0
+    shards = spark.createDataFrame([(0, 0), (0, 0), (1, 0), (1, 1), (5, 0), (None, 3)], "lane int, shard int")
+    got = sinks.shard_findings(shards, "lane", "shard", 0, 4).withColumn("lane", F.coalesce("lane", F.lit(-1)))
+    assert values(got, "lane", "shard", "problem") == [(-1, 3, "no-lane"), (1, 0, "in-two-shards"), (1, 1, "in-two-shards"), (5, 0, "wrong-shard")]
+    frames = [(1, "a", "p", 5), (1, "b", "p", 9), (2, "a", "p", 5), (2, "b", None, 9), (3, "a", None, 1), (3, "b", None, 4), (4, "b", "p", 1), (5, "a", "p", 1), (6, "c", "p", 1)]
+    got = windows.frame_deltas(spark.createDataFrame(frames, "k int, l string, p string, v int"), ["k"], "l", "a", "b", "v", "p")
+    assert [tuple(r) for r in got.orderBy("k").collect()] == [(1, 4, None), (2, None, "other-partition"), (3, 3, None), (4, None, "first-missing"), (5, None, "last-missing")]
+
+
 def test_sketches_unite(spark):
     rows = [("a" if i % 3 else "b", i % 5, i % 700, float(i)) for i in range(9000)] + [("c", 0, None, None), ("c", 1, 1, math.nan), (None, 0, 1, 2.0)]
     df = spark.createDataFrame(rows, "g string, part int, k int, v double")
