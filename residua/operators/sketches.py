@@ -22,7 +22,7 @@ def distinct_bound(registers: int = REGISTERS) -> float:
 
 
 def rank_bound(items: int = ITEMS) -> float:
-    """Share of the rows a quantile may lie away from its rank; four times what 99 of 100 quantiles keep is never seen off."""
+    """Share of the rows a quantile may lie away from its rank: four times the error that 99 of 100 quantiles keep."""
     return 4 * 2.296 / items**0.9021
 
 
