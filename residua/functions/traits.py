@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import _c, lower_half, upper_half
@@ -70,9 +70,30 @@ def _mean(parts: list[Column]) -> Column:
     return total / float(len(parts))
 
 
+def with_centres(df: DataFrame, key, prefix: str = "_at") -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """The frame with the key's spot centres as columns, which many terms then read instead of deriving them, and those columns."""
+    names = [(f"{prefix}_x{i}", f"{prefix}_y{i}") for i in range(len(SPOT_CENTRES))]
+    centres = {n: c for pair, point in zip(names, _centres(key), strict=True) for n, c in zip(pair, point, strict=True)}
+    return df.withColumns(centres), [(F.col(x), F.col(y)) for x, y in names]
+
+
+def scored(df: DataFrame, key) -> DataFrame:
+    """The frame with the eleven rounded scores of a key, in steps: centres, the scores that others are made of, the rest."""
+    rows, at = with_centres(df, key)
+    parts = trait_parts(at)
+    rows = rows.withColumns({f"_part_{n}": c for n, c in parts.items()})
+    scores = _finals({n: F.col(f"_part_{n}") for n in parts})
+    return rows.withColumns({n: F.round(c, 3) for n, c in scores.items()}).select(*df.columns, *scores)
+
+
 def trait_scores(key, rounded: bool = True) -> dict[str, Column]:
     """Eleven scores in 0..100; unrounded finals are what rankings use."""
-    p = _centres(key)
+    scores = _finals(trait_parts(_centres(key)))
+    return {n: F.round(c, 3) for n, c in scores.items()} if rounded else scores
+
+
+def trait_parts(p: list[tuple[Column, Column]]) -> dict[str, Column]:
+    """The values of four spot centres that the scores are made of."""
     (x1, y1), (x2, y2), (x3, y3), (x4, y4) = p
     cx, cy = F.lit(FACE_CENTRE[0]), F.lit(FACE_CENTRE[1])
 
@@ -88,32 +109,43 @@ def trait_scores(key, rounded: bool = True) -> dict[str, Column]:
     centered = _closeness(_mean([_dist(x, y, cx, cy) for x, y in p]), 28.0)
     balance = _closeness(_dist(_mean([x1, x2, x3, x4]), _mean([y1, y2, y3, y4]), cx, cy), 18.0)
     cluster = _closeness(pair_avg, 32.0)
-    spread = F.least(F.lit(100.0), pair_avg / 28.0 * 100.0)
     eye = _mean([_closeness(_dist(*p[i], F.lit(EYE_POINTS[i][0]), F.lit(EYE_POINTS[i][1])), 18.0) for i in (0, 1)])
     mouth = _mean(
         [_closeness(_dist(*p[2 + i], F.lit(MOUTH_POINTS[i][0]), F.lit(MOUTH_POINTS[i][1])), 18.0) for i in (0, 1)]
     )
     vertical = _mean([mirror(p[0], p[1]), mirror(p[2], p[3])])
     horizontal = _mean([mirror_down(p[0], p[2]), mirror_down(p[1], p[3])])
-    scores = {
-        "balance": balance,
+    return {
+        "balance": balance, "centered": centered, "cluster": cluster, "eye": eye, "horizontal": horizontal, "mouth": mouth,
+        "pair_avg": pair_avg, "vertical": vertical,
+    }
+
+
+def _finals(part: dict[str, Column]) -> dict[str, Column]:
+    eye, mouth, vertical, centered, cluster = (part[n] for n in ("eye", "mouth", "vertical", "centered", "cluster"))
+    spread = F.least(F.lit(100.0), part["pair_avg"] / 28.0 * 100.0)
+    return {
+        "balance": part["balance"],
         "centered": centered,
         "cluster": cluster,
         "cursed": (eye + mouth + spread + (F.lit(100.0) - vertical)) / 4.0,
         "eye_cover": eye,
         "funny": (eye * 2.0 + vertical + cluster + centered) / 5.0,
         "heartish": (vertical + centered + mouth) / 3.0,
-        "horizontal_symmetry": horizontal,
+        "horizontal_symmetry": part["horizontal"],
         "lower_face_cover": mouth,
         "spread": spread,
         "vertical_symmetry": vertical,
     }
-    return {n: F.round(c, 3) for n, c in scores.items()} if rounded else scores
 
 
 def trait_labels(scores: dict[str, Column]) -> Column:
-    found = F.array_compact(F.array(*[F.when(scores[s] >= t, F.lit(n)) for s, n, t in TRAIT_LABELS]))
-    return F.when(F.size(found) == 0, F.array(F.lit("plain"))).otherwise(found)
+    """The labels a row's scores reach.
+
+    Put together as text and split: compacting an array would evaluate every score outside generated code, term by term.
+    """
+    found = F.concat_ws("\u0001", *[F.when(scores[s] >= t, F.lit(n)) for s, n, t in TRAIT_LABELS])
+    return F.split(F.when(found == "", F.lit("plain")).otherwise(found), "\u0001")
 
 
 def band_score(score) -> Column:
