@@ -67,13 +67,19 @@ def read_current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v{known[-1]:012d}")
 
 
-def export_partitions(df: DataFrame, path: str, lane: str, only: Column | None = None) -> None:
+def export_partitions(df: DataFrame, path: str, lane: str, only: Column | None = None, band: int | None = None) -> None:
     """One folder per lane; ``only`` narrows to a record, a lane or a range.
 
-    The rebalance hint gathers a lane into few files and still splits a lane too large for one.
+    With ``band``, a folder ``band=n`` holds the lanes from ``n * band`` on, so many of them, in order: with many small lanes
+    a folder for each costs more than its rows do. A reader of one lane asks for its band, and the files' statistics pass over
+    the other lanes. The rebalance hint gathers a folder's rows into few files and still splits a folder too large for one.
     """
     rows = df if only is None else df.filter(only)
-    rows.hint("rebalance", F.col(lane)).write.mode("overwrite").partitionBy(lane).parquet(path)
+    if band is None:
+        rows.hint("rebalance", F.col(lane)).write.mode("overwrite").partitionBy(lane).parquet(path)
+        return
+    rows = rows.withColumn("band", F.floor(F.col(lane) / band)).hint("rebalance", F.col("band"))
+    rows.sortWithinPartitions("band", lane).write.mode("overwrite").partitionBy("band").parquet(path)
 
 
 def shard_of(lane: str, lo: int, lanes_per_shard: int) -> Column:
