@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ledger import CELLS_PER_LANE, MIN_PROOF_BYTES
-from .held import HeldRows, use_rocks
+from .held import BUCKET, BUCKETS, HeldRows, bucket_of, use_rocks
 
 LEDGER_OUT = "lane bigint, ts double, event string, accepted boolean, status string, device string, lease_until double, attempts int"
 LEDGER_COLUMNS = [c.split()[0] for c in LEDGER_OUT.split(", ")]
-LEDGER_STATE = "status string, device string, lease_until double, attempts int, noticed double"
 
 
 def lease_step(state: tuple, event: dict) -> tuple[tuple, bool]:
@@ -60,12 +59,12 @@ def _streaming(df: DataFrame) -> DataFrame:
 
 
 class LaneLedger(HeldRows):
-    """The lane's (status, device, lease_until, attempts) and the lease whose end has been noticed."""
+    """Each lane's (status, device, lease_until, attempts) and the lease whose end has been noticed."""
 
     fields = ("event", "device", "lease_seconds", "proof_bytes", "item_count", "retryable")
 
     def __init__(self, expire: bool, span_ms: int):
-        super().__init__(list(self.fields), list(self.fields), span_ms, LEDGER_STATE)
+        super().__init__("lane", list(self.fields), list(self.fields), span_ms)
         self.expire = expire
 
     def _lapsed(self, lane, now: tuple) -> tuple:
@@ -74,75 +73,81 @@ class LaneLedger(HeldRows):
     def _open(self, now: tuple) -> bool:
         return self.expire and now[0] in ("claimed", "running") and now[2] != now[4]
 
-    def step(self, key: tuple, now: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        now = now or ("", None, 0.0, 0, -1.0)
+    def step(self, now: dict, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for event in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-            if self._open(now) and now[2] <= event["ts"]:
-                out.append(self._lapsed(key[0], now))
-                now = (*now[:4], now[2])
-            lane, ok = lease_step(now[:4], event)
-            now = (*lane, now[4])
-            out.append((key[0], event["ts"], event["event"], ok, *lane))
-        return now, pd.DataFrame(out, columns=LEDGER_COLUMNS)
-
-    def look(self, key: tuple, now: tuple, reached: int) -> tuple[tuple, pd.DataFrame, int | None]:
-        if not self._open(now):
-            return now, pd.DataFrame(), None
-        if now[2] * 1000 > reached:
-            return now, pd.DataFrame(), math.ceil(now[2] * 1000)
-        return (*now[:4], now[2]), pd.DataFrame([self._lapsed(key[0], now)], columns=LEDGER_COLUMNS), None
+        columns = [rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in ("lane", "ts", *self.fields)]
+        for lane, *values in zip(*columns, strict=True):
+            event = dict(zip(("ts", *self.fields), values, strict=True))
+            at = now.get(lane, ("", None, 0.0, 0, -1.0))
+            if self._open(at) and at[2] <= event["ts"]:
+                out.append(self._lapsed(lane, at))
+                at = (*at[:4], at[2])
+            state, ok = lease_step(at[:4], event)
+            now[lane] = (*state, at[4])
+            out.append((lane, event["ts"], event["event"], ok, *state))
+        return pd.DataFrame(out, columns=LEDGER_COLUMNS)
+
+    def look(self, now: dict, reached: int) -> tuple[pd.DataFrame, int | None]:
+        waiting = [lane for lane, at in now.items() if self._open(at)]
+        out = [self._lapsed(lane, now[lane]) for lane in waiting if now[lane][2] * 1000 <= reached]
+        again = min((math.ceil(now[lane][2] * 1000) for lane in waiting if now[lane][2] * 1000 > reached), default=None)
+        for row in out:
+            now[row[0]] = (*now[row[0]][:4], row[1])
+        return pd.DataFrame(out, columns=LEDGER_COLUMNS), again
 
 
 class Changes(HeldRows):
-    """The signature of the key's last row."""
+    """The signature of each key's last row."""
 
     def __init__(self, key: str, stamp: str, status: str, signature: str, span_ms: int):
-        super().__init__([stamp, status, signature], [stamp, status, signature], span_ms, "signature string")
+        super().__init__(key, [stamp, status, signature], [stamp, status, signature], span_ms)
         self.names = (key, stamp, status, signature)
 
-    def step(self, key: tuple, now: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        name, stamp, status, signature = self.names
-        before = rows[signature].shift().astype(object)
-        if len(rows):
-            before.iloc[0] = now[0] if now else None
+    def step(self, now: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        key, stamp, status, signature = self.names
+        before = rows.groupby(key, sort=False)[signature].shift().astype(object)
+        first = ~rows[key].duplicated()
+        before[first] = pd.Series([now.get(k, (None,))[0] for k in rows.loc[first, key].tolist()], index=rows.index[first], dtype=object)
         same = (rows[signature] == before) | (rows[signature].isna() & before.isna())
-        out = rows.loc[~same | (rows[status] != "ok"), [stamp, status, signature]]
-        last = rows[signature].iloc[-1] if len(rows) else None
-        return ((None if pd.isna(last) else last,) if len(rows) else now), out.assign(**{name: key[0]})[list(self.names)]
+        last = rows.drop_duplicates(key, keep="last")
+        now.update((k, (None if pd.isna(s) else s,)) for k, s in zip(last[key].tolist(), last[signature].tolist(), strict=True))
+        return rows.loc[~same | (rows[status] != "ok"), list(self.names)]
 
 
 def _span_ms(spark: SparkSession, span: str) -> int:
     return spark.range(1).select((F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {span}")) / 1000).cast("bigint")).first()[0]
 
 
-def ledger_state(events: DataFrame, delay: str = "0 seconds", expire: bool = True, span: str = "1 hour") -> DataFrame:
+def ledger_state(events: DataFrame, delay: str = "0 seconds", expire: bool = True, span: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Every event with the lane state after it; a lapsed lease adds an ``expire`` row.
 
     Events: lane, event_time (timestamp), ts (its seconds), event, device, lease_seconds,
     proof_bytes, item_count, retryable. A lane's events are held until the watermark, which trails by ``delay``, has
     passed them and are then taken in order of time, where times tie of content, so the rows do not depend on how files fall into
-    micro-batches as long as none comes later than the delay. A task has one ``span`` of one lane in memory. A lane without a
-    name only moves the watermark.
+    micro-batches as long as none comes later than the delay. Lanes share ``buckets`` keys of the state, and a task has one ``span``
+    of one bucket in memory. A lane without a name only moves the watermark.
     A lapsed lease changes only what may be claimed, so noticing it (by the event-time timer
     or by a later event of the lane) emits one row and leaves the status alone.
     """
     use_rocks(events.sparkSession)
-    source = _streaming(events).select("lane", "event_time", "ts", *LaneLedger.fields).withWatermark("event_time", delay)
+    source = _streaming(events).select(bucket_of("lane", buckets), "lane", "event_time", "ts", *LaneLedger.fields).withWatermark("event_time", delay)
     ledger = LaneLedger(expire, _span_ms(events.sparkSession, span))
-    return source.groupBy("lane").transformWithStateInPandas(ledger, LEDGER_OUT, "append", "EventTime")
+    return source.groupBy(BUCKET).transformWithStateInPandas(ledger, LEDGER_OUT, "append", "EventTime")
 
 
-def emit_on_change(df: DataFrame, key: str, stamp: str, status: str, signature: str, event_time: str, delay: str = "0 seconds", span: str = "1 hour") -> DataFrame:
+def emit_on_change(
+    df: DataFrame, key: str, stamp: str, status: str, signature: str, event_time: str, delay: str = "0 seconds", span: str = "1 hour",
+    buckets: int = BUCKETS,
+) -> DataFrame:
     """Rows whose signature differs from the previous one of the key, and all rows not ``ok``.
 
     Rows are held until the watermark has passed them, like those of :func:`ledger_state`. A null key only moves the watermark.
     """
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {stamp} {df.schema[stamp].dataType.simpleString()}, {status} string, {signature} string"
     use_rocks(df.sparkSession)
-    rows = _streaming(df).select(key, stamp, status, signature, F.col(event_time).alias("_time"), (F.unix_micros(event_time) / 1e6).alias("ts"))
+    rows = _streaming(df).select(bucket_of(key, buckets), key, stamp, status, signature, F.col(event_time).alias("_time"), (F.unix_micros(event_time) / 1e6).alias("ts"))
     changes = Changes(key, stamp, status, signature, _span_ms(df.sparkSession, span))
-    return rows.withWatermark("_time", delay).groupBy(key).transformWithStateInPandas(changes, schema, "append", "EventTime")
+    return rows.withWatermark("_time", delay).groupBy(BUCKET).transformWithStateInPandas(changes, schema, "append", "EventTime")
 
 
 def dedupe_arrivals(df: DataFrame, name: str, event_time: str, delay: str) -> DataFrame:
