@@ -128,9 +128,8 @@ def offset_coverage(classified: DataFrame, max_offset: int = 15) -> DataFrame:
 def nearest_candidate(fact: DataFrame, candidates: DataFrame, key: str, actual: str, model_id: int, model: DataFrame | None = None) -> DataFrame:
     """Candidate with the fewest differing fields; the lower class wins ties, the model comes last.
 
-    Rows with equal (key, actual) share their answer, so the search runs once per distinct
-    pair. Distance and class are packed into one number, whose minimum is a plain hash
-    aggregate over the pair's candidates.
+    A key's candidates become one vector, and the search stays inside the row. Distance and class are packed into one
+    number, whose minimum is the answer; nothing is multiplied, so a task holds its rows once, for the join.
     """
     kind = candidates.schema["class_id"].dataType
     options = candidates.select(key, "class_id", "value")
@@ -138,14 +137,13 @@ def nearest_candidate(fact: DataFrame, candidates: DataFrame, key: str, actual:
         options = options.unionByName(
             model.select(key, F.lit(model_id).cast(kind).alias("class_id"), F.col("predicted").alias("value"))
         )
-    pairs = fact.select(key, actual).distinct().join(candidate_vectors(options, key), key)
-    tried = pairs.select(key, actual, F.explode(F.arrays_zip("ids", "values")).alias("_o"))
-    score = F.shiftleft(changed_count(F.col(actual), F.col("_o.values")).cast("bigint"), 32) + F.col("_o.ids")
-    best = tried.groupBy(key, actual).agg(F.min(score).alias("_b"))
-    best = best.select(
-        key, actual, F.col("_b").bitwiseAND(0xFFFFFFFF).cast(kind).alias("class_id"), F.shiftright("_b", 32).cast("int").alias("distance")
+    tried = F.transform(
+        F.arrays_zip("ids", "values"), lambda o: F.shiftleft(changed_count(F.col(actual), o["values"]).cast("bigint"), 32) + o["ids"]
     )
-    return fact.join(best, [key, actual], "left")
+    best = fact.join(candidate_vectors(options, key), key, "left").withColumn("_b", F.array_min(tried)).drop("ids", "values")
+    return best.withColumns(
+        {"class_id": F.col("_b").bitwiseAND(0xFFFFFFFF).cast(kind), "distance": F.shiftright("_b", 32).cast("int")}
+    ).drop("_b")
 
 
 def candidate_value(df: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
