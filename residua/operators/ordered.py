@@ -21,6 +21,7 @@ from ..session import checkpointed
 
 BLOCK = "_blk"
 ROWS_PER_BLOCK = 250_000
+TASK_ROWS = 250_000
 MAX_BLOCKS = 32_768
 CONF_ROWS = "spark.residua.rowsPerBlock"
 
@@ -31,6 +32,16 @@ def rows_per_block(df: DataFrame, override: int | None = None) -> int:
     return int(df.sparkSession.conf.get(CONF_ROWS, str(ROWS_PER_BLOCK)))
 
 
+def dealt(df: DataFrame, keys: Sequence[str], bound: DataFrame | None = None) -> DataFrame:
+    """Rows dealt by ``keys`` into so many tasks that each gets about ``TASK_ROWS``.
+
+    Partitions that are merged up to a size on disk hold millions of packed rows, which an aggregate or a sort then has in
+    memory several times over; a count, which parquet answers from its footers, bounds that. ``bound`` is a cheaper frame with at least as many rows.
+    """
+    total = (df if bound is None else bound).count()
+    return df.repartition(max(math.ceil(total / TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe equi join on ``keys``, keeping the left copy of the keys."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])

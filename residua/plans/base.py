@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.generator import jump_constants
+from ..operators.ordered import dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +41,11 @@ class Tables:
         """One packed value per (lane, upper)."""
         return self.fact.groupBy("lane", "upper").agg(F.max("actual").alias("actual"))
 
+    @cached_property
+    def dealt_cells(self) -> DataFrame:
+        """The cells, with a bounded number of rows to a task."""
+        return dealt(self.fact, ["lane", "upper"], self.lineitem).groupBy("lane", "upper").agg(F.max("actual").alias("actual"))
+
     @cached_property
     def model(self) -> DataFrame:
         return self.part.select(F.col("p_partkey").alias("upper"), packed_part(0, 0).alias("predicted"))

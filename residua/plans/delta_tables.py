@@ -30,10 +30,10 @@ def decode(t: Tables):
 @query("roundtrip", f"WITH {CELLS_SQL} SELECT lane, count(*) AS cells, CAST(0 AS BIGINT) AS mismatches FROM cells GROUP BY lane")
 def roundtrip(t: Tables):
     """Encode, store, read back, rebuild, compare."""
-    tables = D.encode_two_stage(t.cells, t.model, t.candidates, "lane", "upper")
+    tables = D.encode_two_stage(t.dealt_cells, t.model, t.candidates, "lane", "upper")
     tables = D.stored(tables, shared_dir(t.spark, "encoded"))
-    back = D.decode_two_stage(t.cells, tables, t.model, t.candidates, "lane", "upper")
-    return D.verify_roundtrip(t.cells, back, "lane", "upper").select("lane", "cells", "mismatches")
+    back = D.decode_two_stage(t.dealt_cells, tables, t.model, t.candidates, "lane", "upper")
+    return D.verify_roundtrip(t.dealt_cells, back, "lane", "upper").select("lane", "cells", "mismatches")
 
 
 @query(
