@@ -38,12 +38,7 @@ class Tables:
 
     @cached_property
     def cells(self) -> DataFrame:
-        """One packed value per (lane, upper)."""
-        return self.fact.groupBy("lane", "upper").agg(F.max("actual").alias("actual"))
-
-    @cached_property
-    def dealt_cells(self) -> DataFrame:
-        """The cells, with a bounded number of rows to a task."""
+        """One packed value per (lane, upper), with a bounded number of rows to a task."""
         return dealt(self.fact, ["lane", "upper"], self.lineitem).groupBy("lane", "upper").agg(F.max("actual").alias("actual"))
 
     @cached_property
