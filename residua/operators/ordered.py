@@ -64,12 +64,13 @@ class OrderedFrame:
 
     @classmethod
     def of(
-        cls, df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None, bound: DataFrame | None = None
+        cls, df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None, bound: DataFrame | None = None, deal: bool = False
     ) -> "OrderedFrame":
         """Decide from counts whether any group is too large for one window task.
 
         ``order`` must be total (end it with a unique tie column). ``bound`` is a cheaper frame with the same key columns
-        and at least as many rows per key; where it is given, the counting runs on it instead.
+        and at least as many rows per key; where it is given, the counting runs on it instead. ``deal`` deals groups into
+        tasks by the number of rows, for frames that a count is cheap on.
         """
         size = rows_per_block(df, rows)
         keys, order = tuple(keys), tuple(order)
@@ -84,12 +85,14 @@ class OrderedFrame:
             large = checkpointed(sizes.filter(F.col("_group_rows") > size))
             total = large.agg(F.sum("_group_rows")).first()[0]
             if not total:
-                return cls(df, keys, order, False, size)
+                return cls(dealt(df, keys, counted) if deal else df, keys, order, False, size)
             hot = join_on(df, large.select(*keys), keys, "left_semi")
         blocks = min(MAX_BLOCKS, math.ceil(total / size))
         cut = checkpointed(hot.repartitionByRange(blocks, *keys, *order).withColumn(BLOCK, F.spark_partition_id()))
         if keys:
             cut = cut.unionByName(join_on(df, large.select(*keys), keys, "left_anti").withColumn(BLOCK, F.lit(-1)))
+            if deal:
+                cut = dealt(cut, [*keys, BLOCK], counted)
         return cls(cut, keys, order, True, size)
 
     @property

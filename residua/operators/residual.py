@@ -225,12 +225,10 @@ def best_layout(df: DataFrame, group: str, item: str, domain: int | Column) -> D
 
     Sizes before compression: domain/8, 2 per present id, 1 + 2 per absent id, 4 per run.
     """
-    from .sets import compact_ranges
+    from .sets import run_counts
 
     domain = F.lit(domain) if isinstance(domain, int) else domain
-    runs = compact_ranges(df, item, [group]).groupBy(group).agg(
-        F.count(F.lit(1)).alias("runs"), F.sum("n").alias("present")
-    )
+    runs = run_counts(df, item, [group])
     sizes = [
         ("bitmap", F.floor((domain + F.lit(7)) / 8).cast("bigint")),
         ("indices", F.col("present") * 2),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import format_hex, parse_int_text, percent
-from .ordered import OrderedFrame, first_n_per_group
+from .ordered import OrderedFrame, dealt, first_n_per_group
 
 
 def union_keys(frames: Sequence[DataFrame], key: str) -> DataFrame:
@@ -116,6 +116,18 @@ def compact_ranges(df: DataFrame, key: str, group: Sequence[str] = (), rows: int
     return runs.drop("_run").withColumn("text", text)
 
 
+def run_counts(df: DataFrame, key: str, group: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Number of maximal runs of consecutive ids, and of distinct ids, per group.
+
+    A run is counted where the id before is not the one below, so none is held in memory.
+    """
+    ids = df.select(*group, F.col(key).cast("bigint").alias(key)).filter(F.col(key).isNotNull())
+    ids = dealt(ids, [*group, key], df).distinct()
+    placed = OrderedFrame.of(ids, group, [key], rows, bound=df, deal=True).neighbour({"_prev": key}, -1).done()
+    starts = ~F.col("_prev").eqNullSafe(F.col(key) - 1)
+    return placed.groupBy(*group).agg(F.count_if(starts).alias("runs"), F.count(F.lit(1)).alias("present"))
+
+
 def expand_ranges(df: DataFrame, text: str, lenient: bool = False, limit: int = 1 << 16, keep: Sequence[str] = ()) -> DataFrame:
     """Ids named by texts such as ``0-3, 7 0x10..0x12``; the first occurrence of an id is kept.
 
