@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import changed_mask, percent, residual_key
-from .residual import first_match, candidate_vectors, residual_vs_model
+from .residual import first_match, candidate_vectors, residual_vs_model, with_vectors
 
 
 def encode_exceptions(fact: DataFrame, model: DataFrame, lane: str, key: str, actual: str = "actual") -> DataFrame:
@@ -61,6 +61,10 @@ def _dimension(model: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("base", F.when(F.get("ids", F.lit(0)) == 0, F.get("values", F.lit(0))))
 
 
+def _with_dimension(cells: DataFrame, model: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    return with_vectors(cells, _dimension(model, candidates, key), candidates.select(key).unionByName(model.select(key)), key)
+
+
 def encode_two_stage(fact: DataFrame, model: DataFrame, candidates: DataFrame, lane: str, key: str, actual: str = "actual") -> TwoStage:
     """Model first; misses go to the first matching candidate class; what is left is explicit.
 
@@ -68,8 +72,7 @@ def encode_two_stage(fact: DataFrame, model: DataFrame, candidates: DataFrame, l
     miss mark. Higher classes store their class, unmatched cells store the changed fields
     against class 0 (or the raw value where a high bit differs or class 0 is absent).
     """
-    vectors = _dimension(model, candidates, key)
-    scored = fact.select(lane, key, actual).join(vectors, key, "left").filter(~F.col(actual).eqNullSafe(F.col("predicted")))
+    scored = _with_dimension(fact.select(lane, key, actual), model, candidates, key).filter(~F.col(actual).eqNullSafe(F.col("predicted")))
     staged = first_match(scored, actual)
     fits = F.col("base").isNotNull() & (F.shiftrightunsigned(F.col(actual).bitwiseXOR(F.col("base")), 30) == 0)
     kind = F.when(F.col("class_id") > 0, "shift").when(F.col("class_id") < 0, "explicit").otherwise("default")
@@ -103,7 +106,7 @@ def decode_two_stage(cells: DataFrame, tables: TwoStage, model: DataFrame, candi
             F.max((F.col("_kind") == 1).cast("int")).alias("_s"), F.max((F.col("_kind") == 2).cast("int")).alias("_e"),
         )
     )
-    out = cells.select(lane, key).join(_dimension(model, candidates, key), key, "left").join(marks, [lane, key], "left")
+    out = _with_dimension(cells.select(lane, key), model, candidates, key).join(marks, [lane, key], "left")
     out = out.withColumn("shifted", F.get("values", F.array_position("ids", F.col("class_id")).cast("int") - 1))
     zero = F.lit(0).cast("bigint")
     cleared, filled = zero, zero

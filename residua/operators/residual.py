@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.keys import changed_bits, changed_count, changed_mask, percent, residual_key
 from .ordered import join_on
 
+#: Spark may broadcast vectors of so many values, some 12 MB where a key has 16.
+BROADCAST_VALUES = 500_000
+
 
 def residual_vs_model(fact: DataFrame, model: DataFrame, key: str, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """Predicted value beside the actual one; ``miss`` where they differ or no prediction exists.
@@ -59,13 +62,23 @@ def candidate_vectors(candidates: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.col("_p.class_id").alias("ids"), F.col("_p.value").alias("values"))
 
 
+def with_vectors(fact: DataFrame, vectors: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``fact`` with the row of ``vectors`` of its key; ``values`` has a row for each value in them.
+
+    Spark estimates vectors by the compressed files they come from, with one element to an array, and would bring hundreds
+    of MB to the driver as if they were a few. So the values are counted, and where there are many, both sides are shuffled.
+    """
+    many = values.count() > BROADCAST_VALUES
+    return fact.join(vectors.hint("merge") if many else vectors, key, "left")
+
+
 def classify_first_match(fact: DataFrame, candidates: DataFrame, key: str, actual: str) -> DataFrame:
     """Smallest class whose value for the key equals the actual; -1 when none does.
 
     The candidates become one vector per key, so this is a single lookup join on the key and
     a position search inside the row; fact rows are never multiplied.
     """
-    out = fact.join(candidate_vectors(candidates, key), key, "left")
+    out = with_vectors(fact, candidate_vectors(candidates, key), candidates, key)
     return first_match(out, actual).drop("ids", "values")
 
 
@@ -140,7 +153,7 @@ def nearest_candidate(fact: DataFrame, candidates: DataFrame, key: str, actual:
     tried = F.transform(
         F.arrays_zip("ids", "values"), lambda o: F.shiftleft(changed_count(F.col(actual), o["values"]).cast("bigint"), 32) + o["ids"]
     )
-    best = fact.join(candidate_vectors(options, key), key, "left").withColumn("_b", F.array_min(tried)).drop("ids", "values")
+    best = with_vectors(fact, candidate_vectors(options, key), options, key).withColumn("_b", F.array_min(tried)).drop("ids", "values")
     return best.withColumns(
         {"class_id": F.col("_b").bitwiseAND(0xFFFFFFFF).cast(kind), "distance": F.shiftright("_b", 32).cast("int")}
     ).drop("_b")
